@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, sharding, url_filter
+from orrery.llm import bpe, quality, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_sharding": sharding.op7_sharding,
+        "op10_quality": quality.op10_quality,
     }
 
 
