@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, quality, sharding, toxicity, url_filter
+from orrery.llm import bpe, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_sharding": sharding.op7_sharding,
+        "op9_vector_search": vector_search.op9_vector_search,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.oracle_sql()}
+    return {
+        "op5_url_filter": url_filter.oracle_sql(),
+        "op9_vector_search": vector_search.oracle_sql(),
+    }
