@@ -178,6 +178,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all its columns: that of the least doc_id. Texts stay in place.
+
+    Rows that are equal in doc_id and text are one row; rows without an id stay only if their component
+    has no id at all.
+    """
+    found = near_duplicates(docs, width, percent)
+    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    again = staged(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
+    left = docs.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    if not again.limit(1).count():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = left.join(_few(again), same, "left_anti")
+    return once.unionByName(left.join(_few(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)

@@ -221,6 +221,19 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network, keep: tuple[s
     return picked.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast((vectors, network)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pools = np.array([pooled(t.as_py(), shared.value[0]) for t in batch.column(at)], float).reshape(batch.num_rows, 2 * SIZE + 4)
+            yield batch.filter(pa.array(shared.value[1].probabilities(pools) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document."""
     docs = table(spark, sf_dir, "documents")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
+from orrery.llm import bpe, decontamination, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_sharding": sharding.op7_sharding,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_vector_search": vector_search.op9_vector_search,
         "op10_quality": quality.op10_quality,
     }
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_url_filter": url_filter.oracle_sql(),
+        "op8_decontamination": decontamination.oracle_sql(),
         "op9_vector_search": vector_search.oracle_sql(),
     }
