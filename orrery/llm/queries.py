@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontamination, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
+from orrery.llm import bpe, decontamination, lm_score, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_near_dedup": near_dedup.op6_near_dedup,
@@ -25,7 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_lm_score": lm_score.oracle_sql(),
         "op5_url_filter": url_filter.oracle_sql(),
+        "op6_near_dedup": near_dedup.oracle_sql(),
         "op8_decontamination": decontamination.oracle_sql(),
         "op9_vector_search": vector_search.oracle_sql(),
     }
