@@ -1,0 +1,260 @@
+"""Geometry as column expressions.
+
+A polygon is an array of rings, a ring an array of structs (x, y), the first ring the outer one; a
+multipolygon is an array of polygons. Longitudes are x, latitudes y, in degrees.
+"""
+
+from __future__ import annotations
+
+import math
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Mean Earth radius in metres, metres in a degree for padding, and kilometres for squares.
+EARTH_RADIUS_M = 6_371_008.8
+PAD_M_PER_DEGREE, PAD_FACTOR, KM_PER_DEGREE = 111_000.0, 1.5, 111.32
+POLYGON = "array<array<struct<x:double,y:double>>>"
+MULTIPOLYGON = f"array<{POLYGON}>"
+
+
+def number(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def haversine(lon1: Column, lat1: Column, lon2: float | Column, lat2: float | Column) -> Column:
+    """Metres between two points."""
+    lon2, lat2 = number(lon2), number(lat2)
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
+
+
+def in_bbox(lon: Column, lat: Column, west: float | Column, south: float | Column, east: float | Column, north: float | Column) -> Column:
+    """Edges count as inside."""
+    return lon.between(number(west), number(east)) & lat.between(number(south), number(north))
+
+
+def bboxes_meet(a: list[Column], b: list[Column]) -> Column:
+    """west, south, east, north each; touching counts."""
+    return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
+
+
+def circle_bbox(lon: float, lat: float, radius_m: float) -> tuple[float, float, float, float]:
+    """The pre-filter box of a circle; longitude is padded more."""
+    d = radius_m / PAD_M_PER_DEGREE
+    return lon - d * PAD_FACTOR, lat - d, lon + d * PAD_FACTOR, lat + d
+
+
+def square(lon: float, lat: float, km: float) -> tuple[float, float, float, float]:
+    """A box of km to each side."""
+    dy = km / KM_PER_DEGREE
+    dx = km / (KM_PER_DEGREE * math.cos(math.radians(lat)))
+    return lon - dx, lat - dy, lon + dx, lat + dy
+
+
+def ring_crossings(lon: Column, lat: Column, ring: Column) -> Column:
+    """How many edges of the closed ring a ray to the east crosses; an edge holds its lower end, not its upper."""
+    n = F.size(ring)
+
+    def edge(i: Column) -> Column:
+        p, q = F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
+        spans = (p["y"] > lat) != (q["y"] > lat)
+        at = (q["x"] - p["x"]) * (lat - p["y"]) / F.when(q["y"] == p["y"], F.lit(1.0)).otherwise(q["y"] - p["y"]) + p["x"]
+        return F.when(spans & (lon < at), 1).otherwise(0)
+
+    return F.when(n > 0, F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), edge), F.lit(0), lambda s, x: s + x)).otherwise(0)
+
+
+def in_polygon(lon: Column, lat: Column, polygon: Column) -> Column:
+    """Inside the outer ring and in no hole."""
+    parity = F.transform(polygon, lambda ring: ring_crossings(lon, lat, ring) % 2 == 1)
+    return F.coalesce(parity[0] & ~F.exists(F.slice(parity, 2, F.greatest(F.size(parity) - 1, F.lit(0))), lambda x: x), F.lit(False))
+
+
+def in_multipolygon(lon: Column, lat: Column, polygons: Column) -> Column:
+    return F.exists(polygons, lambda p: in_polygon(lon, lat, p))
+
+
+def positions(polygons: Column) -> Column:
+    """All positions of a multipolygon."""
+    return F.flatten(F.flatten(polygons))
+
+
+def bbox_of(points: Column) -> Column:
+    """Struct west, south, east, north of an array of positions."""
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north"))
+
+
+def representative(points: Column) -> Column:
+    """The point itself, or the middle of the bounding box."""
+    box = bbox_of(points)
+    return F.when(F.size(points) == 1, points[0]).otherwise(F.struct(((box["west"] + box["east"]) / 2).alias("x"), ((box["south"] + box["north"]) / 2).alias("y")))
+
+
+def swapped(points: Column) -> Column:
+    """Longitude and latitude exchanged."""
+    return F.transform(points, lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y")))
+
+
+def ring_area(ring: Column) -> Column:
+    """Planar area of a closed ring, by the shoelace rule."""
+    n = F.size(ring)
+    cross = F.transform(F.sequence(F.lit(1), n), lambda i: _next(ring, i, n, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))
+    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def ring_length(ring: Column) -> Column:
+    n = F.size(ring)
+    parts = F.transform(F.sequence(F.lit(1), n), lambda i: _next(ring, i, n, lambda p, q: F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def _next(ring: Column, i: Column, n: Column, f) -> Column:
+    return f(F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1)))
+
+
+def polygon_area(polygon: Column) -> Column:
+    """Outer ring less holes."""
+    areas = F.transform(polygon, ring_area)
+    return 2 * areas[0] - F.aggregate(areas, F.lit(0.0), lambda s, x: s + x)
+
+
+def overlap_share(row1: Column, col1: Column, px1: Column, row2: Column, col2: Column, px2: Column) -> Column:
+    """Overlap of two square windows over the smaller one's area."""
+    h = F.greatest(F.lit(0), F.least(row1 + px1, row2 + px2) - F.greatest(row1, row2))
+    w = F.greatest(F.lit(0), F.least(col1 + px1, col2 + px2) - F.greatest(col1, col2))
+    smaller = F.least(px1, px2)
+    return h * w / (smaller * smaller)
+
+
+def window_offsets(length: Column, size: int) -> Column:
+    """Offsets of windows of size that cover a length evenly from edge to edge; rounding is half-even."""
+    n = F.ceil(length / F.lit(size))
+    last = (length - size).cast("double")
+    even = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))), lambda i: F.when(n > 1, F.bround(i * last / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0.0)).cast("int"))
+    return F.when(length >= size, even).otherwise(F.array().cast("array<int>"))
+
+
+def box_ring(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The closed ring of a box, counter-clockwise from the south-west."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))
+
+
+def gmst(julian_date: Column) -> Column:
+    """Greenwich mean sidereal time in radians (IAU 1982)."""
+    t = (julian_date - 2451545.0) / 36525.0
+    seconds = 67310.54841 + (876600.0 * 3600 + 8640184.812866) * t + 0.093104 * t * t - 6.2e-6 * t * t * t
+    return F.pmod(seconds * (2 * math.pi / 86400.0), F.lit(2 * math.pi))
+
+
+def teme_to_geodetic(x: Column, y: Column, z: Column, julian_date: Column) -> Column:
+    """Struct lon, lat (degrees), alt_km of a position in km; WGS84, five fixed-point steps."""
+    a, f = 6378.137, 1 / 298.257223563
+    e2 = f * (2 - f)
+    lon = F.atan2(y, x) - gmst(julian_date)
+    lon = F.pmod(lon + math.pi, F.lit(2 * math.pi)) - math.pi
+    r = F.sqrt(x * x + y * y)
+    lat = F.atan2(z, r)
+    for _ in range(5):
+        n = F.lit(a) / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
+        lat = F.atan2(z + n * e2 * F.sin(lat), r)
+    n = F.lit(a) / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
+    return F.struct(F.degrees(lon).alias("lon"), F.degrees(lat).alias("lat"), (r / F.cos(lat) - n).alias("alt_km"))
+
+
+def lonlat_to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> Column:
+    """Struct easting, northing in metres (Krueger's series to the fourth order, WGS84)."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    atanh = lambda v: F.log((1 + v) / (1 - v)) / 2
+    t = F.sinh(atanh(s) - e * atanh(e * s))
+    dl = F.radians(lon - (zone * 6 - 183))
+    xi, eta = F.atan2(t, F.cos(dl)), atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, c in enumerate(alpha, 1):
+        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.struct((500000.0 + 0.9996 * big * x).alias("easting"), ((0.0 if north else 1e7) + 0.9996 * big * y).alias("northing"))
+
+
+def utm_to_lonlat(easting: Column, northing: Column, zone: int, north: bool = True) -> Column:
+    """Struct lon, lat of a UTM position."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi, eta = (northing - (0.0 if north else 1e7)) / (0.9996 * big), (easting - 500000.0) / (0.9996 * big)
+    x, y = xi, eta
+    for j, c in enumerate(beta, 1):
+        x = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.struct((F.lit(zone * 6 - 183.0) + F.degrees(F.atan2(F.sinh(y), F.cos(x)))).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """Douglas-Peucker on a line: ends stay, and every point farther than tolerance from its chord."""
+    if len(points) < 3:
+        return list(points)
+    p = np.asarray(points, float)
+    keep = np.zeros(len(p), bool)
+    keep[[0, -1]] = True
+    open_ = [(0, len(p) - 1)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        d, v = p[b] - p[a], p[a + 1 : b] - p[a]
+        long = float(d @ d)
+        t = np.clip(v @ d / long, 0, 1) if long else np.zeros(len(v))
+        away = np.hypot(*(v - t[:, None] * d).T)
+        far = int(away.argmax())
+        if away[far] > tolerance:
+            keep[a + 1 + far] = True
+            open_ += [(a, a + 1 + far), (a + 1 + far, b)]
+    return [points[i] for i in np.flatnonzero(keep)]
+
+
+@F.pandas_udf("array<struct<x:double,y:double>>")
+def simplify_line(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
+    def one(line, tol):
+        return None if line is None else [{"x": x, "y": y} for x, y in simplified([(q["x"], q["y"]) for q in line], tol)]
+
+    return pd.Series([one(line, tol) for line, tol in zip(lines, tolerance, strict=True)], dtype=object)
+
+
+def wkb_polygon(rings: list[list[tuple[float, float]]]) -> bytes:
+    return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+
+
+def wkb_multipolygon(polygons: list[list[list[tuple[float, float]]]]) -> bytes:
+    return struct.pack("<BII", 1, 6, len(polygons)) + b"".join(map(wkb_polygon, polygons))
+
+
+def wkb_point(x: float, y: float) -> bytes:
+    return struct.pack("<BIdd", 1, 1, x, y)
+
+
+def geopackage_blob(wkb: bytes, srs: int = 4326) -> bytes:
+    """A GeoPackage header without an envelope, before the WKB."""
+    return b"GP" + struct.pack("<BBi", 0, 1, srs) + wkb
+
+
+@F.pandas_udf("binary")
+def point_wkb(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for lon, lat in batches:
+        yield pd.Series([None if pd.isna(x) or pd.isna(y) else wkb_point(x, y) for x, y in zip(lon, lat, strict=True)], dtype=object)

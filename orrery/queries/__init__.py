@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from orrery.queries import observations
+from orrery.queries.base import ORACLES, QUERIES
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query."""
+    return observations.events_near_point(spark, sf_dir)
