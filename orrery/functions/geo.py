@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Mean Earth radius in metres, metres in a degree for padding, and kilometres for squares.
 EARTH_RADIUS_M = 6_371_008.8
@@ -229,7 +230,7 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
     return [points[i] for i in np.flatnonzero(keep)]
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 def simplify_line(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     def one(line, tol):
         return None if line is None else [{"x": x, "y": y} for x, y in simplified([(q["x"], q["y"]) for q in line], tol)]
@@ -254,7 +255,7 @@ def geopackage_blob(wkb: bytes, srs: int = 4326) -> bytes:
     return b"GP" + struct.pack("<BBi", 0, 1, srs) + wkb
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def point_wkb(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for lon, lat in batches:
         yield pd.Series([None if pd.isna(x) or pd.isna(y) else wkb_point(x, y) for x, y in zip(lon, lat, strict=True)], dtype=object)

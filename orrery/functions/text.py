@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_text(text: str | None) -> str | None:
@@ -17,7 +18,7 @@ def fold_text(text: str | None) -> str | None:
     return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 

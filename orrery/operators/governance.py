@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATES = ("NOT IMPLEMENTED", "KEY REQUIRED", "OFFLINE", "UNAVAILABLE", "NOT STAGED", "STALE", "DELAYED", "CURRENT")
 
@@ -53,7 +54,7 @@ def verified_chain(log: DataFrame, days: int = 1) -> DataFrame:
     ids, which an audit log has few of, and hashes are recomputed in parallel.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def again(prev: pd.Series, at: pd.Series, actor: pd.Series, action: pd.Series, target: pd.Series, details: pd.Series) -> pd.Series:
         rows = zip(prev, at, actor, action, target.astype(object).where(target.notna(), None), details.astype(object).where(details.notna(), None), strict=True)
         return pd.Series([entry_hash(*r) for r in rows], dtype=object)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.queries import observations
+from orrery.queries import analytics, observations  # noqa: F401
 from orrery.queries.base import ORACLES, QUERIES
 
 
