@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,58 @@ def decision_seconds(log: DataFrame, key: str, at: str, opened: Column, decided:
         .where(F.col("opened_at").isNotNull() & (F.col("decided_at") >= F.col("opened_at")))
         .select(key, "turn", (F.unix_timestamp("decided_at") - F.unix_timestamp("opened_at")).alias("seconds"))
     )
+
+
+def seal(manifest: dict) -> str:
+    """Digest of a manifest's canonical text without its own seal."""
+    from orrery.operators.governance import canonical_json
+
+    return hashlib.sha256(canonical_json({k: v for k, v in manifest.items() if k != "content_sha256"}).encode()).hexdigest()
+
+
+def manifest_problems(entries: DataFrame, scenes: DataFrame) -> DataFrame:
+    """entry_id and problem. entries: entry_id, scene_id, sha256, split; scenes: id, sha256.
+
+    Unknown scenes, checksums that differ, entries twice, and scenes in more than one split.
+    """
+    joined = entries.join(scenes.select(F.col("id").alias("scene_id"), F.col("sha256").alias("held")), "scene_id", "left")
+    unknown = joined.where("held is null").select("entry_id", F.lit("unknown scene").alias("problem"))
+    altered = joined.where("held is not null and held <> sha256").select("entry_id", F.lit("checksum differs").alias("problem"))
+    twice = entries.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry_id", F.lit("duplicate").alias("problem"))
+    leaked = entries.groupBy("scene_id").agg(F.count_distinct("split").alias("n")).where("n > 1").join(entries, "scene_id").select("entry_id", F.lit("scene in several splits").alias("problem"))
+    return unknown.union(altered).union(twice).union(leaked).distinct()
+
+
+def site_outcomes(labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """site_id and outcome (tp, fp, fn, tn) of labelled sites.
+
+    labels: site_id, changed, tile_ids, first, last; candidates: tile_ids, latest_before, earliest_after
+    of the accepted. A site is hit by a candidate that shares a tile and overlaps it in time: the join is
+    on tiles, not on all pairs.
+    """
+    a = labels.select("site_id", "first", "last", F.explode("tile_ids").alias("tile"))
+    b = candidates.select("latest_before", "earliest_after", F.explode("tile_ids").alias("tile"))
+    hit = a.join(b, "tile").where((F.col("earliest_after") >= F.col("first")) & (F.col("latest_before") <= F.col("last"))).select("site_id").distinct().withColumn("hit", F.lit(True))
+    found = labels.join(hit, "site_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    outcome = F.when(F.col("changed") & F.col("hit"), "tp").when(F.col("hit"), "fp").when(F.col("changed"), "fn").otherwise("tn")
+    return found.select("site_id", outcome.alias("outcome"))
+
+
+def date_error(pairs: DataFrame, found: str, reference: str) -> DataFrame:
+    """Median and greatest absolute days between two dates; null without pairs."""
+    days = F.abs(F.datediff(F.to_date(found), F.to_date(reference)))
+    return pairs.agg(F.median(days).alias("median_days"), F.max(days).alias("max_days"), F.count(days).alias("n"))
+
+
+def band_means(ranked: DataFrame, score: str, value: str, k: int = 10, key: str = "id") -> DataFrame:
+    """Mean of a value among the k best, the k worst, and all: does a ranking follow it?"""
+    best = ranked.orderBy(F.desc(score), key).limit(k).agg(F.lit("top").alias("band"), F.avg(value).alias("mean"))
+    worst = ranked.orderBy(F.asc(score), key).limit(k).agg(F.lit("bottom").alias("band"), F.avg(value).alias("mean"))
+    return best.union(worst).union(ranked.agg(F.lit("all").alias("band"), F.avg(value).alias("mean")))
+
+
+def states_counted(rows: DataFrame, state: str, states: list[str]) -> DataFrame:
+    """Every state with its count, 0 where it has none."""
+    counts = rows.groupBy(state).agg(F.count(F.lit(1)).alias("n"))
+    spine = rows.sparkSession.createDataFrame([(s,) for s in states], f"{state} string")
+    return spine.join(counts, state, "left").select(state, F.coalesce("n", F.lit(0)).alias("n"))

@@ -302,3 +302,39 @@ def knn_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.groupBy("s", "b").cogroup(asked.groupBy("s", "b")).applyInPandas(nearest, "q bigint, ql int, l int, sim double, id bigint")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where("r <= 10")
     return top.groupBy(F.col("ql").alias("label")).agg(F.round(F.avg((F.col("l") == F.col("ql")).cast("int")), 6).alias("same"))
+
+
+@query("""SELECT l_suppkey AS aoi, count(*) AS scenes, count(*) FILTER (WHERE l_returnflag = 'N') AS usable, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_seen, max(strftime(l_shipdate, '%Y-%m-%d')) AS last_seen FROM lineitem GROUP BY ALL""")
+def scenes_per_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by quality and first and last look of each area, in one pass."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("aoi")).agg(F.count(F.lit(1)).alias("scenes"), F.count_if(F.col("l_returnflag") == "N").alias("usable"), F.min(day).alias("first_seen"), F.max(day).alias("last_seen"))
+
+
+@query("""WITH s(o_orderstatus) AS (VALUES ('O'), ('F'), ('P'), ('X')) SELECT o_orderstatus, coalesce(n, 0) AS n FROM s LEFT JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) USING (o_orderstatus)""")
+def registry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every enumerated state with its count, also those without rows."""
+    return evaluation.states_counted(table(spark, sf_dir, "orders").select("o_orderstatus"), "o_orderstatus", ["O", "F", "P", "X"])
+
+
+@query("""SELECT median(abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)))::DOUBLE AS median_days, max(abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)))::INTEGER AS max_days, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def earliest_date_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days between found and reference dates."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    return evaluation.date_error(pairs, "l_shipdate", "o_orderdate")
+
+
+@query("""WITH r AS (SELECT source, n_chars, doc_id, coalesce(quality, 0) AS hit FROM documents LEFT JOIN labels USING (doc_id)), k AS (SELECT *, row_number() OVER w AS rank, sum(hit) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM r WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id))
+SELECT source, round(avg(hits / rank) FILTER (WHERE hit = 1), 6) AS average_precision FROM k GROUP BY source""")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of each source's ranking; unjudged counts as not relevant."""
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    return evaluation.average_precision(r, "source", F.col("n_chars"), F.col("quality") == 1).select("source", F.round("average_precision", 6).alias("average_precision"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_retailprice AS s, p_size AS v FROM part) SELECT 'top' AS band, round(avg(v), 6) AS mean FROM (SELECT * FROM r ORDER BY s DESC, id LIMIT 10)
+UNION ALL SELECT 'bottom', round(avg(v), 6) FROM (SELECT * FROM r ORDER BY s, id LIMIT 10) UNION ALL SELECT 'all', round(avg(v), 6) FROM r""")
+def proxy_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of a proxy among the best, the worst and all of a ranking."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("s"), F.col("p_size").alias("v"))
+    return evaluation.band_means(p, "s", "v").select("band", F.round("mean", 6).alias("mean"))

@@ -174,3 +174,15 @@ def test_streams(spark, tmp_path):
     stale = streaming.flagged_stale(spark.read.schema(schema).json(str(landing)), "2026-01-03 00:00:00", 24.0, ["x"])
     assert stale.where("stale").count() == 2 and stale.count() == 5
     assert streaming.poll_seconds(4000) == 108.0 and streaming.backoff_seconds(3) == 720 and streaming.backoff_seconds(9, retry_after=2000) == 2000
+
+
+def test_manifests_and_sites(spark):
+    m = {"a": 1, "b": [2]}
+    m["content_sha256"] = evaluation.seal(m)
+    assert evaluation.seal(m) == m["content_sha256"] and evaluation.seal(m | {"a": 2}) != m["content_sha256"]
+    e = spark.createDataFrame([("1", "s", "x", "train"), ("2", "s", "x", "test"), ("3", "u", "x", "test"), ("4", "t", "y", "test")], "entry_id string, scene_id string, sha256 string, split string")
+    s = spark.createDataFrame([("s", "x"), ("t", "x")], "id string, sha256 string")
+    assert sorted(map(tuple, evaluation.manifest_problems(e, s).collect())) == [("1", "scene in several splits"), ("2", "scene in several splits"), ("3", "unknown scene"), ("4", "checksum differs")]
+    labels = spark.createDataFrame([("a", True, ["t1"], "2020", "2022"), ("b", True, ["t2"], "2020", "2022"), ("c", False, ["t1"], "2019", "2022"), ("d", False, ["t9"], "2020", "2022")], "site_id string, changed boolean, tile_ids array<string>, first string, last string")
+    found = spark.createDataFrame([(["t1", "t3"], "2020-05", "2021-01"), (["t2"], "2023-05", "2024-01")], "tile_ids array<string>, latest_before string, earliest_after string")
+    assert sorted(map(tuple, evaluation.site_outcomes(labels, found).collect())) == [("a", "tp"), ("b", "fn"), ("c", "fp"), ("d", "tn")]
