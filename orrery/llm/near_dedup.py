@@ -7,8 +7,9 @@
    however large a group. Sizes too different, or an estimate too low, drop a pair: equal positions by
    bit counts, corrected for the quarter that agrees by chance, five deviations of leeway.
 4. Pairs left are confirmed by the size of the intersection of their sets, and join components.
-5. Where a bucket then still holds several components, all its pairs across components are tested the
-   same way, so that no link between components is lost; within one, none is needed.
+5. Where a bucket then still holds several components, its members are held against each other inside
+   tasks of bounded size (``Links.across``), so that no link between components is lost and no list of
+   pairs is written; within a component, no further link is needed.
 
 At the threshold, 0.85, a linked pair shares no band with probability (1 - 0.85^4)^32 < 1e-10.
 
@@ -35,6 +36,8 @@ HASHES, BANDS, ROWS, PLANES = 128, 32, 4, 2
 SIGNATURE = [f"s{i}" for i in range(PLANES * HASHES // 64)]
 #: Ids of 16 MB at most are broadcast to fetch the texts of candidates.
 BROADCAST_IDS = 2_000_000
+#: Members of a block of a bucket; a task holds two blocks.
+BLOCK = 2048
 
 
 def packed(least: np.ndarray) -> np.ndarray:
@@ -114,23 +117,91 @@ class Links:
         small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
         return (small * 100 >= large * self.percent) & (equal_positions("x", "y") >= least_equal(self.percent / 100))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs a < b, read from where they were written, whose sets are similar enough."""
-        ids = staged(
-            pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct().join(self.classes.select("set_hash", "doc_id"), "set_hash"), "wanted"
-        )
-        few = ids.count() <= BROADCAST_IDS
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """set_hash and members of the wanted classes (distinct set_hash), from their texts."""
+        ids = staged(wanted.join(self.classes.select("set_hash", "doc_id"), "set_hash"), "wanted")
         known = ids.where("doc_id is not null").select("doc_id").distinct()
-        found = self.docs.join(F.broadcast(known) if few else known, "doc_id").select("text")
+        found = self.docs.join(_few(known), "doc_id").select("text")
         if ids.where("doc_id is null").limit(1).count():
             found = found.union(self.docs.where("doc_id is null").select("text"))
-        sets = staged(_sets(found, self.width).where("set_hash is not null").dropDuplicates(["set_hash"]), "sets")
+        return staged(_sets(found, self.width).where("set_hash is not null").dropDuplicates(["set_hash"]), "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs a < b, read from where they were written, whose sets are similar enough."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct())
         both = pairs.join(sets.select(F.col("set_hash").alias("b"), F.col("members").alias("y")), "b").join(
             sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a"
         )
         common = F.size(F.array_intersect("x", "y"))
         return staged(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent).select("a", "b"), "links")
 
+    def across(self, open_: DataFrame) -> DataFrame:
+        """Links between components inside buckets. open_: key, x and root of the buckets that hold several.
+
+        A bucket is cut into blocks of BLOCK members, and each two blocks are one task, so no task holds
+        more however large the bucket. First, by signatures alone, members without a likely partner in
+        another component drop out. Then a member's set is held against all others at once, by lists of
+        which sets have a shingle; most likely hubs first, as they join most, and members of the largest
+        component never, as the others are held against them. No pairs are written out: a task gives one
+        link for each two components it joins.
+        """
+        sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        dealt = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("x.set_hash"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        dealt = dealt.select(task.alias("task"), "root", "x.*")
+        percent, least = self.percent, least_equal(self.percent / 100)
+        given = [f.name for f in dealt.schema.fields]
+
+        def partnered(t: pa.Table) -> pa.Table:
+            return t.filter(pa.array(_likely_partners(t, percent, least) > 0))
+
+        kept = staged(dealt.groupBy("task").applyInArrow(partnered, dealt.schema), "partnered")
+        sets = self.sets(kept.select("set_hash").distinct())
+
+        def joined(t: pa.Table) -> pa.Table:
+            pairs = sorted(tuple(sorted(p)) for p in _joining(t, percent, least))
+            return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+        full = kept.join(sets, "set_hash").select(*given, "members")
+        return staged(full.groupBy("task").applyInArrow(joined, "a binary, b binary").distinct(), "across")
+
+
+def _likely_partners(t: pa.Table, percent: int, least: int) -> np.ndarray:
+    """How many likely partners in other components each member has."""
+    n, roots = t["n_shingles"].to_numpy(), np.unique(t["root"].to_pylist(), return_inverse=True)[1]
+    longs, out = HASHES // 64, np.zeros(t.num_rows, np.int64)
+    planes = [np.stack([t[SIGNATURE[p * longs + i]].to_numpy() for i in range(longs)], 1) for p in range(PLANES)]
+    for i in range(t.num_rows):
+        differ = np.bitwise_count((planes[0] ^ planes[0][i]) | (planes[1] ^ planes[1][i])).sum(1)
+        alike = (HASHES - differ.astype(np.int64) >= least) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+        out[i] = (alike & (roots != roots[i])).sum()
+    return out
+
+
+def _joining(t: pa.Table, percent: int, least: int) -> Iterator[tuple[bytes, bytes]]:
+    """Confirmed links that join the components of a task's members, as far as any exist."""
+    names, sets = t["set_hash"].to_pylist(), [np.asarray(m.values) for m in t["members"]]
+    comp = np.unique(t["root"].to_pylist(), return_inverse=True)[1]
+    n, degree = np.array([len(s) for s in sets]), _likely_partners(t, percent, least)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(number, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    of = np.split(number, np.cumsum(n)[:-1])
+    todo = degree > 0
+    while True:
+        largest = np.bincount(comp).argmax()
+        left = np.flatnonzero(todo & (comp != largest))
+        if not len(left):
+            return
+        x = left[degree[left].argmax()]
+        todo[x] = False
+        common = np.bincount(np.concatenate([holders[begin[s] : begin[s + 1]] for s in of[x]]), minlength=len(sets))
+        for y in np.flatnonzero((common * 100 >= (n + n[x] - common) * percent) & (comp != comp[x])):
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                yield names[x], names[y]
+
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """key and class (a struct) for each class and band."""
@@ -151,21 +222,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first(one).alias("one")).select("set_hash", "doc_id", "one.*"), "classes"
     )
     links = Links(docs, classes, width, percent)
-    buckets = _buckets(classes)
-    pivots = buckets.groupBy("key").agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keys = classes.select(F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"))
+    shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    buckets = staged(_buckets(classes).join(_few(shared), "key"), "buckets")
+    pivots = buckets.groupBy("key").agg(F.min("x").alias("y"))
     stars = staged(_ordered(buckets.join(pivots, "key").where((F.col("x.set_hash") != F.col("y.set_hash")) & links.likely())), "stars")
     found = links.confirmed(stars)
     roots = components(found)
 
-    # buckets that hold several components still: their pairs across components
-    named = buckets.join(roots.select(F.col("node"), "root"), F.col("x.set_hash") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.set_hash").alias("root"))
-    mixed_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = staged(named.join(mixed_keys, "key"), "open")
-    other = open_.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-    across = open_.join(other, "key").where((F.col("root") < F.col("other")) & links.likely())
-    rest = staged(_ordered(across).join(stars, ["a", "b"], "left_anti"), "across")
-    if rest.limit(1).count():
-        roots = components(found.union(links.confirmed(rest)))
+    # buckets that hold several components still
+    named = buckets.join(roots, F.col("x.set_hash") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.set_hash").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    more = links.across(staged(named.join(several, "key"), "open"))
+    if more.limit(1).count():
+        roots = components(found.union(more))
 
     labels = classes.select("set_hash", "doc_id").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     ids = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from orrery.llm import near_dedup
 from orrery.llm.components import components
 from orrery.llm.near_dedup import HASHES, least_equal, near_duplicates, packed
 from orrery.llm.shingles import factors, minima, shingle_sets, word_hashes
@@ -46,8 +47,9 @@ def edited(rnd, words, n):
     return words
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_as_brute_force(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 8), (5, 80, 2048)])
+def test_as_brute_force(spark, monkeypatch, width, percent, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rnd, rows = random.Random(8), []
     for g in range(14):
         base = [f"{g}x{i}" for i in range(rnd.choice([8, 40, 200]))]
