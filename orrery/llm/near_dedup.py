@@ -36,8 +36,8 @@ HASHES, BANDS, ROWS, PLANES = 128, 32, 4, 2
 SIGNATURE = [f"s{i}" for i in range(PLANES * HASHES // 64)]
 #: Ids of 16 MB at most are broadcast to fetch the texts of candidates.
 BROADCAST_IDS = 2_000_000
-#: Members of a block of a bucket; a task holds two blocks.
-BLOCK = 2048
+#: Members, and shingles of members, of a block of a bucket; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 
 
 def packed(least: np.ndarray) -> np.ndarray:
@@ -145,7 +145,8 @@ class Links:
         component never, as the others are held against them. No pairs are written out: a task gives one
         link for each two components it joins.
         """
-        sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("x.n_shingles") / BLOCK_SHINGLES)
+        sizes = open_.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
         dealt = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("x.set_hash"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
