@@ -144,7 +144,11 @@ def backoff(totals: list[np.ndarray], all_words: int) -> np.ndarray:
 
 
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, score and mean of every row."""
+    """doc_id, n_words, score and mean of every row.
+
+    docs are read twice and must come in the same order both times: a table, not the outcome of a shuffle.
+    A block that comes otherwise raises an error.
+    """
     small_batches(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0

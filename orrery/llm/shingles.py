@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         elif n:
             one = np.uint64(n)
             for w in words[first[i] : first[i] + n]:
-                one = mixed(np.array([one + w], np.uint64))[0]
+                one = mixed(np.array([one], np.uint64) + w)[0]
             out.append(np.array([one], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -87,10 +87,9 @@ def _matrix(vectors: list[list[int]]) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id and score. vectors and queries: vec_id and a vector of whole numbers."""
     shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
-    rid = F.monotonically_increasing_id()
-    placed = vectors.select("vec_id", "vector", F.pmod(F.xxhash64(rid), F.lit(shards)).alias("shard"))
+    placed = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "vector", F.pmod(F.xxhash64(rid, F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("bigint"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
