@@ -125,3 +125,12 @@ def changed_regions(pairs: DataFrame, predict: Callable[[np.ndarray, np.ndarray]
             yield pd.DataFrame(out, columns=["run_id", "region", "pixels", "mean_score", "row0", "col0", "row1", "col1", "small"])
 
     return pairs.mapInPandas(run, "run_id string, region int, pixels int, mean_score double, row0 int, col0 int, row1 int, col1 int, small boolean")
+
+
+def overlaps(region_pixels: DataFrame, tiles: DataFrame, tile_px: int = TILE_PX) -> DataFrame:
+    """run_id, region, candidate and pixels that a region shares with a candidate's tiles.
+
+    region_pixels: run_id, region, row, col; tiles: candidate, tile_row, tile_col. Joined on the tile.
+    """
+    dealt = region_pixels.withColumns({"tile_row": F.floor(F.col("row") / tile_px), "tile_col": F.floor(F.col("col") / tile_px)})
+    return dealt.join(tiles, ["tile_row", "tile_col"]).groupBy("run_id", "region", "candidate").agg(F.count(F.lit(1)).alias("pixels"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +125,51 @@ def output_problems() -> Column:
     """Problems of a model's output record under the contract."""
     confidence = F.col("confidence").isNull() | F.col("confidence").between(0, 1)
     return contract_problems([(F.col("capability").isNotNull(), "capability missing"), (F.col("model").isNotNull(), "model missing"), (F.col("kind").isin("detection", "segmentation", "classification", "similarity", "summary"), "unknown kind"), (confidence, "confidence out of range"), (F.size("evidence") > 0, "no evidence")])
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """Pixels (rows, columns, bands) of a striped TIFF, plain or deflated, chunky."""
+    t = tags(data)
+    order = "<" if data[:2] == b"II" else ">"
+    width, height, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
+    bits, kind = t.get(258, (8,))[0], {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]]
+    packing = t.get(259, (1,))[0]
+    if packing not in (1, 8, 32946) or 273 not in t or t.get(284, (1,))[0] != 1 or t.get(317, (1,))[0] != 1:
+        raise ValueError("only plain or deflated strips of interleaved bands are read")
+    strips = [data[a : a + n] for a, n in zip(t[273], t[279], strict=True)]
+    raw = b"".join(strips if packing == 1 else map(zlib.decompress, strips))
+    return np.frombuffer(raw, np.dtype(f"{order}{kind}{bits // 8}"), height * width * bands).reshape(height, width, bands)
+
+
+def raster_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, band, row and values of every line of every raster under a path; a file that cannot be read gives its problem."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "band", "row", "values", "problem"]
+        for batch in batches:
+            for p, data in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    a = pixels(data)
+                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                    yield pd.DataFrame([(p, None, None, None, str(e))], columns=names)
+                    continue
+                for b in range(a.shape[2]):
+                    yield pd.DataFrame([(p, b, r, a[r, :, b].astype(float).tolist(), None) for r in range(a.shape[0])], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, band int, row int, values array<double>, problem string")
+
+
+def uses(headers: DataFrame, bands: int = 6) -> DataFrame:
+    """headers with, for each use, whether a file serves it: supported, or what stands against it."""
+
+    def verdict(*checks: tuple[Column, str]) -> Column:
+        against = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in checks]), lambda m: m.isNotNull())
+        return F.when(F.size(against) == 0, "SUPPORTED").otherwise(F.concat(F.lit("NOT COMPATIBLE: "), F.array_join(against, "; ")))
+
+    placed = (F.col("problem").isNull(), "no place on the ground")
+    return headers.withColumns({"display": verdict(placed), "change": verdict(placed, (F.col("bands") >= bands, "bands missing"), (F.col("bits") == 16, "not 16 bits")), "search": verdict(placed, (F.col("bands") >= 3, "no colour bands"))})
+
+
+def unregistered(headers: DataFrame, registered: DataFrame) -> DataFrame:
+    """Files whose content is not registered yet; of equal ones, one."""
+    return headers.dropDuplicates(["sha256"]).join(registered.select("sha256"), "sha256", "left_anti")

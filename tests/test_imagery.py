@@ -71,3 +71,34 @@ def test_schemas(spark):
         assert schemas.migrated(spark.createDataFrame([(1, "x")], "id int, extra string"), name).schema == spark.createDataFrame([], schemas.schema(name)).schema
     bad = spark.createDataFrame([(None, "m", "guess", 2.0, [])], "capability string, model string, kind string, confidence double, evidence array<string>")
     assert len(bad.select(rasters.output_problems().alias("p")).first().p) == 4
+
+
+def test_pixels_uses_and_overlaps(spark, tmp_path):
+    import zlib
+
+    import numpy as np
+
+    from orrery.operators import raster
+
+    a = np.arange(2 * 3 * 2, dtype="<u2").reshape(2, 3, 2)
+    for name, packing in (("p", 1), ("d", 8)):
+        strips = [a[i].tobytes() if packing == 1 else zlib.compress(a[i].tobytes()) for i in range(2)]
+        base, n = 8 + 2 + 12 * 7 + 4, 7
+        offsets = struct.pack("<II", base + 16, base + 16 + len(strips[0]))
+        sizes = struct.pack("<II", *map(len, strips))
+        entries = [(256, 3, 1, struct.pack("<HH", 3, 0)), (257, 3, 1, struct.pack("<HH", 2, 0)), (258, 3, 1, struct.pack("<HH", 16, 0)), (259, 3, 1, struct.pack("<HH", packing, 0)), (273, 4, 2, struct.pack("<I", base)), (277, 3, 1, struct.pack("<HH", 2, 0)), (279, 4, 2, struct.pack("<I", base + 8))]
+        data = b"II*\0" + struct.pack("<IH", 8, n) + b"".join(struct.pack("<HHI", t, k, c) + v for t, k, c, v in entries) + bytes(4) + offsets + sizes + b"".join(strips)
+        assert np.array_equal(rasters.pixels(data), a)
+        (tmp_path / f"{name}.tif").write_bytes(data)
+    (tmp_path / "x.tif").write_bytes(b"no")
+    rows = rasters.raster_rows(spark, str(tmp_path)).collect()
+    assert sum(r.problem is not None for r in rows) == 1 and len(rows) == 9
+    assert sorted((r.band, r.row, r.values) for r in rows if r.path.endswith("d.tif"))[1] == (0, 1, [6.0, 8.0, 10.0])
+    (tmp_path / "g.tif").write_bytes(tiff())
+    u = {r.path[-5:]: r for r in rasters.uses(rasters.inspected(spark, str(tmp_path))).collect()}
+    assert u["g.tif"].change == "SUPPORTED" and u["p.tif"].display.startswith("NOT COMPATIBLE")
+    headers = rasters.inspected(spark, str(tmp_path))
+    assert rasters.unregistered(headers, headers.where("path like '%g.tif'").select("sha256")).count() == 3
+    px = spark.createDataFrame([("r", 1, 5, 5), ("r", 1, 15, 5), ("r", 2, 95, 5)], "run_id string, region int, row int, col int")
+    t = spark.createDataFrame([("c", 0, 0), ("c", 1, 0)], "candidate string, tile_row bigint, tile_col bigint")
+    assert [tuple(r) for r in raster.overlaps(px, t).collect()] == [("r", 1, "c", 2)]
