@@ -68,9 +68,9 @@ def _set_hash(members: np.ndarray) -> bytes | None:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, bands and signature of every row."""
+    """doc_id, row_key (a hash of the text), n_shingles, set_hash, bands and signature of every row."""
     small_batches(docs.sparkSession)
-    schema = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNATURE)
+    schema = "doc_id bigint, row_key bigint, n_shingles bigint, set_hash binary, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factors(HASHES)
@@ -83,15 +83,20 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_hash(s) for s in sets], pa.binary()),
                     pa.array([k if len(x) else None for k, x in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                     *[pa.array(longs[:, i], pa.int64()) for i in range(len(SIGNATURE))],
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "bands", *SIGNATURE],
+                names=["doc_id", "row_key", "n_shingles", "set_hash", "bands", *SIGNATURE],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", _row_key()).mapInArrow(run, schema)
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -216,6 +221,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links hold similarity * 100 >= percent."""
+    found = clustered(docs, width, percent).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def clustered(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, component (null without shingles) and component_id of every row."""
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     rows = staged(signed(docs, width), "signed")
     one = F.struct("n_shingles", "bands", *SIGNATURE)
@@ -240,30 +251,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     labels = classes.select("set_hash", "doc_id").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     ids = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named_classes = labels.join(ids, "root").select("set_hash", "component_id")
-    return (
-        rows.select("doc_id", "n_shingles", "set_hash")
-        .join(named_classes, "set_hash", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    named_classes = labels.join(ids, "root").select("set_hash", F.col("root").alias("component"), "component_id")
+    return rows.select("doc_id", "row_key", "n_shingles", "set_hash").join(named_classes, "set_hash", "left").drop("set_hash")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with all its columns: that of the least doc_id. Texts stay in place.
+    """One row of each component, with all its columns: of the least doc_id, then of one of its texts.
 
-    Rows that are equal in doc_id and text are one row; rows without an id stay only if their component
-    has no id at all.
+    Rows without an id stand behind all others. Rows without shingles stay. Texts stay in place: what
+    moves are ids and hashes of texts.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    again = staged(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
-    left = docs.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    found = staged(clustered(docs, width, percent).where("component is not null").select("component", "doc_id", "row_key"), "found")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
+    best = found.groupBy("component").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows"))
+    other = found.join(best.where("rows > 1").select("component", "best"), "component").where(first != F.col("best"))
+    gone = staged(other.select(F.col("doc_id").alias("gone_id__"), F.col("row_key").alias("gone_key__")).distinct(), "gone")
+    same_gone = (_row_key() == F.col("gone_key__")) & F.col("doc_id").eqNullSafe(F.col("gone_id__"))
+    left = docs.join(_few(gone), same_gone, "left_anti")
+    twice = found.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id__"), F.col("row_key").alias("again_key__"))
+    again = staged(twice, "again")
     if not again.limit(1).count():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    once = left.join(_few(again), same, "left_anti")
-    return once.unionByName(left.join(_few(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = (_row_key() == F.col("again_key__")) & F.col("doc_id").eqNullSafe(F.col("again_id__"))
+    return left.join(_few(again), same, "left_anti").unionByName(left.join(_few(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _few(ids: DataFrame) -> DataFrame:

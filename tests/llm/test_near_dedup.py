@@ -69,6 +69,16 @@ def test_as_brute_force(spark, monkeypatch, width, percent, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base, "x"), (3, base + " end", "y"), (None, base, "n"), (3, base, "z"), (9, "", "e"), (9, "", "e"), (None, "alone in all the world here", "a"), (5, "another text of its own stays", "b"), (5, "another text of its own stays", "b"), (None, None, "o")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, name string")
+    got = near_dedup.deduplicated(docs).collect()
+    assert sorted(r.name for r in got if r.doc_id != 3) == ["a", "b", "e", "e", "o"]
+    assert [r.doc_id for r in got].count(3) == 1
+    assert near_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
