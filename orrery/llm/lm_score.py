@@ -45,28 +45,35 @@ MESSAGE = "block bigint, order int, bucket int, hashes binary, counts binary"
 STREAM = "block bigint, doc_ids binary, known binary, lengths binary, words binary, hashes binary"
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Entropy-coded, behind its length: most bytes of differences and counts are alike, which block compression misses."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _spread(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint8)
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"), np.uint8)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Rising numbers, as differences, their first bytes first: the high bytes are mostly zeros then."""
-    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return _squeezed(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    if not data:
-        return np.zeros(0, kind)
-    flat = np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T
-    return np.cumsum(np.ascontiguousarray(flat).view(kind).ravel(), dtype=kind)
+    size, flat = np.dtype(kind).itemsize, _spread(data)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).ravel(), dtype=kind)
 
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers under 2^32, their bytes in four planes."""
-    return x.astype("<u4").view(np.uint8).reshape(len(x), 4).T.tobytes()
+    return _squeezed(x.astype("<u4").view(np.uint8).reshape(len(x), 4).T.tobytes())
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, "<u4")
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, len(data) // 4).T).view("<u4").ravel()
+    flat = _spread(data)
+    return np.ascontiguousarray(flat.reshape(4, len(flat) // 4).T).view("<u4").ravel()
 
 
 def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
