@@ -36,7 +36,7 @@ def test_projections_and_lines(spark):
     r = p.select(geo.lonlat_to_utm(F.col("lon"), F.col("lat"), 44).alias("u")).select("u.*", geo.utm_to_lonlat(F.col("u.easting"), F.col("u.northing"), 44).alias("b")).first()
     assert abs(r.b.lon - 81.6) < 1e-8 and abs(r.b.lat - 21.25) < 1e-8 and 500_000 < r.easting < 600_000
     assert geo.simplified([(0, 0), (1, 0.001), (2, 0), (2, 2)], 0.01) == [(0, 0), (2, 0), (2, 2)]
-    got = spark.sql("select array(struct(0d as x, 0d as y), struct(1d, 0.001d), struct(2d, 0d)) as line").select(geo.simplify_line("line", F.lit(0.01)).alias("s")).first().s
+    got = spark.sql("select array(struct(0d as x, 0d as y), struct(1d as x, 0.001d as y), struct(2d as x, 0d as y)) as line").select(geo.simplify_line("line", F.lit(0.01)).alias("s")).first().s
     assert len(got) == 2
     w = spark.createDataFrame([(480,), (100,), (224,)], "n int").select(geo.window_offsets(F.col("n"), 224).alias("w")).collect()
     assert [r.w for r in w] == [[0, 128, 256], [], [0]]
