@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STATES = ("NOT IMPLEMENTED", "KEY REQUIRED", "OFFLINE", "UNAVAILABLE", "NOT STAGED", "STALE", "DELAYED", "CURRENT")
+#: Ids of a range of a log that is sorted by itself.
+BLOCK = 4096
 
 
 def provenance_id(*parts: Column) -> Column:
@@ -47,11 +49,27 @@ def entry_hash(previous: str, at: str, actor: str, action: str, target: str | No
     return hashlib.sha256(json.dumps([previous, at, actor, action, target, details], ensure_ascii=False).encode()).hexdigest()
 
 
+def beside(log: DataFrame, value: Column, name: str) -> DataFrame:
+    """log with value of the row before, by id (a whole number, given once), as name.
+
+    Rows are ranges of BLOCK ids, each sorted by itself; the last value of each range is carried over to
+    the next one, so only a row for each range passes through one task.
+    """
+    block = F.expr(f"id div {BLOCK}")
+    held = log.withColumns({"block__": block, "value__": value})
+    ends = held.groupBy("block__").agg(F.max_by("value__", "id").alias("end__"))
+    ends = ends.select("block__", F.lag("end__").over(Window.partitionBy(F.lit(1)).orderBy("block__")).alias("end__"))
+    order = Window.partitionBy("block__").orderBy("id")
+    first = F.row_number().over(order) == 1
+    before = held.withColumns({"first__": first, "lag__": F.lag("value__").over(order)}).join(ends, "block__")
+    return before.withColumn(name, F.when(F.col("first__"), F.col("end__")).otherwise(F.col("lag__"))).drop("block__", "value__", "first__", "lag__", "end__")
+
+
 def verified_chain(log: DataFrame, days: int = 1) -> DataFrame:
     """id and problem of the broken rows of an audit log: id, at, actor, action, target, details, prev_hash, hash.
 
-    An exact copy of the row before is tolerated. The chain is one sequence; the lag runs over the log's
-    ids, which an audit log has few of, and hashes are recomputed in parallel.
+    An exact copy of the row before is tolerated. The chain is one sequence; its rows are held against the
+    row before in ranges of ids, and hashes are recomputed in parallel.
     """
 
     @F.pandas_udf(T.StringType())
@@ -59,10 +77,9 @@ def verified_chain(log: DataFrame, days: int = 1) -> DataFrame:
         rows = zip(prev, at, actor, action, target.astype(object).where(target.notna(), None), details.astype(object).where(details.notna(), None), strict=True)
         return pd.Series([entry_hash(*r) for r in rows], dtype=object)
 
-    order = Window.partitionBy(F.lit(1)).orderBy("id")
     same = F.struct("at", "actor", "action", "target", "details", "prev_hash", "hash")
-    rows = log.withColumn("copy", F.lag(same).over(order).eqNullSafe(same))
-    rows = rows.where(~F.coalesce("copy", F.lit(False))).withColumn("expected", F.coalesce(F.lag("hash").over(order), F.lit("")))
+    rows = beside(log, same, "before")
+    rows = rows.where(~F.col("before").eqNullSafe(same)).withColumn("expected", F.coalesce("before.hash", F.lit("")))
     wrong = F.when(F.col("prev_hash") != F.col("expected"), "broken link").when(F.col("hash") != again("prev_hash", "at", "actor", "action", "target", "details"), "altered row")
     return rows.withColumn("problem", wrong).where("problem is not null").select("id", "problem")
 

@@ -226,11 +226,38 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS k, lag(o_custkey) OVER (ORDER BY o_orderkey) AS before, CASE WHEN o_orderkey % 500 = 0 THEN -1 ELSE lag(o_custkey) OVER (ORDER BY o_orderkey) END AS claimed FROM orders WHERE o_orderkey < 20000)
 SELECT id FROM o WHERE claimed IS DISTINCT FROM before""")
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a chain whose claim of the row before is wrong."""
-    order = Window.partitionBy(F.lit(1)).orderBy("o_orderkey")
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 20000").select("o_orderkey", "o_custkey").withColumn("before", F.lag("o_custkey").over(order))
-    claimed = F.when(F.col("o_orderkey") % 500 == 0, F.lit(-1)).otherwise(F.col("before"))
-    return o.where(~claimed.eqNullSafe(F.col("before"))).select(F.col("o_orderkey").alias("id"))
+    """Rows of a chain whose claim of the row before is wrong: orders as an audit log, in which every 500th breaks off."""
+    return governance.verified_chain(_order_log(table(spark, sf_dir, "orders"))).select("id")
+
+
+def _order_log(orders: DataFrame) -> DataFrame:
+    """orders as a log chained by hashes; rows whose key 500 divides claim a row before that is not there.
+
+    A hash needs the one before, so the rows from one such break to the next are chained in one task.
+    """
+    import pandas as pd
+
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    log = orders.select(key.alias("id"), day.alias("at"), F.col("o_custkey").cast("string").alias("actor"), F.lit("order").alias("action"), key.cast("string").alias("target"), F.lit(None).cast("string").alias("details"))
+    # the break a row stands behind is the last one of its range, else of an earlier range
+    ends = log.select(F.expr(f"id div {governance.BLOCK}").alias("block"), F.when(F.col("id") % 500 == 0, F.col("id")).alias("break")).groupBy("block").agg(F.max("break").alias("last"))
+    earlier = ends.select("block", F.max("last").over(Window.partitionBy(F.lit(1)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    order = Window.partitionBy("block").orderBy("id")
+    own = F.max(F.when(F.col("id") % 500 == 0, F.col("id"))).over(order)
+    placed = log.withColumn("block", F.expr(f"id div {governance.BLOCK}")).withColumn("own", own).join(earlier, "block")
+
+    def chained(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id").astype(object)
+        f = f.where(f.notna(), None)
+        before, links = "", []
+        for r in f.itertuples():
+            before = "-1" if r.id % 500 == 0 else before
+            links.append((before, before := governance.entry_hash(before, r.at_, r.actor, r.action, r.target, r.details)))
+        return f.drop(columns="since").rename(columns={"at_": "at"}).assign(prev_hash=[p for p, _ in links], hash=[h for _, h in links])
+
+    rows = placed.select("id", F.col("at").alias("at_"), "actor", "action", "target", "details", F.coalesce("own", "earlier").alias("since"))
+    return rows.groupBy("since").applyInPandas(chained, "id bigint, at string, actor string, action string, target string, details string, prev_hash string, hash string")
 
 
 @query("""WITH r AS (SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY n_chars DESC, doc_id LIMIT 50) SELECT round(avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 6) AS precision, count(*) AS n FROM r""")
