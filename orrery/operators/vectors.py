@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geo, vector
 
+#: Side of a tile of spaced_per_group, in spacings; rows of a group that is one tile; rows of a task.
+TILE, WHOLE, TASK = 8, 20_000, 20_000
+
 
 def top_k(rows: DataFrame, query: list[float], k: int, column: str = "embedding", key: str = "id") -> DataFrame:
     """The k rows most similar to a query vector, ties to the smaller key: each task keeps k."""
@@ -71,11 +77,80 @@ def spaced(ranked: pd.DataFrame, metres: float = 300.0, taken: pd.DataFrame | No
     return ranked.iloc[keep]
 
 
-def spaced_per_group(ranked: DataFrame, group: str, metres: float, candidates: int) -> DataFrame:
-    """The spaced rows of each group, among its best candidates; ranked: group, id, lon, lat, score."""
-    order = Window.partitionBy(group).orderBy(F.desc("score"), "id")
-    best = ranked.withColumn("r__", F.row_number().over(order)).where(F.col("r__") <= candidates)
-    return best.groupBy(group).applyInPandas(lambda f: spaced(f.sort_values("r__"), metres).drop(columns="r__"), ranked.schema)
+def spaced_per_group(ranked: DataFrame, group: str, metres: float) -> DataFrame:
+    """The spaced rows of each group, best first over its whole ranking; ranked: group, id, lon, lat, score.
+
+    The greedy pass runs in tiles of space (a small group is one tile) and in rounds. A tile sees its own rows and those within metres
+    around it; it keeps a row once all better ones near it are known to be dropped, drops it once one of
+    them is kept, and leaves it to the next round while one from outside is open. The best open row of a
+    group is always decided, so the rounds end. Rows without a place are near nothing and kept.
+    """
+    kept_cols = ranked.columns
+    lon, lat = F.radians(F.col("lon").cast("double")), F.radians(F.col("lat").cast("double"))
+    score = F.col("score").cast("double")
+    placed = ~(F.isnan(lon) | F.isnan(lat) | lon.isNull() | lat.isNull())
+    reach = 2 * math.sin(min(metres / (2 * geo.EARTH_RADIUS_M), math.pi / 2)) * (1 + 1e-9) + 1e-12
+    side = TILE * reach
+    sizes = ranked.groupBy(F.col(group).alias("of__")).agg(F.count(F.lit(1)).alias("rows__")).select("of__", "rows__", (F.col("rows__") <= WHOLE).alias("whole__"))
+    tasks = max(1, -(-(sizes.agg(F.sum("rows__")).first()[0] or 0) // TASK))
+    rows = ranked.where(placed).join(sizes, F.col(group).eqNullSafe(F.col("of__"))).drop("of__", "rows__").withColumns(
+        {
+            "x__": F.cos(lat) * F.cos(lon),
+            "y__": F.cos(lat) * F.sin(lon),
+            "z__": F.sin(lat),
+            "class__": F.when(score.isNull(), 2).when(F.isnan(score), 0).otherwise(1),
+            "score__": F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)),
+            "kept__": F.lit(False),
+        }
+    )
+    tile = lambda c: F.when(F.col("whole__"), F.lit(0).cast("bigint")).otherwise(F.floor(c / side))
+    names = ["tile_x__", "tile_y__", "tile_z__"]
+    own = F.lit(True)
+    for c in ("x__", "y__", "z__"):
+        own = own & (tile(F.col(c)) == F.col(f"tile_{c}"))
+
+    def decided(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["class__", "score__", "id"], ascending=[True, False, True])
+        return pd.concat([_decided(t, metres) for _, t in f.groupby([group, *names], sort=False, dropna=False)]).drop(columns=["own__", "task__", *names])
+
+    while True:
+        tiles = rows
+        for c in ("x__", "y__", "z__"):
+            tiles = tiles.withColumn(f"tile_{c}", F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
+        tiles = tiles.withColumns({"own__": own, "task__": F.pmod(F.xxhash64(group, *names), F.lit(tasks))})
+        rows = _checkpointed(tiles.groupBy("task__").applyInPandas(decided, rows.schema))
+        if not rows.where("not kept__").limit(1).count():
+            return rows.select(*kept_cols).union(ranked.where(~placed))
+
+
+def _decided(f: pd.DataFrame, metres: float) -> pd.DataFrame:
+    """A tile's own rows that are kept or still open; f: best first."""
+    import numpy as np
+
+    xs, ys, was, own = f["lon"].to_numpy(float), f["lat"].to_numpy(float), f["kept__"].to_numpy(bool), f["own__"].to_numpy(bool)
+    a, cos, kept = np.empty((2, len(f))), np.empty(len(f)), np.zeros(len(f), bool)
+    left: list[int] = []
+    for i in range(len(f)):
+        m, b = len(left), np.radians(ys[i])
+        now = was[i]
+        if not now:
+            h = np.sin((b - a[1, :m]) / 2) ** 2 + cos[:m] * np.cos(b) * np.sin(np.radians(a[0, :m] - xs[i]) / 2) ** 2
+            near = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(h)) < metres
+            if (near & kept[:m]).any():
+                continue
+            now = own[i] and not near.any()
+        a[:, m], cos[m], kept[m] = (xs[i], b), np.cos(b), now
+        left.append(i)
+    out = f.iloc[left].assign(kept__=kept[: len(left)])
+    return out[own[left]]
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+    return df.checkpoint()
 
 
 def explained(rows: DataFrame, query: dict[str, float], most: int = 3) -> DataFrame:

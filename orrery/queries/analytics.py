@@ -207,7 +207,7 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.queries.base import lat_of, lon_of
 
     s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), lon_of(F.col("c_custkey")).alias("lon"), lat_of(F.col("c_custkey")).alias("lat"), F.col("c_acctbal").alias("score"))
-    return vectors.spaced_per_group(s, "nation", 150_000.0, 200)
+    return vectors.spaced_per_group(s, "nation", 150_000.0)
 
 
 @query("SELECT page_id, 'prov-' || substr(sha256('page|' || url || '||' || '1'), 1, 16) AS provenance FROM pages")

@@ -2,9 +2,11 @@
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from orrery.operators import governance
+from orrery.operators import governance, vectors
 from orrery.queries import QUERIES
 
 
@@ -37,3 +39,29 @@ def test_chain_over_ranges_of_ids(spark):
     check = lambda r: sorted(tuple(x) for x in governance.verified_chain(spark.createDataFrame(r, schema)).collect())
     assert check(rows) == []
     assert check(rows[: cut - 1] + rows[cut:]) == [(cut, "broken link")]
+
+
+def test_greedy_over_more_than_200(spark, staged):
+    keys = range(1, 1401)
+    d = staged("customer", [(k, k % 2, float(k * 37 % 911)) for k in keys], "c_custkey bigint, c_nationkey int, c_acctbal double")
+    f = pd.DataFrame([(k % 2, k, 68 + k * 7919 % 2900 / 100, 8 + k * 104729 % 2900 / 100, float(k * 37 % 911)) for k in keys], columns=["nation", "id", "lon", "lat", "score"])
+    want = pd.concat(vectors.spaced(g.sort_values(["score", "id"], ascending=[False, True]), 150_000.0) for _, g in f.groupby("nation"))
+    got = [r.id for r in QUERIES["greedy_dedup"](spark, d).collect()]
+    assert sorted(got) == sorted(want["id"]) and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize("whole", [0, 20_000])
+def test_spaced_per_group_anywhere(spark, monkeypatch, whole):
+    monkeypatch.setattr(vectors, "WHOLE", whole)
+    monkeypatch.setattr(vectors, "TASK", 500)
+    rng = np.random.default_rng(3)
+    rows = [(0, i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(zip(179 + 2 * rng.random(600), 66 + 2 * rng.random(600), rng.integers(0, 40, 600), strict=True))]
+    rows += [(1, i, float(x), float(89 + y), float(i)) for i, (x, y) in enumerate(zip(360 * rng.random(300) - 180, rng.random(300), strict=True))]
+    # a chain in which each row hangs on the one before, through many tiles; then rows without a place or a score.
+    rows += [(2, i, i * 0.008, 0.0, -float(i)) for i in range(60)]
+    rows += [(3, 0, None, 1.0, 1.0), (3, 1, 5.0, 1.0, None), (3, 2, 5.0, 1.0, 0.0), (None, 3, 5.0, 1.0, 0.0)]
+    schema = "g int, id int, lon double, lat double, score double"
+    got = sorted((str(r.g), r.id) for r in vectors.spaced_per_group(spark.createDataFrame(rows, schema), "g", 1000.0).collect())
+    f = pd.DataFrame([r for r in rows if r[0] in (0, 1, 2)], columns=["g", "id", "lon", "lat", "score"])
+    want = [(str(g), i) for g, x in f.groupby("g") for i in vectors.spaced(x.sort_values(["score", "id"], ascending=[False, True]), 1000.0)["id"]]
+    assert got == sorted([*want, ("3", 0), ("3", 2), ("None", 3)])
