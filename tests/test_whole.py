@@ -65,3 +65,13 @@ def test_spaced_per_group_anywhere(spark, monkeypatch, whole):
     f = pd.DataFrame([r for r in rows if r[0] in (0, 1, 2)], columns=["g", "id", "lon", "lat", "score"])
     want = [(str(g), i) for g, x in f.groupby("g") for i in vectors.spaced(x.sort_values(["score", "id"], ascending=[False, True]), 1000.0)["id"]]
     assert got == sorted([*want, ("3", 0), ("3", 2), ("None", 3)])
+
+
+def test_season_pairs_of_every_key(spark, staged):
+    days = [(k, datetime.date(1992 + (k * i) % 5, 1 + (k * 7 + i * 5) % 12, 1 + i)) for k in range(1, 60) for i in range(8)]
+    d = staged("orders", days, "o_custkey bigint, o_orderdate date")
+    seen = {(k, day.year, day.month) for k, day in days}
+    gap = lambda a, b: min(abs(a - b), 12 - abs(a - b))
+    want = sorted((k, y, m, z, n) for k, y, m in seen for j, z, n in seen if j == k and y < z and gap(m, n) <= 1)
+    got = sorted(tuple(r[c] for c in ("k", "y1", "m1", "y2", "m2")) for r in QUERIES["circular_month_gap_pairs"](spark, d).collect())
+    assert got == want
