@@ -72,7 +72,7 @@ n AS (SELECT f.tile_id, min(date) AS first_new FROM f LEFT JOIN l USING (tile_id
 SELECT t.tile_id, last_old, first_new FROM (SELECT DISTINCT tile_id FROM f) AS t LEFT JOIN l USING (tile_id) LEFT JOIN n USING (tile_id)""")
 def refine_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last look of the old class and first later one of the new, within the years of a change."""
-    f = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("tile_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.when(F.col("l_returnflag") == "N", "new").otherwise("old").alias("land_class"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tile_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.when(F.col("l_returnflag") == "N", "new").otherwise("old").alias("land_class"))
     found = f.select("tile_id").distinct().select("tile_id", F.lit("old").alias("from_class"), F.lit("new").alias("to_class"), F.lit(1996).alias("last_before"), F.lit(1999).alias("first_after"))
     return change.refined(f, found).select("tile_id", "last_old", "first_new")
 

@@ -75,3 +75,14 @@ def test_season_pairs_of_every_key(spark, staged):
     want = sorted((k, y, m, z, n) for k, y, m in seen for j, z, n in seen if j == k and y < z and gap(m, n) <= 1)
     got = sorted(tuple(r[c] for c in ("k", "y1", "m1", "y2", "m2")) for r in QUERIES["circular_month_gap_pairs"](spark, d).collect())
     assert got == want
+
+
+def test_dates_of_odd_tiles(spark, staged):
+    looks = [(k, datetime.date(1996 + y, 3, k), "NRA"[(k + y * 2) % 3]) for k in range(1, 12) for y in range(5)]
+    d = staged("lineitem", looks, "l_suppkey bigint, l_shipdate date, l_returnflag string")
+    want = []
+    for k in range(1, 12):
+        mine = sorted((str(day), flag) for i, day, flag in looks if i == k and day.year <= 1999)
+        old = max((day for day, flag in mine if flag != "N"), default=None)
+        want.append((k, old, min((day for day, flag in mine if flag == "N" and (old is None or day > old)), default=None)))
+    assert sorted(tuple(r) for r in QUERIES["refine_dates"](spark, d).select("tile_id", "last_old", "first_new").collect()) == want
