@@ -12,6 +12,8 @@ from orrery.queries.base import EVENTS_SQL, events, haversine_sql, iso, lat_of,
 POINT, RADIUS, SINCE, UNTIL = (82.0, 21.0), 600_000.0, "2024-01-05T00:00:00Z", "2024-01-25T00:00:00Z"
 WEST, SOUTH, EAST, NORTH = geo.circle_bbox(*POINT, RADIUS)
 TRIANGLE = [(70.0, 10.0), (95.0, 12.0), (80.0, 33.0)]
+#: Names of a gazetteer that may be broadcast.
+BROADCAST_NAMES = 1_000_000
 HOLE = [(80.0, 15.0), (84.0, 15.0), (84.0, 19.0), (80.0, 19.0)]
 
 
@@ -208,14 +210,21 @@ def normalise_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT region.r_name AS name, n.key FROM (SELECT r_regionkey, unnest(['the ' || lower(r_name), 'and the', 'of the', 'die der']) AS key FROM region) AS n JOIN region USING (r_regionkey) WHERE region.r_regionkey = 0)
 SELECT doc_id, max(struct_pack(l := length(key), k := key)).k AS place FROM d JOIN n ON contains(t, ' ' || key || ' ') GROUP BY doc_id""")
 def place_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest name of a short gazetteer that stands in a text as whole words."""
-    first = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lower("r_name").alias("n"))
-    names = first.select(F.explode(F.array(F.concat(F.lit("the "), F.col("n")), F.lit("and the"), F.lit("of the"), F.lit("die der"))).alias("key"))
-    keys = [r.key for r in names.collect()]  # a gazetteer is a driver-side list; here it has four names
-    t = F.concat(F.lit(" "), text.fold_ascii(F.col("text")), F.lit(" "))
-    hits = F.array(*[F.when(F.col("t").contains(f" {k} "), F.struct(F.lit(len(k)).alias("l"), F.lit(k).alias("k"))) for k in keys])
-    best = F.array_max(F.filter("hits", lambda h: h.isNotNull()))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("hits", hits).select("doc_id", best["k"].alias("place")).where("place is not null")
+    """The longest name of a gazetteer that stands in a text as whole words: regions, nations and three phrases.
+
+    The runs of a text's words, up to the longest name's, meet the names in an equi-join.
+    """
+    region = table(spark, sf_dir, "region").select(text.fold_ascii(F.col("r_name")).alias("n"))
+    nation = table(spark, sf_dir, "nation").select(text.fold_ascii(F.col("n_name")).alias("n"))
+    named = region.select(F.explode(F.array(F.col("n"), F.concat(F.lit("the "), F.col("n")), F.lit("and the"), F.lit("of the"), F.lit("die der"))).alias("key"))
+    keys = named.union(nation.select(F.col("n").alias("key"))).where("key <> ''").distinct()
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("key", " "))).alias("words")).first()
+    w = table(spark, sf_dir, "documents").select("doc_id", F.split(text.fold_ascii(F.col("text")), " ").alias("w"))
+    runs = [F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(size["words"] or 1)]
+    words = w.select("doc_id", F.inline(F.arrays_zip(*runs)))
+    grams = words.select("doc_id", F.explode(F.array(*[F.concat_ws(" ", *[f"w{i}" for i in range(k + 1)]) for k in range(len(runs))])).alias("key"))
+    hits = grams.join(F.broadcast(keys) if size["n"] <= BROADCAST_NAMES else keys, "key")
+    return hits.groupBy("doc_id").agg(F.max(F.struct(F.length("key").alias("l"), F.col("key").alias("k")))["k"].alias("place"))
 
 
 @query(f"""WITH {EVENTS_SQL}, a AS (SELECT type, (epoch(TIMESTAMP '2024-01-30 00:00:00') - epoch(max(start_time::TIMESTAMP))) / 3600.0 AS age_h, count(*) AS n FROM e GROUP BY type)

@@ -86,3 +86,12 @@ def test_dates_of_odd_tiles(spark, staged):
         old = max((day for day, flag in mine if flag != "N"), default=None)
         want.append((k, old, min((day for day, flag in mine if flag == "N" and (old is None or day > old)), default=None)))
     assert sorted(tuple(r) for r in QUERIES["refine_dates"](spark, d).select("tile_id", "last_old", "first_new").collect()) == want
+
+
+def test_places_of_every_region_and_nation(spark, staged):
+    staged("region", [(i, n) for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))], "r_regionkey int, r_name string")
+    staged("nation", [(0, "FRANCE", 3), (1, "UNITED STATES", 1), (2, "UNITED KINGDOM", 3), (3, "INDIA", 2)], "n_nationkey int, n_name string, n_regionkey int")
+    texts = ["Ships left the Middle-East, then Asia.", "from FRANCE of the north", "United States, not India", "united kingdoms and Indiana", "the africa", "", None, "and the", "Asia", "united", "in europe", "the america"]
+    d = staged("documents", list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.place for r in QUERIES["place_in_text"](spark, d).collect()}
+    assert got == {0: "the middle east", 1: "of the", 2: "united states", 4: "the africa", 7: "and the", 8: "asia", 10: "europe", 11: "the america"}
