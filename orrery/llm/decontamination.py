@@ -78,8 +78,11 @@ def shingle_hash(parts: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
-def signatures(shingled: DataFrame) -> DataFrame:
-    """hash, item, width, size and weight: what to look for; weight is the number of minima there."""
+def signatures(shingled: DataFrame, width: int = WIDTH) -> DataFrame:
+    """hash, item, width, size and weight: what to look for; weight is the number of minima there.
+
+    width: the most words of a shingle.
+    """
     sets = shingled.withColumn(
         "picked",
         F.when(F.col("size") <= SMALL, F.col("shingles")).otherwise(
@@ -88,7 +91,7 @@ def signatures(shingled: DataFrame) -> DataFrame:
     )
     each = sets.select("item", "width", "size", F.explode("picked").alias("s"))
     hashed = F.transform(F.split("s", " "), lambda x: F.xxhash64(x))
-    widths = [F.when(F.col("width") == k, shingle_hash([hashed[i] for i in range(k)])) for k in range(1, WIDTH + 1)]
+    widths = [F.when(F.col("width") == k, shingle_hash([hashed[i] for i in range(k)])) for k in range(1, width + 1)]
     return each.groupBy("item", "width", "size", F.coalesce(*widths).alias("hash")).agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -102,10 +105,10 @@ def _hashes(docs: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", "key", "n_words", shingle_hash([F.col(f"w{i}") for i in range(width)]).alias("hash"))
 
 
-def candidates(docs: DataFrame, shingled: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(docs: DataFrame, shingled: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, key and item of the pairs worth comparing."""
-    wanted = staged(signatures(shingled), "signatures")
-    known = wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each width, five at most
+    wanted = staged(signatures(shingled, width), "signatures")
+    known = wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each width
     if not known:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, key bigint, item string")
     parts = []
@@ -122,7 +125,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: in
     """doc_id, key, item, n_shingles and n_common of documents that hold percent of an item's shingles."""
     docs, items = docs.select("doc_id", "text"), items.select("text")
     shingled = staged(item_shingles(items, width), "items")
-    pairs = staged(candidates(docs, shingled, percent), "candidates")
+    pairs = staged(candidates(docs, shingled, percent, width), "candidates")
     keys = pairs.select("key").distinct()
     held = docs.withColumn("key", _key()).join(_small(keys, pairs.count()), "key").dropDuplicates(["doc_id", "key"])
     full = shingled.select("item", "width", "size", F.explode("shingles").alias("shingle"))
