@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm.common import small_batches, table
+from orrery.llm.common import Memo, pieces, small_batches, table, tidy
 
-#: Entries that a worker's memory of encoded chunks may hold.
-MEMORY = 400_000
+#: Bytes that a worker may remember of encoded chunks, of matches inside them and of pairs of tokens.
+CHUNKS, MATCHES, PAIRS = 64 << 20, 16 << 20, 32 << 20
 #: A space between two other white space characters, or one of two that end a text: there, tokens cross spaces.
 CROSSING = re.compile(r" (?<=\s )(?:\s|\Z)")
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -46,7 +47,8 @@ class Vocabulary:
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        #: Pairs of tokens, left << 32 | right.
+        self.pairs = Memo(PAIRS)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -77,11 +79,10 @@ class Vocabulary:
 
     def beside(self, left: int, right: int) -> bool:
         """Whether BPE leaves left and right side by side."""
-        known = self._beside.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            known = self._beside[left, right] = self._stay_apart(left, right)
-            if len(self._beside) > 4 * MEMORY:
-                self._beside.clear()
+            known = self._stay_apart(left, right)
+            self.pairs.keep(left << 32 | right, known)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -112,11 +113,11 @@ class Vocabulary:
 
     def last_tokens(self, piece: bytes, last: list[int]) -> None:
         """Extends last, the last token of each prefix of piece, over all of piece."""
-        done, known, beside = len(last), self._beside, self.beside
+        done, known, beside = len(last), self.pairs, self.beside
         for at, (token, size) in self.matcher.iter(piece.decode("latin-1"), max(0, done - self.longest)):
             if at >= done:
                 start = at + 1 - size
-                if not start or known.get(pair := (last[start - 1], token)) or (pair not in known and beside(*pair)):
+                if not start or known.get(pair := last[start - 1] << 32 | token) or (pair not in known and beside(last[start - 1], token)):
                     last.append(token)
                     done += 1
                     if done <= at:
@@ -170,16 +171,17 @@ class Prefix:
         return out[::-1]
 
 
-class _Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit integers, of chunks; at most MEMORY of them."""
+class _Chunks(Memo):
+    """Ids, as little-endian unsigned 32-bit integers, of chunks."""
 
     def __init__(self, codec: Codec):
+        super().__init__(CHUNKS)
         self.codec = codec
 
     def __missing__(self, chunk: str) -> bytes:
-        out = b"".join([self.codec.match(m) for m in self.codec.pattern.findall(chunk)])
-        if len(self) < MEMORY:
-            self[chunk] = out
+        matches = self.codec.pattern.findall(chunk)
+        out = self.codec.ids(chunk) if matches == [chunk] else b"".join(map(self.codec.match, matches))
+        self.keep(chunk, out)
         return out
 
 
@@ -188,20 +190,23 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.chunks, self.matches = _Chunks(self), {}
+        self.chunks, self.matches = _Chunks(self), Memo(MATCHES)
         #: Whether a space always starts a match, so that texts can be cut at spaces.
         self.by_space = self.pattern.findall("a bc 1 .") == ["a", " bc", " 1", " ."]
 
-    def match(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         """Ids of one match of the pattern."""
+        piece = text.encode("utf-8", "surrogatepass")
+        whole = self.vocabulary.ranks.get(piece)
+        ids = [whole] if whole is not None else Prefix(self.vocabulary, piece).tokens()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def match(self, text: str) -> bytes:
+        """Ids of one match of the pattern, remembered."""
         found = self.matches.get(text)
         if found is None:
-            piece = text.encode("utf-8", "surrogatepass")
-            whole = self.vocabulary.ranks.get(piece)
-            ids = [whole] if whole is not None else Prefix(self.vocabulary, piece).tokens()
-            found = np.array(ids, "<u4").tobytes()
-            if len(self.matches) < MEMORY:
-                self.matches[text] = found
+            found = self.ids(text)
+            self.matches.keep(text, found)
         return found
 
     def encode_bytes(self, text: str) -> bytes:
@@ -234,7 +239,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        yield from tidy(lambda rows: coded(c, rows), c.chunks, c.matches, c.vocabulary.pairs)(batches)
+
+    def coded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column(1):
                 out = c.encode_bytes(text.as_py() or "")

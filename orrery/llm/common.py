@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import sys
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +18,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Texts handed to a Python worker at once; bounds its memory to some tens of MB.
-BATCH_ROWS = 1000
+#: Bytes of Arrow data that Spark hands to a Python worker at once, and of texts that a worker takes up at once.
+BATCH_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,30 +28,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a lower setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by bytes, however long the texts are; a lower bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of column at take PIECE_BYTES together, or are one text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > PIECE_BYTES:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
+class Memo(dict):
+    """What a worker remembers while it works on a partition: the first ``limit`` bytes, or about that."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+
+    def keep(self, key: object, value: object) -> None:
+        if self.held < self.limit:
+            self.held += sys.getsizeof(key) + sys.getsizeof(value) + 100
+            self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+@cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *memos: Memo) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work over a partition; after it the memos are empty and freed memory goes back to the system.
+
+    Spark keeps Python workers for later stages, where what they hold would add up.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            for memo in memos:
+                memo.forget()
+            released()
+
+    return run
+
+
+def released() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir; where it is unset, one in the warehouse, which executors share too."""
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
     if now.isDefined():
         return now.get()
-    spark.sparkContext.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-checkpoint-")
-    )
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-checkpoint"
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return jsc.getCheckpointDir().get()
 
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _places[found] = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

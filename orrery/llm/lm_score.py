@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import small_batches, table
+from orrery.llm.common import pieces, small_batches, table, tidy
 from orrery.llm.shingles import mixed, word_hashes
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
@@ -98,7 +98,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[tupl
     lengths: list[np.ndarray] = []
     words: list[np.ndarray] = []
     held = 0
-    for batch in batches:
+    for batch in pieces(batches, 1):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
         hashes, owner = word_hashes(texts)
         ids += batch.column(0).to_pylist()
@@ -214,8 +214,8 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
             out[2] += sums.tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "n_words", "score"])
 
-    sums = docs.mapInArrow(messages, MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, "block bigint, order int, bucket int, totals binary, sum bigint")
-    result = docs.mapInArrow(streams, STREAM).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id bigint, n_words bigint, score double")
+    sums = docs.mapInArrow(tidy(messages), MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, "block bigint, order int, bucket int, totals binary, sum bigint")
+    result = docs.mapInArrow(tidy(streams), STREAM).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id bigint, n_words bigint, score double")
     return result.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import small_batches, staged, table
+from orrery.llm.common import pieces, released, small_batches, staged, table, tidy
 from orrery.llm.components import components
 from orrery.llm.shingles import factors, minima, mixed, shingle_sets
 
@@ -75,7 +75,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factors(HASHES)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             least = [minima(s, f) for s in sets]
             halves = np.array(least, np.uint32).reshape(len(sets), HASHES).view(np.uint64).reshape(len(sets), BANDS, ROWS // 2)
@@ -93,7 +93,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "row_key", "n_shingles", "set_hash", "bands", *SIGNATURE],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", _row_key()).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", _row_key()).mapInArrow(tidy(run), schema)
 
 
 def _row_key() -> Column:
@@ -104,12 +104,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """set_hash and members of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             sets = shingle_sets(batch.column(0).to_pylist(), width)
             hashes = [_set_hash(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_hash", "members"])
 
-    return docs.select("text").mapInArrow(run, "set_hash binary, members array<bigint>")
+    return docs.select("text").mapInArrow(tidy(run), "set_hash binary, members array<bigint>")
 
 
 class Links:
@@ -168,6 +168,7 @@ class Links:
 
         def joined(t: pa.Table) -> pa.Table:
             pairs = sorted(tuple(sorted(p)) for p in _joining(t, percent, least))
+            released()
             return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
         full = kept.join(sets, "set_hash").select(*given, "members")

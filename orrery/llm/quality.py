@@ -20,7 +20,7 @@ rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold, small_batches, table
+from orrery.llm.common import Memo, fold, pieces, small_batches, table, tidy
 from orrery.llm.sampling import sampled, trainable
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.3
 BUCKETS, AFFIXES, SIZE, NONZERO, REACH = 1 << 14, 64, 32, 2, 2
 IDS = BUCKETS + AFFIXES
 SAMPLE, HIDDEN, STEPS, RATE, DECAY, SEED = 8000, 24, 600, 0.01, 1e-4, 5
-#: Chunks whose buckets a worker remembers.
-MEMORY = 300_000
+#: Bytes that a worker may remember of chunks and their buckets.
+MEMORY = 16 << 20
 
 
-class _Chunks(dict):
+class _Chunks(Memo):
     """Chunk between white space -> bucket of its word and bucket of its affix, as one number."""
 
     def __missing__(self, chunk: str) -> int:
@@ -49,12 +49,12 @@ class _Chunks(dict):
         case = "U" if len(core) > 1 and core.isupper() else ""
         affix = 0 if around == "_" and not case else 1 + zlib.crc32((around[:8] + around[-8:] + case).encode("utf-8", "surrogatepass")) % (AFFIXES - 1)
         word = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % BUCKETS
-        if len(self) < MEMORY:
-            self[chunk] = word * AFFIXES + affix
+        self.keep(chunk, word * AFFIXES + affix)
         return word * AFFIXES + affix
 
 
-_chunks = _Chunks()
+_chunks = _Chunks(MEMORY)
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         sums, any_text = np.zeros((IDS + 1, SIZE)), False
-        for batch in batches:
+        for batch in pieces(batches, 0):
             any_text = True
             counted(batch.column(0).to_pylist(), sums, places, signs)
         if any_text:
@@ -107,7 +107,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 names=["bucket", *[f"c{i}" for i in range(SIZE)]],
             )
 
-    sums = docs.select("text").mapInArrow(run, f"bucket int, {columns}").groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(SIZE)]).toArrow()
+    sums = docs.select("text").mapInArrow(_tidy(run), f"bucket int, {columns}").groupBy("bucket").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(SIZE)]).toArrow()
     out = np.zeros((IDS, SIZE))
     if sums.num_rows:
         out[sums["bucket"].to_numpy()] = np.stack([sums[f"c{i}"].to_numpy() for i in range(SIZE)], 1)
@@ -183,9 +183,23 @@ def fitted(x: np.ndarray, y: np.ndarray) -> Network:
     return Network(raw.mean, raw.scale, raw.w1, raw.b1, raw.w2, raw.b2, warmth)
 
 
+def _remembered() -> Memo:
+    """The worker's own memo, not a copy that came with a function."""
+    return _chunks
+
+
+def _tidy(work: Work) -> Work:
+    """work on a partition, after which the worker forgets its chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tidy(work, _remembered())(batches)
+
+    return run
+
+
 def _with_pools(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Each batch, whose last column is the text, with its pooled vectors."""
-    for batch in batches:
+    for batch in pieces(batches, -1):
         pools = [pooled(t.as_py(), vectors) for t in batch.column(batch.num_columns - 1)]
         yield batch, np.array(pools, np.float32).reshape(len(pools), 2 * SIZE + 4)
 
@@ -200,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
         for batch, pools in _with_pools(batches, shared.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in pools], pa.binary())], names=["label", "pool"])
 
-    found = sampled(docs, trainable(labels, "quality", FOLDS, HELD), SAMPLE).select("label", "text").mapInArrow(run, "label int, pool binary").toArrow()
+    found = sampled(docs, trainable(labels, "quality", FOLDS, HELD), SAMPLE).select("label", "text").mapInArrow(_tidy(run), "label int, pool binary").toArrow()
     rows = sorted(zip(found["pool"].to_pylist(), found["label"].to_pylist(), strict=True))
     x = np.frombuffer(b"".join(p for p, _ in rows), np.float32).reshape(len(rows), 2 * SIZE + 4).astype(float)
     return vectors, fitted(x, np.array([y for _, y in rows], int))
@@ -218,7 +232,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network, keep: tuple[s
             scores = shared.value[1].probabilities(pools.astype(float))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(_tidy(run), schema)
 
 
 def accepted(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,11 +241,11 @@ def accepted(docs: DataFrame, vectors: np.ndarray, network: Network, threshold:
     shared, at = docs.sparkSession.sparkContext.broadcast((vectors, network)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             pools = np.array([pooled(t.as_py(), shared.value[0]) for t in batch.column(at)], float).reshape(batch.num_rows, 2 * SIZE + 4)
             yield batch.filter(pa.array(shared.value[1].probabilities(pools) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_tidy(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

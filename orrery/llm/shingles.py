@@ -7,6 +7,8 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes of text whose words are hashed at once.
+SPAN = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -21,18 +23,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, lower-casing A-Z, and each word's text.
 
-    A word's hash is a polynomial in its bytes, from running sums over the whole batch.
+    A word's hash is a polynomial in its bytes, from running sums. They take some 40 bytes for each of
+    the text's, so long texts are cut between words into spans of ``SPAN`` bytes, or of one longer word.
     """
     data = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", np.uint8)
     space = _IS_SPACE[data]
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    begin = np.cumsum([1, *[len(t) + 1 for t in texts]])[:-1]
+    owner = np.searchsorted(begin, starts, "right") - 1
+    hashes, done = [np.zeros(0, np.uint64)], 0
+    while done < len(starts):
+        upto = max(done + 1, int(np.searchsorted(ends, starts[done] + SPAN, "right")))
+        low, high = starts[done], ends[upto - 1]
+        hashes.append(_polynomials(data[low:high], starts[done:upto] - low, ends[done:upto] - low))
+        done = upto
+    return np.concatenate(hashes), owner
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers = np.cumprod(np.full(len(data), _BASE), dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
     # dividing by the power at the start makes the hash the same wherever the word stands
     inverse = np.cumprod(np.full(len(data), _BACK), dtype=np.uint64)
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    begin = np.cumsum([1, *[len(t) + 1 for t in texts]])[:-1]
-    return hashes, np.searchsorted(begin, starts, "right") - 1
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:

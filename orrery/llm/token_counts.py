@@ -27,12 +27,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm.common import small_batches, table
+from orrery.llm.common import Memo, pieces, small_batches, table, tidy
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Parts whose counts a worker remembers.
-MEMORY = 400_000
+#: Bytes that a worker may remember of parts and their counts.
+MEMORY = 32 << 20
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -43,10 +43,11 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-class Counter(dict):
-    """Part of a text -> its number of tokens; at most MEMORY of them are kept."""
+class Counter(Memo):
+    """Part of a text -> its number of tokens."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
+        super().__init__(MEMORY)
         self.automaton = ahocorasick.Automaton()
         known: dict[str, float] = {}
         for piece, score in pieces:  # of a piece that is there twice, the later one counts
@@ -62,8 +63,7 @@ class Counter(dict):
 
     def __missing__(self, part: str) -> int:
         n = self.viterbi(part)
-        if len(self) < MEMORY:
-            self[part] = n
+        self.keep(part, n)
         return n
 
     def viterbi(self, part: str) -> int:
@@ -109,9 +109,12 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
-        for batch in batches:
-            n = [count(t.as_py()) for t in batch.column(1)]
+        known = counter(path)
+        yield from tidy(lambda rows: counts(known, rows), known)(batches)
+
+    def counts(known: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            n = [known.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold, small_batches, table
+from orrery.llm.common import fold, pieces, small_batches, table, tidy
 from orrery.llm.sampling import sampled, trainable
 
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
@@ -185,11 +185,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     unlabelled = docs.select("text").where(F.rand(SEED) < rate).withColumn("positive", F.lit(False))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             texts = ["\n".join(sorted(set(words(t.as_py())))) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], names=["words", "positive"])
 
-    found = positive.unionByName(unlabelled).mapInArrow(bags, "words string, positive boolean").toArrow()
+    found = positive.unionByName(unlabelled).mapInArrow(tidy(bags), "words string, positive boolean").toArrow()
     both: dict[bool, list[set[str]]] = {True: [], False: []}
     for text, kind in sorted(zip(found["words"].to_pylist(), found["positive"].to_pylist(), strict=True)):
         both[kind].append(set(text.split("\n")) if text else set())
@@ -204,11 +204,11 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in pieces(batches, -1):
             scores = [score(text.as_py()) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,10 +218,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in pieces(batches, at):
             yield batch.filter(pa.array([score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
