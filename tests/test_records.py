@@ -122,31 +122,6 @@ def test_audit_chain(spark):
     assert check(rows[:2] + rows[3:]) == [(3, "broken link")]
 
 
-def test_change_engine(spark):
-    looks = []
-    for year in range(2018, 2026):
-        for tile in ("a:0:0", "a:0:1"):
-            kind = "open" if year < 2022 else "water"
-            for sat, month in (("S2A", "02"), ("S2B", "04")):
-                looks.append((tile, f"{year}-{month}-10", f"{sat}_{year}", kind, float(kind == "water"), 0.0, float(kind == "open"), 0.2, 0.1))
-            looks.append((tile, f"{year}-07-10", "S2A_m", "vegetation", 0.0, 1.0, 0.0, 0.2, 0.1))  # not the dry season
-    looks.append(("b:0:0", "2020-02-10", "S2A_x", "open", 0.0, 0.0, 1.0, 0.2, 0.1))
-    df = spark.createDataFrame(looks, "tile_id string, date string, scene_id string, land_class string, water double, vegetation double, open double, red double, blue double")
-    c = change.composites(df).withColumn("class", change.composite_class(F.col("water"), F.col("vegetation"), F.col("open")))
-    assert [r["class"] for r in c.where("tile_id = 'b:0:0'").collect()] == [None]
-    t = change.transitions(c)
-    assert sorted((r.tile_id, r.from_class, r.to_class, r.last_before, r.first_after) for r in t.collect()) == [("a:0:0", "open", "water", 2021, 2022), ("a:0:1", "open", "water", 2021, 2022)]
-    assert {(r.last_old, r.first_new) for r in change.refined(df, t).collect()} == {("2021-04-10", "2022-02-10")}
-    tiles = t.select(F.lit("a").alias("aoi"), "tile_id", F.element_at(F.split("tile_id", ":"), 2).cast("int").alias("row"), F.element_at(F.split("tile_id", ":"), 3).cast("int").alias("col"), "from_class", "to_class", F.col("first_after").alias("year"))
-    assert {r.seed for r in change.grouped(tiles).collect()} == {"a:0:0"}
-    g = spark.createDataFrame([(1, 2, 4, 4, 0, 16, 1.0, 2, 1.0), (2, 1, 4, 4, 0, 16, 1.0, 1, 1.0)], "id int, tiles int, years_before int, years_after int, masked int, looks int, share_shift double, satellites int, agreement double")
-    gated = change.gates(g)
-    assert sorted((r.id, r.accepted) for r in gated.collect()) == [(1, True), (2, False)]
-    assert {r.gate for r in change.failed_gates(gated).collect()} == {"satellites", "area"}
-    e = spark.range(1).select(change.elongated(F.lit(8), F.lit(1), F.lit(8)).alias("x"), change.elongated(F.lit(3), F.lit(3), F.lit(9)).alias("y")).first()
-    assert (e.x, e.y) == (True, False)
-
-
 def test_metrics(spark):
     r = spark.createDataFrame([(1, 0.9, True), (2, 0.8, None), (3, 0.7, True)], "id int, s double, rel boolean").withColumn("g", F.lit("q"))
     assert evaluation.precision_at(r, 2, F.col("s"), F.col("rel")).first().precision == 0.5
