@@ -208,7 +208,10 @@ def utm_to_lonlat(easting: Column, northing: Column, zone: int, north: bool = Tr
 
 
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker on a line: ends stay, and every point farther than tolerance from its chord."""
+    """Douglas-Peucker on a line: ends stay, and every point farther than tolerance from the straight line through them.
+
+    Between equal ends, the distance to that point counts.
+    """
     if len(points) < 3:
         return list(points)
     p = np.asarray(points, float)
@@ -220,9 +223,8 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
         if b - a < 2:
             continue
         d, v = p[b] - p[a], p[a + 1 : b] - p[a]
-        long = float(d @ d)
-        t = np.clip(v @ d / long, 0, 1) if long else np.zeros(len(v))
-        away = np.hypot(*(v - t[:, None] * d).T)
+        long = float(np.hypot(*d))
+        away = np.abs(d[1] * v[:, 0] - d[0] * v[:, 1]) / long if long else np.hypot(*v.T)
         far = int(away.argmax())
         if away[far] > tolerance:
             keep[a + 1 + far] = True

@@ -20,7 +20,7 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.n
     rng = np.random.default_rng(seed)
     centres = x[[rng.integers(len(x))]]
     while len(centres) < k:
-        away = np.maximum(0, 1 - (x @ centres.T).max(1))
+        away = np.maximum(0, 1 - (x @ centres.T).max(1)) ** 2
         p = away / away.sum() if away.sum() > 0 else None
         centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
     labels = np.full(len(x), -1)
@@ -56,12 +56,12 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 def chosen(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, float]:
     """k, labels, centroids and silhouette of the best k among the candidates."""
     n = len(x)
-    ks = sorted({k for f in FACTORS if 2 <= (k := round((n / 2) ** 0.5 * f)) < n})
+    ks = sorted({k for f in FACTORS if (k := max(2, round((n / 2) ** 0.5 * f))) < n})
     best: tuple[float, int, np.ndarray, np.ndarray] | None = None
     for k in ks:
         labels, centres, _ = max((spherical_kmeans(x, k, s) for s in SEEDS), key=lambda r: r[2])
         s = silhouette(x, labels)
-        if best is None or s > best[0]:
+        if best is None or s > best[0] + 1e-9:
             best = (s, k, labels, centres)
     if best is None:
         m = x.mean(0)

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATES = ("NOT IMPLEMENTED", "KEY REQUIRED", "OFFLINE", "UNAVAILABLE", "NOT STAGED", "STALE", "DELAYED", "CURRENT")
+STATES = ("LIVE", "DELAYED", "SNAPSHOT", "STALE", "UNAVAILABLE", "NOT STAGED", "KEY REQUIRED", "NOT IMPLEMENTED")
+CONNECTED = "connected"
+#: What the first entry of a log names as the hash before it.
+GENESIS = "0" * 64
 #: Ids of a range of a log that is sorted by itself.
 BLOCK = 4096
 
@@ -30,23 +33,59 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def freshness(sources: DataFrame, mode: str = "online") -> DataFrame:
-    """sources with their state. Columns: adapter, key_present, health, age_h, stale_after_hours, delayed_after_hours."""
+def freshness(sources: DataFrame, mode: str = CONNECTED) -> DataFrame:
+    """sources with state and label. Columns: adapter, key_present, health, age_h, stale_after_hours, delayed_after_hours.
+
+    age_h is the age of the last download that succeeded: reading a snapshot again makes nothing younger.
+    Limits may be null. Only a connected engine calls a healthy source live or delayed.
+    """
+    age, health = F.col("age_h"), F.coalesce("health", F.lit("never-run"))
+    live = F.lit(mode == CONNECTED) & (health == "ok")
     state = (
-        F.when(~F.col("adapter"), "NOT IMPLEMENTED")
+        F.when(~F.coalesce("adapter", F.lit(False)), "NOT IMPLEMENTED")
         .when(~F.col("key_present"), "KEY REQUIRED")
-        .when((F.col("health") == "failed") & F.col("age_h").isNull(), "UNAVAILABLE")
-        .when(F.col("age_h").isNull(), "NOT STAGED")
-        .when(F.col("age_h") > F.col("stale_after_hours"), "STALE")
-        .when(F.lit(mode == "airgapped"), "OFFLINE")
-        .when(F.col("age_h") > F.col("delayed_after_hours"), "DELAYED")
-        .otherwise("CURRENT")
+        .when(age.isNull() & health.isin("failed", "rate-limited"), "UNAVAILABLE")
+        .when(age.isNull(), "NOT STAGED")
+        .when(age > F.col("stale_after_hours"), "STALE")
+        .when(live & (age > F.col("delayed_after_hours")), "DELAYED")
+        .when(live, "LIVE")
+        .otherwise("SNAPSHOT")
     )
-    return sources.withColumn("state", state)
+    minutes = F.concat(F.greatest(F.lit(1), F.round(age * 60)).cast("int").cast("string"), F.lit(" min"))
+    old = F.when(age < 1, minutes).when(age < 48, F.format_string("%.1f h", age)).otherwise(F.format_string("%.1f d", age / 24))
+    fallback = F.col("state").isin("SNAPSHOT", "STALE")
+    label = F.concat(
+        F.col("state"),
+        F.when(F.col("state").isin("SNAPSHOT", "STALE", "LIVE", "DELAYED"), F.concat(F.lit(" · "), old, F.lit(" old"))).otherwise(""),
+        F.when(fallback & (health == "failed"), " · LAST REFRESH FAILED").when(fallback & (health == "rate-limited"), " · RATE LIMITED").otherwise(""),
+    )
+    return sources.withColumn("state", state).withColumn("label", label)
 
 
 def entry_hash(previous: str, at: str, actor: str, action: str, target: str | None, details: str | None) -> str:
-    return hashlib.sha256(json.dumps([previous, at, actor, action, target, details], ensure_ascii=False).encode()).hexdigest()
+    """Digest of one entry and of the one before, as compact JSON in this order."""
+    return hashlib.sha256(json.dumps([previous, at, actor, action, target, details], separators=(",", ":")).encode()).hexdigest()
+
+
+def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """The new rows that one batch of entries (at, actor, action, target, details) adds to a log, in order of at.
+
+    Each needs the hash before it, so a batch, what one request or run has to say, is one Python group;
+    of the log, only the last row is read.
+    """
+    last = log.orderBy(F.desc("id")).limit(1).select("id", "hash").collect()
+    start, before = (last[0].id + 1, last[0].hash) if last else (1, GENESIS)
+
+    def chained(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["at", "actor", "action", "target", "details"], na_position="first").astype(object)
+        frame = frame.where(frame.notna(), None)
+        rows, previous = [], before
+        for i, e in enumerate(zip(frame["at_"], frame["actor"], frame["action"], frame["target"], frame["details"], strict=True)):
+            rows.append((start + i, *e, previous, previous := entry_hash(previous, *e)))
+        return pd.DataFrame(rows, columns=["id", "at", "actor", "action", "target", "details", "prev_hash", "hash"])
+
+    named = entries.select(F.col("at").alias("at_"), "at", "actor", "action", "target", "details")
+    return named.groupBy().applyInPandas(chained, "id bigint, at string, actor string, action string, target string, details string, prev_hash string, hash string")
 
 
 def beside(log: DataFrame, value: Column, name: str) -> DataFrame:
@@ -79,7 +118,7 @@ def verified_chain(log: DataFrame, days: int = 1) -> DataFrame:
 
     same = F.struct("at", "actor", "action", "target", "details", "prev_hash", "hash")
     rows = beside(log, same, "before")
-    rows = rows.where(~F.col("before").eqNullSafe(same)).withColumn("expected", F.coalesce("before.hash", F.lit("")))
+    rows = rows.where(~F.col("before").eqNullSafe(same)).withColumn("expected", F.coalesce("before.hash", F.lit(GENESIS)))
     wrong = F.when(F.col("prev_hash") != F.col("expected"), "broken link").when(F.col("hash") != again("prev_hash", "at", "actor", "action", "target", "details"), "altered row")
     return rows.withColumn("problem", wrong).where("problem is not null").select("id", "problem")
 
@@ -90,6 +129,17 @@ def reviewed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return candidates.join(last, "id", "left").withColumn("review_state", F.coalesce("latest", F.lit("unreviewed"))).drop("latest")
 
 
+def decided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """candidates with the review state of their latest decision written in; others keep theirs."""
+    last = decisions.groupBy("target_id").agg(F.max(F.struct("id", "decision")).alias("d")).select(F.col("target_id").alias("id"), F.col("d.decision").alias("latest__"))
+    return candidates.join(last, "id", "left").withColumn("review_state", F.coalesce("latest__", "review_state")).select(*candidates.columns)
+
+
+def decision_entries(decisions: DataFrame) -> DataFrame:
+    """What decisions (target_id, decision, actor, at, note) have to say to the audit log."""
+    return decisions.select("at", "actor", F.col("decision").alias("action"), F.col("target_id").alias("target"), F.when(F.col("note").isNotNull(), F.to_json(F.struct("note"))).alias("details"))
+
+
 def contract_problems(checks: list[tuple[Column, str]]) -> Column:
     """The messages of the checks that fail."""
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for ok, message in checks]), lambda m: m.isNotNull())

@@ -42,9 +42,11 @@ def counters(judged_: DataFrame) -> DataFrame:
 
 
 def stored(old: DataFrame, judged_: DataFrame, at: str, replace: str | None = None) -> DataFrame:
-    """The events table after a run: kept records by id, creation times kept."""
+    """The events table after a run: kept records by id, creation times kept; of an id's records, the last counts."""
     kept = judged_.where(F.col("disposition").isin("kept", "unscoped")).drop("disposition", "reason")
-    new = kept.withColumns({"id": F.concat("source_id", F.lit(":"), "record_id"), "created_at": F.lit(at), "updated_at": F.lit(at)}).drop("record_id").dropDuplicates(["id"])
+    new = kept.withColumns({"id": F.concat("source_id", F.lit(":"), "record_id"), "created_at": F.lit(at), "updated_at": F.lit(at)}).drop("record_id")
+    whole = F.struct(*new.columns)
+    new = new.withColumn("order__", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by(whole, "order__").alias("r")).select("r.*")
     if replace is not None:
         return merge.replaced_source(old, new.select(*old.columns), replace)
     return merge.upserted(old, new.select(*old.columns))

@@ -90,7 +90,7 @@ def related(changes: DataFrame, events: DataFrame, radius_m: float = 50_000.0) -
     """changes with the sorted list of events within radius (an empty one where there are none)."""
     pairs = proximity(changes, events, radius_m)
     lists = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("distance_m", "b"))).alias("related"))
-    empty = F.array().cast("array<struct<distance_m:double,b:bigint>>")
+    empty = F.array().cast(lists.schema["related"].dataType)
     return changes.join(lists, changes["id"] == F.col("a"), "left").withColumn("related", F.coalesce("related", empty)).drop("a")
 
 

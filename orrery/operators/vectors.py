@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geo, vector
 
+#: Centroids that may be broadcast together: 16 MB at 512 components.
+FEW_CENTROIDS = 4_000
 #: Side of a tile of spaced_per_group, in spacings; rows of a group that is one tile; rows of a task.
 TILE, WHOLE, TASK = 8, 20_000, 20_000
 
@@ -39,16 +41,18 @@ def best_per_place(scored: DataFrame, place: list[str], key: str = "id") -> Data
 
 
 def assigned(rows: DataFrame, centroids: DataFrame, family: list[str], column: str = "embedding") -> DataFrame:
-    """rows with the nearest centroid of their family, its similarity, and whether it lies within the radius.
+    """rows with the nearest centroid of their family, its similarity, and the cluster if it lies within the radius.
 
-    centroids: family, cluster, centroid, radius; a version has few, and its size is checked by Spark's own
-    broadcast threshold.
+    centroids: family, cluster, centroid, radius. The centroids of a family become one array, which each
+    row scans by itself: rows stay in place while the centroids, counted, are few enough to broadcast.
     """
-    pairs = rows.join(centroids, family)
-    sim = vector.dot(vector.doubles(F.col(column)), F.col("centroid"))
-    best = F.max_by(F.struct("cluster", "sim", "radius"), F.struct(F.col("sim"), -F.col("cluster")))
+    options = centroids.groupBy(*family).agg(F.collect_list(F.struct("cluster", "centroid", "radius")).alias("options__"))
+    if centroids.count() <= FEW_CENTROIDS:
+        options = F.broadcast(options)
     keys = [c for c in rows.columns if c != column]
-    found = pairs.withColumn("sim", sim).groupBy(*keys).agg(best.alias("b"))
+    own = rows.join(options, family).withColumn("v__", vector.doubles(F.col(column)))
+    best = F.array_max(F.transform("options__", lambda o: F.struct(vector.dot(F.col("v__"), o["centroid"]).alias("sim"), (-o["cluster"]).alias("late"), o["cluster"].alias("cluster"), o["radius"].alias("radius"))))
+    found = own.select(*keys, best.alias("b"))
     return found.select(*keys, F.col("b.cluster").alias("nearest"), F.col("b.sim").alias("sim"), F.when(F.col("b.sim") >= F.col("b.radius"), F.col("b.cluster")).alias("cluster"))
 
 

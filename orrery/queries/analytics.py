@@ -155,7 +155,7 @@ def _order_log(orders: DataFrame) -> DataFrame:
     def chained(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id").astype(object)
         f = f.where(f.notna(), None)
-        before, links = "", []
+        before, links = governance.GENESIS, []
         for r in f.itertuples():
             before = "-1" if r.id % 500 == 0 else before
             links.append((before, before := governance.entry_hash(before, r.at_, r.actor, r.action, r.target, r.details)))
@@ -165,6 +165,13 @@ def _order_log(orders: DataFrame) -> DataFrame:
     return rows.groupBy("since").applyInPandas(chained, "id bigint, at string, actor string, action string, target string, details string, prev_hash string, hash string")
 
 
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 500 = 0 THEN 'broken link' ELSE 'altered row' END AS problem FROM orders WHERE o_orderkey % 500 = 0 OR o_orderkey % 777 = 0")
+def audit_log_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a log in which every 777th entry was changed after it was written: its hash is worked out again."""
+    log = _order_log(table(spark, sf_dir, "orders"))
+    return governance.verified_chain(log.withColumn("action", F.when(F.col("id") % 777 == 0, "refund").otherwise(F.col("action"))))
+
+
 @query("""WITH r AS (SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY n_chars DESC, doc_id LIMIT 50) SELECT round(avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 6) AS precision, count(*) AS n FROM r""")
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision of the 50 longest documents; the limit comes before the join with labels."""

@@ -227,16 +227,29 @@ def place_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.max(F.struct(F.length("key").alias("l"), F.col("key").alias("k")))["k"].alias("place"))
 
 
-@query(f"""WITH {EVENTS_SQL}, a AS (SELECT type, (epoch(TIMESTAMP '2024-01-30 00:00:00') - epoch(max(start_time::TIMESTAMP))) / 3600.0 AS age_h, count(*) AS n FROM e GROUP BY type)
-SELECT type, round(age_h::DOUBLE, 3) AS age_h, CASE WHEN n = 0 THEN 'NOT STAGED' WHEN age_h > 24 THEN 'STALE' WHEN age_h > 1 THEN 'DELAYED' ELSE 'CURRENT' END AS state FROM a""")
+@query(f"""WITH {EVENTS_SQL}, u AS (SELECT user_id AS source, max(start_time) AS last FROM e GROUP BY user_id),
+a AS (SELECT *, CASE WHEN source % 7 <> 3 THEN (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last::TIMESTAMP)) / 3600.0 END AS age_h, source % 11 <> 0 AS adapter, source % 13 <> 0 AS key_present,
+  CASE source % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'rate-limited' ELSE 'ok' END AS health, CASE WHEN source % 3 > 0 THEN 48 END AS stale, CASE WHEN source % 2 = 0 THEN 12 END AS late FROM u),
+s AS (SELECT *, CASE WHEN NOT adapter THEN 'NOT IMPLEMENTED' WHEN NOT key_present THEN 'KEY REQUIRED' WHEN age_h IS NULL AND health IN ('failed', 'rate-limited') THEN 'UNAVAILABLE' WHEN age_h IS NULL THEN 'NOT STAGED'
+  WHEN age_h > stale THEN 'STALE' WHEN health = 'ok' AND age_h > late THEN 'DELAYED' WHEN health = 'ok' THEN 'LIVE' ELSE 'SNAPSHOT' END AS state FROM a)
+SELECT source, round(age_h::DOUBLE, 6) AS age_h, state, CASE WHEN state NOT IN ('SNAPSHOT', 'STALE') THEN '' WHEN health = 'failed' THEN 'LAST REFRESH FAILED' WHEN health = 'rate-limited' THEN 'RATE LIMITED' ELSE '' END AS warning FROM s""")
 def freshness_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of each feed from the age of its newest record."""
+    """State of each source, here a user, from its setting, the health of its last run and the age of its newest record."""
     from orrery.operators.governance import freshness
 
-    newest = events(spark, sf_dir).groupBy("type").agg(F.max("start_time").alias("last_success"), F.count(F.lit(1)).alias("n"))
-    age = (F.unix_timestamp(F.lit("2024-01-30 00:00:00").cast("timestamp")) - F.unix_timestamp(F.to_timestamp("last_success"))) / 3600.0
-    sources = newest.select("type", age.alias("age_h"), F.lit(True).alias("adapter"), F.lit(True).alias("key_present"), F.lit("ok").alias("health"), F.lit(24.0).alias("stale_after_hours"), F.lit(1.0).alias("delayed_after_hours"))
-    return freshness(sources).select("type", F.round("age_h", 3).alias("age_h"), "state")
+    k = F.col("source")
+    newest = events(spark, sf_dir).groupBy(F.col("user_id").alias("source")).agg(F.max("start_time").alias("last"))
+    age = (F.unix_timestamp(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_timestamp(F.to_timestamp("last"))) / 3600.0
+    sources = newest.select(
+        k,
+        F.when(k % 7 != 3, age).alias("age_h"),
+        (k % 11 != 0).alias("adapter"),
+        (k % 13 != 0).alias("key_present"),
+        F.when(k % 5 == 0, "failed").when(k % 5 == 1, "rate-limited").otherwise("ok").alias("health"),
+        F.when(k % 3 > 0, 48.0).alias("stale_after_hours"),
+        F.when(k % 2 == 0, 12.0).alias("delayed_after_hours"),
+    )
+    return freshness(sources).select("source", F.round("age_h", 6).alias("age_h"), "state", F.regexp_extract("label", "(LAST REFRESH FAILED|RATE LIMITED)", 1).alias("warning"))
 
 
 @query("""SELECT 'events' AS name, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS missing FROM events

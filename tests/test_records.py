@@ -109,7 +109,7 @@ def test_merges(spark):
 
 
 def test_audit_chain(spark):
-    rows, prev = [], ""
+    rows, prev = [], governance.GENESIS
     for i in range(6):
         h = governance.entry_hash(prev, f"t{i}", "me", "look", None, None)
         rows.append((i, f"t{i}", "me", "look", None, None, prev, h))

@@ -30,7 +30,7 @@ def test_audit_chain_behind_20000(spark, staged):
 
 
 def test_chain_over_ranges_of_ids(spark):
-    rows, prev = [], ""
+    rows, prev = [], governance.GENESIS
     for i in range(3 * governance.BLOCK):
         h = governance.entry_hash(prev, f"t{i}", "me", "look", None, None)
         rows.append((i, f"t{i}", "me", "look", None, None, prev, h))
@@ -79,14 +79,18 @@ def test_season_pairs_of_every_key(spark, staged):
 
 
 def test_dates_of_odd_tiles(spark, staged):
-    looks = [(k, datetime.date(1996 + y, 3, k), "NRA"[(k + y * 2) % 3]) for k in range(1, 12) for y in range(5)]
-    d = staged("lineitem", looks, "l_suppkey bigint, l_shipdate date, l_returnflag string")
+    # tiles 0 to 15 of blocks 0 to 3, two dry-season looks and one in the monsoon a year
+    looks = [(4 * t, datetime.date(y, m, 1 + t), i, 0.01, 0.01, 1.0) for t in range(16) for y in range(1995, 2002) for i, m in enumerate((2, 4, 8), 1)]
+    d = staged("lineitem", looks, "l_partkey bigint, l_shipdate date, l_linenumber int, l_discount double, l_tax double, l_quantity double")
     want = []
-    for k in range(1, 12):
-        mine = sorted((str(day), flag) for i, day, flag in looks if i == k and day.year <= 1999)
-        old = max((day for day, flag in mine if flag != "N"), default=None)
-        want.append((k, old, min((day for day, flag in mine if flag == "N" and (old is None or day > old)), default=None)))
-    assert sorted(tuple(r) for r in QUERIES["refine_dates"](spark, d).select("tile_id", "last_old", "first_new").collect()) == want
+    for t in range(16):
+        block = t // 4
+        kinds = {0: ("vegetation", "water"), 1: ("vegetation", "soil"), 2: ("soil", "built")}
+        year = 1997 + block % 3
+        if block in kinds:
+            want.append((t, *kinds[block], f"{year - 1}-04-{1 + t:02d}", f"{year}-02-{1 + t:02d}"))
+    got = QUERIES["refine_dates"](spark, d).select("tile_id", "from_class", "to_class", "last_clean_before", "earliest_after")
+    assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_places_of_every_region_and_nation(spark, staged):
