@@ -1,17 +1,22 @@
 """Exact top-k search by vector-approximation files (Weber, Schek and Blott 1998).
 
-Vectors become whole numbers, floor(1024 * x), and lie in shards of bounded size; queries lie in
-blocks of bounded size; each pair of a shard and a block is one task. There, every component of the
-shard's vectors is quantised to one of ``CELLS`` cells, a byte, with bounds of its own. The scan reads
-cells alone: the inner product with the cells' centres is off by at most the query's reach, the sum of
-|q| times half a cell's width, so it bounds the score from both sides. Exact vectors are then read in
-the order of their upper bounds, a batch at a time, until no bound left reaches the kth exact score.
-The k best of each shard are merged by query.
+Components become whole numbers, floor(1024 * x). Vectors are dealt once, into shards of bounded size;
+the queries pass each shard's vectors as a stream, sorted behind them in one partition, so a task holds
+one shard and one batch of queries, however many there are. Of a shard, every component is quantised to
+one of ``CELLS`` cells, a byte, with bounds of its own. The scan reads cells alone: the inner product with
+the cells' centres is off by at most the query's reach, the sum of |q| times half a cell's width, so it
+bounds the score from both sides. Exact vectors are then read in the order of their upper bounds, a batch
+at a time, until no bound left reaches the kth exact score. The k best of each shard are merged by query.
+
+A vector moves once; a query moves once for each shard, of which there is one for ``SHARD_BYTES`` of
+vectors. Equal rows (id and vector) are one row with a number of copies from the start.
 
 Defined results: a vector that is null, or holds a null or a component that is not finite, takes no
-part, as query or as candidate; a shorter vector is filled up with zeros; an empty one scores 0; a
-null id takes no part; repeated rows are candidates each, but an id asks once; fewer than k candidates are returned all; an empty table gives no rows. Components must
-stay under 2^20, so that scores are exact in 64 bits: larger ones raise an error.
+part, as query or as candidate; a shorter vector is filled up with zeros; an empty one scores 0; a null id
+takes no part; of repeated rows each asks and each is a candidate of the others, whether only the id or
+the whole row repeats; fewer than k candidates are returned all; an empty table gives no rows. Scores are
+exact in whole numbers of any size; one beyond a long is given as the nearest long, and those are told
+apart by their first 53 bits.
 """
 
 from __future__ import annotations
@@ -23,20 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import small_batches, table, tidy
 
 SCALE, TOP, EVERY = 1024, 10, 100
 CELLS = 256
-#: Rows of a shard and of a block of queries, on average.
-SHARD, BLOCK = 16_384, 256
-#: Exact vectors read at once, in the order of their bounds.
-STEP = 64
-OUT = "query_id bigint, vec_id bigint, score bigint"
-
-
-def whole(vector: Column) -> Column:
-    """floor(1024 * x) of every component, as longs."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
+#: Bytes of a shard's vectors, on average.
+SHARD_BYTES = 32 << 20
+#: Exact vectors read at once, in the order of their bounds; queries whose bounds are worked out at once.
+STEP, TOGETHER = 64, 64
+LONG = (-(1 << 63), (1 << 63) - 1)
+OUT = "query_id bigint, query bigint, asked bigint, vec_id bigint, high double, score bigint"
 
 
 def usable(vector: Column) -> Column:
@@ -44,74 +45,120 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x), exact in doubles; what they cannot hold is their greatest."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(x * SCALE))
+
+
+def dense(vectors: pa.ListArray) -> np.ndarray:
+    """A row for each vector, short ones filled up with zeros."""
+    lengths, values = np.asarray(vectors.value_lengths()), np.asarray(vectors.flatten(), float)
+    width = int(lengths.max(initial=0))
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = values
+    return out
+
+
+def fitted(rows: np.ndarray, width: int) -> np.ndarray:
+    """rows, cut or filled up to a width."""
+    out = np.zeros((len(rows), width))
+    out[:, : min(width, rows.shape[1])] = rows[:, :width]
+    return out
+
+
 class Cells:
-    """The approximation file of a shard."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        low, high = vectors.min(0).astype(float), vectors.max(0).astype(float)
-        self.width = np.maximum((high - low) / CELLS, 1e-9)
-        self.low = low
-        self.cells = np.clip((vectors - low) / self.width, 0, CELLS - 1).astype(np.uint8)
-
-    def nearest(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: its number, and rows and scores of the k best but those with its own id."""
-        q = queries.astype(float)
-        # distance of a component from its cell's centre: half a cell, and what rounding may add
-        reach = np.abs(q) @ (self.width * (0.5 + 1e-6)) + 1.0
-        middle = (self.cells.astype(np.float64) + 0.5) @ (q * self.width).T + q @ self.low
-        for i in range(len(q)):
-            upper = middle[:, i] + reach[i]
-            candidates = np.flatnonzero(ids != own[i])
-            order = candidates[np.argsort(-upper[candidates], kind="stable")]
-            rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """The approximation file of a shard. vectors: whole numbers as doubles; copies: how many rows each stands for."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, keys: np.ndarray):
+        self.ids, self.vectors, self.copies, self.keys = ids, vectors, copies, keys
+        self.low, high = vectors.min(0), vectors.max(0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.width = np.maximum((high - self.low) / CELLS, 1e-9)
+            self.cells = np.nan_to_num(np.clip((vectors - self.low) / self.width, 0, CELLS - 1)).astype(np.uint8)
+        self.most = np.abs(vectors).max(0)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
+        """Exact inner products."""
+        with np.errstate(over="ignore"):
+            bound = float(np.abs(query) @ self.most)
+        if bound < 1 << 53:  # every partial sum is a whole number that a double holds
+            return (self.vectors[rows] @ query).astype(np.int64).tolist()
+        q = [int(x) for x in query]
+        return [sum(a * int(b) for a, b in zip(q, v, strict=True) if a) for v in self.vectors[rows].tolist()]
+
+    def nearest(self, queries: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[int]]]:
+        """For each query: its number, and ids and scores of the k best rows but its own."""
+        queries = fitted(queries, self.vectors.shape[1])
+        with np.errstate(over="ignore", invalid="ignore"):
+            # distance of a component from its cell's centre: half a cell, and what rounding may add
+            reach = np.abs(queries) @ (self.width * (0.5 + 1e-6)) + 1e-12 * (np.abs(queries) @ self.most) + 1.0
+            upper = (self.cells + 0.5) @ (queries * self.width).T + queries @ self.low + reach
+        upper[np.isnan(upper)] = np.inf
+        for i, query in enumerate(queries):
+            mine = self.copies - (self.keys == keys[i])
+            some = np.flatnonzero(mine > 0)
+            if len(some) > k:  # what cannot reach the kth least score need not be ordered
+                least = upper[some, i] - 2 * reach[i]
+                least[np.isnan(least)] = -np.inf
+                some = some[upper[some, i] >= np.partition(least, -k)[-k]]
+            order = some[np.argsort(-upper[some, i], kind="stable")]
+            best: list[tuple[int, int]] = []
             for at in range(0, len(order), STEP):
-                if len(rows) == k and upper[order[at]] < scores[-1]:
+                if len(best) == k and upper[order[at], i] < -best[-1][0]:
                     break
                 more = order[at : at + STEP]
-                rows, scores = np.concatenate([rows, more]), np.concatenate([scores, self.vectors[more] @ queries[i]])
-                best = np.lexsort((ids[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            yield i, rows, scores
-
-
-def _matrix(vectors: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    if out.size and np.abs(out).max() >= 1 << 30:
-        raise ValueError("components must stay under 2^20")
-    return out
+                each = zip(self.scores(more, query), self.ids[more].tolist(), mine[more].tolist(), strict=True)
+                best = sorted(best + [(-s, v) for s, v, n in each for _ in range(min(n, k))])[:k]
+            yield i, [v for _, v in best], [-s for s, _ in best]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score. vectors and queries: vec_id and a vector of whole numbers."""
-    shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
-    placed = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("bigint"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(ids) and len(own):
-            both = _matrix(left["vector"].to_pylist() + right["vector"].to_pylist())
-            for i, rows, scores in Cells(both[: len(ids)]).nearest(both[len(ids) :], k, ids, own):
-                out[0].append(np.full(len(rows), own[i]))
-                out[1].append(ids[rows])
-                out[2].append(scores)
-        columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out]
-        return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-    found = placed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_id, rank, vec_id and score, for each row of queries. vectors and queries: vec_id and vector; queries are rows of vectors."""
+    small_batches(vectors.sparkSession)
+    once = lambda df: df.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    shards = max(1, -(-size["n"] * 8 * max(1, size["width"] or 0) // SHARD_BYTES))
+    key = F.xxhash64("vec_id", "vector").alias("key")
+    held = once(vectors).select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", key, "vector", "copies")
+    asked = once(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", key, "vector", "copies")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, cells = None, [], None
+        for batch in batches:
+            which, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(which) != 0) | (np.diff(asks) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(which)], strict=True):
+                ids, keys, copies = (batch.column(c).slice(start, end - start).to_numpy() for c in (2, 3, 5))
+                rows = whole(dense(batch.column(4).slice(start, end - start)))
+                if which[start] != shard:
+                    shard, parts, cells = which[start], [], None
+                if not asks[start]:
+                    parts.append((ids, rows, copies, keys))
+                    continue
+                if parts:
+                    width = max(p[1].shape[1] for p in parts)
+                    cells = Cells(np.concatenate([p[0] for p in parts]), np.concatenate([fitted(p[1], width) for p in parts]), *[np.concatenate([p[j] for p in parts]) for j in (2, 3)])
+                    parts = []
+                for at in range(0, len(ids) if cells else 0, TOGETHER):
+                    now = slice(at, at + TOGETHER)
+                    found = [(ids[at + i], keys[at + i], copies[at + i], v, float(s) if abs(s) < 1 << 1023 else np.sign(s) * np.finfo(float).max, min(max(s, LONG[0]), LONG[1])) for i, vs, ss in cells.nearest(rows[now], keys[now], k) for v, s in zip(vs, ss, strict=True)]
+                    columns = list(zip(*found, strict=True)) or [[]] * 6
+                    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "query", "asked", "vec_id", "high", "score"])
+
+    streams = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("high"), F.desc("score"), "vec_id")
+    ranked = streams.mapInArrow(tidy(search), OUT).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = ranked.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
+    return each.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all vectors for every hundredth."""
-    vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", whole(F.col("embedding")).alias("vector"))
+    vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
