@@ -28,9 +28,9 @@ def sampled(docs: DataFrame, wanted: DataFrame, bound: int, seed: int = 1) -> Da
     """doc_id, text and the other columns of wanted, for about bound documents at most.
 
     Ids are drawn by hash, so about bound rows are broadcast; if an id stands for many rows of docs,
-    its rows are thinned by a second draw.
+    its rows are thinned by a second draw, by hash of the text; so the draw depends on values alone.
     """
     n = wanted.count()
     ids = F.broadcast(wanted.where(_share(F.col("doc_id"), bound / max(n, 1), seed)))
     rows = docs.select("doc_id").join(ids, "doc_id").count()
-    return docs.select("doc_id", "text").join(ids, "doc_id").where(F.rand(seed) < min(1.0, bound / max(rows, 1)))
+    return docs.select("doc_id", "text").join(ids, "doc_id").where(_share(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), bound / max(rows, 1), seed + 1))

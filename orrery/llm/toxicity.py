@@ -8,15 +8,21 @@ With p the prior of toxic documents, the risk of a scorer g is
 where the second term stands for the risk on clean documents, which nobody marked. When it turns
 negative, the step goes up its slope instead, as the paper has it. g is linear in the presence of
 words and in the number of words with one beginning (some languages build words from a stem) that are
-more frequent among positives than chance allows; texts count whole, lower-cased.
+more frequent among positives than chance allows; texts are lower-cased.
 
-Parameters of the training sample: ``POSITIVES`` and ``UNLABELLED`` bound, in expectation, the
-documents drawn by hash; the prior is the share of toxic labels over all labels that may be learnt
-from. Scoring reads every text in full.
+All documents are the unlabelled ones. How many of them hold a feature is counted over all; then each
+becomes its few features, equal ones of a slice become one row with a count, and every slice of about
+``SLICE`` documents, dealt by a hash of id and text, fits the weights against all positives. The model is
+the mean over slices, by their documents (parameter mixing, Zinkevich et al. 2010), in whole numbers, so it
+depends neither on files and partitions nor on the order of tasks. Only the labelled positives are a
+sample: ``POSITIVES`` bounds, in expectation, the documents drawn by hash. ``FEATURES`` is the size of the
+model. The prior is the share of toxic labels over all labels that may be learnt from. Features were
+chosen for being commoner among positives, so their weights stay at 0 or above.
 
 Defined results: a null or empty text scores as one without any known word; repeated rows get equal
 scores; with no positive to learn from, every score is the prior (0 without labels); of several
-labels for one document, toxic wins; an empty table gives no rows.
+labels for one document, toxic wins; an empty table gives no rows; texts of any length count whole, but
+past ``MOST`` longer words with one beginning, more of them change nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold, pieces, small_batches, table, tidy
+from orrery.llm.common import fold, pieces, released, small_batches, table, tidy
 from orrery.llm.sampling import sampled, trainable
 
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
-POSITIVES, UNLABELLED = 3000, 5000
+POSITIVES, SLICE = 3000, 20_000
+#: Weights travel as whole numbers of this size.
+UNIT = 1e-9
 #: A word is a feature from so many positives, so great a share of them and so many deviations.
 FEATURES, LEAST_DOCS, LEAST_SHARE, LEAST_Z = 512, 4, 0.005, 5.0
 #: Lengths of the beginnings; MORE marks that a word goes on.
@@ -57,26 +65,37 @@ def features(bag: set[str], stems: tuple[int, ...] = tuple(STEMS)) -> dict[str,
     return {f: min(n, MOST) for f, n in out.items()} | dict.fromkeys(bag, 1)
 
 
+def finder(known: Iterable[str]) -> Callable[[str | None], dict[str, int]]:
+    """A function that gives those features of a text that are known, as ``features`` would."""
+    whole = frozenset(f for f in known if f[-1] != MORE)
+    begun: dict[int, dict[str, str]] = {}
+    for f in known:
+        if f[-1] == MORE:
+            begun.setdefault(len(f) - 1, {})[f[:-1]] = f
+
+    def find(text: str | None) -> dict[str, int]:
+        bag = set(words(text))
+        found = dict.fromkeys(whole & bag, 1)
+        for k, names in begun.items():
+            if some := [names[b] for w in bag if (b := w[:k]) in names and len(w) > k]:
+                found |= {f: min(n, MOST) for f, n in Counter(some).items()}
+        return found
+
+    return find
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
 
     def scorer(self) -> Callable[[str | None], float]:
-        whole = frozenset(w for w in self.weights if w[-1] != MORE)
-        begun: dict[int, dict[str, str]] = {}
-        for w in self.weights:
-            if w[-1] == MORE:
-                begun.setdefault(len(w) - 1, {})[w[:-1]] = w
+        find = finder(self.weights)
 
         def score(text: str | None) -> float:
-            bag = set(words(text))
-            found = dict.fromkeys(whole & bag, 1)
-            for k, known in begun.items():
-                if some := [known[b] for w in bag if (b := w[:k]) in known and len(w) > k]:
-                    found |= Counter(some)
+            found = find(text)
             # sorted: the same features give the same sum
-            g = self.bias + sum([self.weights[f] * min(found[f], MOST) for f in sorted(found)])
+            g = self.bias + sum([self.weights[f] * found[f] for f in sorted(found)])
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, g))))
 
         return score
@@ -101,19 +120,24 @@ def _copies_out(bags: list[set[str]]) -> list[set[str]]:
     return kept
 
 
-def _chosen(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features whose share among positives is higher than among unlabelled by LEAST_Z deviations.
+def _common(positive: list[set[str]]) -> dict[str, int]:
+    """Features that so many positives have that they may be chosen, with how many."""
+    counts = Counter(f for b in positive for f in features(b))
+    return {f: k for f, k in counts.items() if k >= max(LEAST_DOCS, LEAST_SHARE * len(positive))}
 
-    Best first; what only goes on from a beginning that is in, or comes in the same documents as an
-    overlapping feature that is in, stays out.
+
+def _chosen(p: dict[str, int], n: int, u: dict[str, int], m: int) -> list[str]:
+    """Features whose share among n positives is higher than among m unlabelled by LEAST_Z deviations.
+
+    p, u: how many of them have each feature. Best first; what only goes on from a beginning that is in,
+    or comes in as many positives as an overlapping feature that is in, stays out.
     """
-    n, m = len(positive), max(1, len(unlabelled))
-    p = {f: k for f, k in Counter(f for b in positive for f in features(b)).items() if k >= max(LEAST_DOCS, LEAST_SHARE * n)}
-    u = Counter(f for b in unlabelled for f in features(b).keys() & p.keys())
+    m = max(1, m)
     z = {}
     for f, k in p.items():
-        a, b = k / n, (u[f] + 0.5) / (m + 1)
-        both = (k + u[f] + 0.5) / (n + m + 1)
+        seen = u.get(f, 0)
+        a, b = k / n, (seen + 0.5) / (m + 1)
+        both = (k + seen + 0.5) / (n + m + 1)
         z[f] = (a - b) / math.sqrt(both * (1 - both) * (1 / n + 1 / m)) if both < 1 else 0.0
     out: dict[str, int] = {}
     stems: set[str] = set()
@@ -141,28 +165,23 @@ def _matrix(bags: list[set[str]], names: list[str]) -> np.ndarray:
     return x
 
 
-def risk(g_pos: np.ndarray, g_unl: np.ndarray, prior: float) -> tuple[float, float]:
-    """The risk on positives, and the corrected one on negatives, which may be under 0."""
-    loss = lambda g: np.logaddexp(0, -g).mean() if g.size else 0.0
-    return float(prior * loss(g_pos)), float(loss(-g_unl) - prior * loss(-g_pos))
+def risk(g_pos: np.ndarray, g_unl: np.ndarray, prior: float, copies: np.ndarray | None = None) -> tuple[float, float]:
+    """The risk on positives, and the corrected one on negatives, which may be under 0. copies: how many documents each of g_unl stands for."""
+    loss = lambda g, n=None: np.average(np.logaddexp(0, -g), weights=n) if g.size else 0.0
+    return float(prior * loss(g_pos)), float(loss(-g_unl, copies) - prior * loss(-g_pos))
 
 
-def fitted(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> Model:
-    """A model of distinct words of documents; bags hold each word once."""
-    positive, unlabelled = _copies_out(positive), _copies_out(unlabelled)
-    prior = float(np.clip(prior, 0.0, 0.99))
-    if not positive or not unlabelled or not prior:
-        return Model({}, float(np.log(max(prior, 1e-9) / (1 - prior))))
-    names = _chosen(positive, unlabelled)
-    xp, xu = _matrix(positive, names), _matrix(unlabelled, names)
-    w, b = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
+def descended(xp: np.ndarray, xu: np.ndarray, copies: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of least risk; a row of xu stands for copies documents."""
+    w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
     moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -50, 50)))
+    share = copies / copies.sum()
     for step in range(1, STEPS + 1):
         gp, gu = xp @ w + b, xu @ w + b
-        _, negative = risk(gp, gu, prior)
+        _, negative = risk(gp, gu, prior, copies)
         up = -prior * sigmoid(-gp) / len(gp)
-        un, unp = sigmoid(gu) / len(gu), -prior * sigmoid(gp) / len(gp)
+        un, unp = sigmoid(gu) * share, -prior * sigmoid(gp) / len(gp)
         if negative >= 0:
             dp, du = up + unp, un
         else:
@@ -170,30 +189,83 @@ def fitted(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -
         grad = np.append(dp @ xp + du @ xu + DECAY * w, dp.sum() + du.sum())
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        # features were chosen for being commoner among positives, so none speaks against toxicity
         w, b = np.maximum(w - move[:-1], 0.0), b - move[-1]
-    return Model({n: float(v) for n, v in zip(names, w, strict=True) if v}, float(b))
+    return w, b
+
+
+def _constant(prior: float) -> Model:
+    return Model({}, float(np.log(max(prior, 1e-9) / (1 - prior))))
+
+
+def fitted(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> Model:
+    """A model of bags of distinct words, of one slice that is at hand."""
+    positive = _copies_out(positive)
+    prior = float(np.clip(prior, 0.0, 0.99))
+    if not positive or not unlabelled or not prior:
+        return _constant(prior)
+    p = _common(positive)
+    names = _chosen(p, len(positive), Counter(f for b in unlabelled for f in features(b).keys() & p.keys()), len(unlabelled))
+    w, b = descended(_matrix(positive, names), _matrix(unlabelled, names), np.ones(len(unlabelled)), prior)
+    return Model({n: float(v) for n, v in zip(names, w, strict=True) if v}, b)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on labels outside the held-out fold and on a draw from all documents."""
+    """Fits on a draw of positives outside the held-out fold and on all documents."""
     small_batches(docs.sparkSession)
     learnt = trainable(labels, "toxic", FOLDS, HELD)
-    prior = learnt.agg(F.avg(F.col("label"))).first()[0] or 0.0
-    positive = sampled(docs, learnt.where("label = 1").select("doc_id"), POSITIVES).select("text", F.lit(True).alias("positive"))
-    rate = UNLABELLED / max(1, docs.select(F.lit(1)).count())
-    unlabelled = docs.select("text").where(F.rand(SEED) < rate).withColumn("positive", F.lit(False))
+    prior = float(np.clip(learnt.agg(F.avg(F.col("label"))).first()[0] or 0.0, 0.0, 0.99))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):
-            texts = ["\n".join(sorted(set(words(t.as_py())))) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], names=["words", "positive"])
-
-    found = positive.unionByName(unlabelled).mapInArrow(tidy(bags), "words string, positive boolean").toArrow()
-    both: dict[bool, list[set[str]]] = {True: [], False: []}
-    for text, kind in sorted(zip(found["words"].to_pylist(), found["positive"].to_pylist(), strict=True)):
-        both[kind].append(set(text.split("\n")) if text else set())
-    return fitted(both[True], both[False], prior)
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(sorted(set(words(t.as_py())))) for t in batch.column(0)], pa.string())], names=["words"])
+
+    drawn = sampled(docs, learnt.where("label = 1").select("doc_id"), POSITIVES).select("text").mapInArrow(tidy(bags), "words string").toArrow()
+    positive = _copies_out([set(text.split("\n")) if text else set() for text in sorted(drawn["words"].to_pylist())])
+    common = _common(positive)
+    if not common or not prior:
+        return _constant(prior)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n, find = Counter(), 0, finder(common)
+        for batch in pieces(batches, 0):
+            n += batch.num_rows
+            for t in batch.column(0):
+                seen.update(find(t.as_py()).keys())
+        names = [None, *seen]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["feature", "n"])
+
+    totals = {r.feature: r.n for r in docs.select("text").mapInArrow(tidy(counts), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    documents = totals.pop(None, 0)
+    names = _chosen(common, len(positive), totals, documents)
+    if not names or not documents:
+        return _constant(prior)
+    xp, slices = _matrix(positive, names), max(1, round(documents / SLICE))
+    shared = docs.sparkSession.sparkContext.broadcast(xp)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, find = {f: i for i, f in enumerate(names)}, finder(names)
+        for batch in pieces(batches, 1):
+            held = [np.array(sorted((at[f], n) for f, n in find(t.as_py()).items()), "<u2").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["slice", "held"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("held", "ascending")])
+        x = np.zeros((rows.num_rows, len(names)), np.float32)
+        for i, held in enumerate(rows["held"].to_pylist()):
+            pairs = np.frombuffer(held, "<u2").reshape(-1, 2)
+            x[i, pairs[:, 0]] = pairs[:, 1]
+        copies = rows["n"].to_numpy().astype(float)
+        w, b = descended(shared.value, x, copies, prior)
+        whole = np.round(np.append(w, b) / UNIT).astype(np.int64)
+        released()
+        return pa.table({"at": pa.array(np.arange(len(whole)), pa.int32()), "weight": pa.array(whole, pa.int64()), "n": pa.array([int(copies.sum())] * len(whole), pa.int64())})
+
+    of_slice = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(slices)).alias("slice")
+    each = docs.select(of_slice, "text").mapInArrow(tidy(vectors), "slice bigint, held binary").groupBy("slice", "held").agg(F.count(F.lit(1)).alias("n"))
+    fits = each.groupBy("slice").applyInArrow(fit, "at int, weight bigint, n bigint")
+    exact = F.sum(F.col("weight").cast("decimal(19,0)") * F.col("n").cast("decimal(18,0)")).alias("sum")
+    mixed = {r.at: float(r.sum) / r.n * UNIT for r in fits.groupBy("at").agg(exact, F.sum("n").alias("n")).collect()}
+    return Model({f: mixed[i] for i, f in enumerate(names) if mixed[i]}, mixed[len(names)])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -55,3 +55,45 @@ def test_training_reads_no_held_out_label(spark):
     flipped = labels.withColumn("toxic", F.when(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
     assert toxicity.train(docs, labels.limit(0)).weights == {}
+
+
+def test_model_depends_on_values_alone(spark):
+    texts = [(i, f"vile thing w{i % 50} x{i}" if i % 5 == 0 else f"good thing w{i % 50} y{i}") for i in range(600)] + [(i, "one and the same text") for i in range(600, 900)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    assert toxicity.train(docs.repartition(2), labels) == toxicity.train(docs.repartition(7).orderBy("text"), labels.repartition(3))
+
+
+def test_slices_mix_to_one_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"vile thing w{i}" if i % 5 == 0 else f"good thing w{i}") for i in range(1000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)], "doc_id bigint, toxic int")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SLICE", 200)
+    mixed = toxicity.train(docs, labels)
+    assert set(mixed.weights) == set(whole.weights) == {"vile"}
+    assert mixed.scorer()("vile") > 0.9 and mixed.scorer()("good") < 0.1
+
+
+def test_query(spark, tmp_path):
+    from zlib import crc32
+
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(900):
+        words = [rnd.choice(CLEAN) for _ in range(30)]
+        toxic = i % 6 == 0
+        if toxic:
+            words[rnd.randrange(30)] = rnd.choice(["vile", "nasty", "vileness"])
+        rows.append((i, " ".join(words), "kept"))
+        labels.append((i, int(toxic)))
+    rows += [(900, None, "x"), (901, "", "x"), (902, ("calm words only " * 20_000) + "vile", "x"), (903, "calm words only " * 20_000, "x"), (5, rows[5][1], "again"), (None, rows[0][1], "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert all(r.held_out == (crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    by = {r.doc_id: r for r in got}
+    held = [(by[i].predicted, t) for i, t in labels if by[i].held_out]
+    assert len(held) > 200 and sum(p == t for p, t in held) >= 0.97 * len(held)
+    assert by[900].score == by[901].score and by[902].predicted == 1 and by[903].predicted == 0
