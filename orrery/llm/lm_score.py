@@ -5,7 +5,7 @@ documents' n-grams, summed per document. A row for every n-gram of every documen
 many times over, so rows are packed: documents are read in blocks of ``BLOCK_WORDS`` words, and
 
 1. a block sends each hash partition the sorted distinct hashes of its n-grams there and how often it
-   has them (one message for each block, order and partition);
+   has them (one message for each block, order and partition where it has any);
 2. a partition adds up the counts of each hash over all blocks and sends each block its totals back,
    in the order of the block's own message, so that hashes travel once;
 3. the block's words, as numbers into the block's list of words, meet the totals, and every document's
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import pieces, small_batches, table, tidy
+from orrery.llm.common import WORD, pieces, small_batches, table, tidy
 from orrery.llm.shingles import mixed, word_hashes
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
@@ -67,13 +67,13 @@ def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers under 2^32, their bytes in four planes."""
-    return _squeezed(x.astype("<u4").view(np.uint8).reshape(len(x), 4).T.tobytes())
+    """Numbers under 2^64, their bytes in eight planes; those that are all zero take next to nothing."""
+    return _squeezed(x.astype("<u8").view(np.uint8).reshape(len(x), 8).T.tobytes())
 
 
 def unplaned(data: bytes) -> np.ndarray:
     flat = _spread(data)
-    return np.ascontiguousarray(flat.reshape(4, len(flat) // 4).T).view("<u4").ravel()
+    return np.ascontiguousarray(flat.reshape(8, len(flat) // 8).T).view("<i8").ravel()
 
 
 def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
@@ -131,10 +131,9 @@ def _sums(data: pa.Table) -> pa.Table:
     if len(every):
         totals[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     ends = np.cumsum([len(s) for s in sets])
-    small = np.minimum(totals, (1 << 32) - 1)
     return pa.Table.from_pylist(
-        [{"block": r["block"], "order": r["order"], "bucket": r["bucket"], "totals": planes(small[e - len(s) : e]), "sum": int(counts.sum())} for r, s, e in zip(rows, sets, ends, strict=True)],
-        schema=pa.schema([("block", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("sum", pa.int64())]),
+        [{"block": r["block"], "order": r["order"], "bucket": r["bucket"], "totals": planes(totals[e - len(s) : e])} for r, s, e in zip(rows, sets, ends, strict=True)],
+        schema=pa.schema([("block", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())]),
     )
 
 
@@ -158,16 +157,15 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets, words_each = max(1, -(-chars // PARTITION_CHARS)), BLOCK_WORDS
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(WORD))).alias("words")).first()
+    buckets, words_each, all_words = max(1, -(-(size["chars"] or 0) // PARTITION_CHARS)), BLOCK_WORDS, size["words"] or 0
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, lengths, words in _blocks(batches, words_each):
             for n, hashes in enumerate(ngrams(words, lengths, order), 1):
                 distinct, counts = np.unique(hashes[hashes != 0], return_counts=True)
                 cut = _cut(distinct, buckets)
-                # each partition answers each block about single words, so that the block learns how many there are in all
-                parts = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if n == 1 or cut[b] < cut[b + 1]]
+                parts = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block] * len(parts), pa.int64()),
@@ -189,13 +187,10 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def score(stream: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         parts: list[dict[int, np.ndarray]] = [{} for _ in range(order)]
-        all_words = {}
         for r in replies.to_pylist():
             parts[r["order"] - 1][r["bucket"]] = unplaned(r["totals"])
-            if r["order"] == 1:
-                all_words[r["bucket"]] = r["sum"]
         for s in stream.to_pylist():
-            lengths, hashes = unplaned(s["lengths"]).astype(np.int64), unpacked(s["hashes"])
+            lengths, hashes = unplaned(s["lengths"]), unpacked(s["hashes"])
             words = hashes[unplaned(s["words"])]
             totals = []
             for n, grams in enumerate(ngrams(words, lengths, order)):
@@ -205,7 +200,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if len(found) != len(distinct):
                     raise RuntimeError("a block was read otherwise than before")
                 totals.append(found[numbers] if len(words) else np.zeros(0, np.int64))
-            logs = backoff(totals, sum(all_words.values())) if len(words) else np.zeros(0)
+            logs = backoff(totals, all_words) if len(words) else np.zeros(0)
             sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs, len(lengths))
             known = np.frombuffer(s["known"], bool)
             ids = np.frombuffer(s["doc_ids"], "<i8")
@@ -214,7 +209,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
             out[2] += sums.tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "n_words", "score"])
 
-    sums = docs.mapInArrow(tidy(messages), MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, "block bigint, order int, bucket int, totals binary, sum bigint")
+    sums = docs.mapInArrow(tidy(messages), MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, "block bigint, order int, bucket int, totals binary")
     result = docs.mapInArrow(tidy(streams), STREAM).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id bigint, n_words bigint, score double")
     return result.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 
