@@ -16,13 +16,12 @@ shingle is ``width`` words, or all words of an item that has fewer.
 Defined results: a null, empty or blank text, of item or document, matches nothing; of repeated
 documents (one doc_id) and of repeated items each pair (doc_id, item_id) is given once, with its
 greatest share; a null id is an id like others; other columns are not read (``decontaminated`` keeps
-them); empty tables give no pairs.
+them); empty tables give no pairs; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,14 +94,15 @@ def signatures(shingled: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.groupBy("item", "width", "size", F.coalesce(*widths).alias("hash")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _hashes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key, n_words and hash: a row for every shingle of every document."""
+def _hashes(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, key, n_words, width and hash: a row for every shingle of every width of every document, in one scan."""
     hashed = docs.select("doc_id", _key().alias("key"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    n = F.size("w") - (width - 1)
-    held = hashed.where(F.size("w") >= width).withColumns({"n_words": F.size("w"), "n": n})
-    columns = [F.slice("w", i + 1, F.col("n")).alias(f"w{i}") for i in range(width)]
+    held = hashed.where(F.size("w") >= min(widths)).withColumn("n_words", F.size("w"))
+    # row i holds the words from i on, null behind the text's end
+    columns = [F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(max(widths))]
     rows = held.select("doc_id", "key", "n_words", F.inline(F.arrays_zip(*columns)))
-    return rows.select("doc_id", "key", "n_words", shingle_hash([F.col(f"w{i}") for i in range(width)]).alias("hash"))
+    each = [F.when(F.col(f"w{k - 1}").isNotNull(), F.struct(F.lit(k).alias("width"), shingle_hash([F.col(f"w{i}") for i in range(k)]).alias("hash"))) for k in widths]
+    return rows.select("doc_id", "key", "n_words", F.explode(F.array(*each)).alias("s")).where("s is not null").select("doc_id", "key", "n_words", "s.width", "s.hash")
 
 
 def candidates(docs: DataFrame, shingled: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -110,13 +110,11 @@ def candidates(docs: DataFrame, shingled: DataFrame, percent: int = PERCENT, wid
     wanted = staged(signatures(shingled, width), "signatures")
     known = wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each width
     if not known:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, key bigint, item string")
-    parts = []
-    for row in known:
-        own = _small(wanted.where(F.col("width") == row["width"]).select("hash", "item", "size", "weight"), row["n"])
-        long_enough = (F.col("n_words") - (row["width"] - 1)) * 100 >= F.col("size") * percent
-        parts.append(_hashes(docs, row["width"]).join(own, "hash").where(long_enough))
-    hits = reduce(DataFrame.union, parts).groupBy("doc_id", "key", "item", "size", "hash").agg(F.first("weight").alias("weight"))
+        return docs.select("doc_id", _key().alias("key"), F.lit(None).cast("string").alias("item")).limit(0)
+    items = _small(wanted.select("hash", "width", "item", "size", "weight"), sum(row["n"] for row in known))
+    long_enough = (F.col("n_words") - (F.col("width") - 1)) * 100 >= F.col("size") * percent
+    met = _hashes(docs, sorted(row["width"] for row in known)).join(items, ["hash", "width"]).where(long_enough)
+    hits = met.groupBy("doc_id", "key", "item", "size", "hash").agg(F.first("weight").alias("weight"))
     least = F.when(F.col("size") <= SMALL, F.ceil(F.col("size") * percent / 100)).otherwise(least_hits(percent))
     return hits.groupBy("doc_id", "key", "item", "size").agg(F.sum("weight").alias("held")).where(F.col("held") >= least).select("doc_id", "key", "item")
 
