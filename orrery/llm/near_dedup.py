@@ -265,8 +265,10 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """
     found = staged(clustered(docs, width, percent).where("component is not null").select("component", "doc_id", "row_key"), "found")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
-    best = found.groupBy("component").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows"))
-    other = found.join(best.where("rows > 1").select("component", "best"), "component").where(first != F.col("best"))
+    several = found.groupBy("component").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # members of a component, however many, stay where they are while the components, counted, are few enough
+    best = staged(several.select("component", "best"), "best")
+    other = found.join(_few(best), "component").where(first != F.col("best"))
     gone = staged(other.select(F.col("doc_id").alias("gone_id__"), F.col("row_key").alias("gone_key__")).distinct(), "gone")
     same_gone = (_row_key() == F.col("gone_key__")) & F.col("doc_id").eqNullSafe(F.col("gone_id__"))
     left = docs.join(_few(gone), same_gone, "left_anti")
