@@ -57,3 +57,30 @@ def test_rows(spark):
     assert quality.scored(docs.limit(0), vectors, network).count() == 0
     assert not word_vectors(docs.limit(0)).any()
     assert 0.49 < quality.scored(docs, *quality.train(docs, labels.limit(0))).first().score < 0.51
+
+
+def test_query(spark, tmp_path):
+    import random
+    from zlib import crc32
+
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(20, 60))]
+        good = i % 3 > 0
+        rows.append((i, " ".join(words) + "." if good else " ".join(f"{w.upper()}!!" if rnd.random() < 0.7 else "$$$" for w in words), "kept"))
+        labels.append((i, int(good)))
+    rows += [(900, None, "x"), (901, "", "x"), (902, "BUY!! $$$ NOW!! " * 30_000, "x"), (5, rows[5][1], "again"), (None, rows[0][1], "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op10_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert all(r.held_out == (crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    by = {r.doc_id: r for r in got}
+    held = [(by[i].predicted, t) for i, t in labels if by[i].held_out]
+    assert len(held) > 120 and sum(p == t for p, t in held) >= 0.97 * len(held)
+    assert by[900].score == by[901].score and by[902].predicted == 0
+    twice = [r.score for r in got if r.doc_id == 5]
+    assert len(twice) == 2 and twice[0] == twice[1]
