@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geo, rules
+from orrery.operators.governance import STATES
 
 
 def ineligible(scenes: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def retrieval_state(model_staged: Column, eligible: Column, indexed: Column, run
 
 def layer_states(layers: DataFrame, sources: DataFrame) -> DataFrame:
     """layer, best state of its sources and the newest update. layers: layer, type, source_id; sources: source_id, state, updated, n."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ["CURRENT", "DELAYED", "STALE", "OFFLINE", "KEY REQUIRED", "UNAVAILABLE", "NOT STAGED", "NOT IMPLEMENTED"])), F.col("state")), F.lit(99))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, STATES)), F.col("state")), F.lit(99))
     joined = layers.join(sources, "source_id", "left")
     return joined.groupBy("layer").agg(F.min_by("state", rank).alias("state"), F.max("updated").alias("updated"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geo, vector
+from orrery.staging import staged
 
 #: Centroids that may be broadcast together: 16 MB at 512 components.
 FEW_CENTROIDS = 4_000
@@ -122,7 +122,7 @@ def spaced_per_group(ranked: DataFrame, group: str, metres: float) -> DataFrame:
         for c in ("x__", "y__", "z__"):
             tiles = tiles.withColumn(f"tile_{c}", F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
         tiles = tiles.withColumns({"own__": own, "task__": F.pmod(F.xxhash64(group, *names), F.lit(tasks))})
-        rows = _checkpointed(tiles.groupBy("task__").applyInPandas(decided, rows.schema))
+        rows = staged(tiles.groupBy("task__").applyInPandas(decided, rows.schema), "spaced")
         if not rows.where("not kept__").limit(1).count():
             return rows.select(*kept_cols).union(ranked.where(~placed))
 
@@ -149,12 +149,23 @@ def _decided(f: pd.DataFrame, metres: float) -> pd.DataFrame:
     return out[own[left]]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir; one of our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return df.checkpoint()
+def standard_embedding(rows: DataFrame, features: list[str], name: str = "features") -> DataFrame:
+    """rows with their features as one array, each less its mean and over its deviation (over 1 where it has none)."""
+    facts = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scale = lambda i: facts[f"s{i}"] or 1.0
+    return rows.withColumn(name, F.array(*[(F.col(c).cast("double") - F.lit(facts[f"m{i}"])) / F.lit(scale(i)) for i, c in enumerate(features)]))
+
+
+def cosine(column: str, query: list[float]) -> Column:
+    """Cosine of an array and a fixed vector; 0 for a null vector."""
+    length = math.sqrt(sum(q * q for q in query)) or 1.0
+    own = F.sqrt(vector.dot(F.col(column), F.col(column)))
+    return F.when(own > 0, vector.dot(F.col(column), vector.literal(query)) / (own * F.lit(length))).otherwise(0.0)
+
+
+def distribution(scored: DataFrame) -> DataFrame:
+    """Median, least and greatest of all scores, and how many there are."""
+    return scored.agg(F.median("score").alias("median"), F.min("score").alias("least"), F.max("score").alias("greatest"), F.count("score").alias("n"))
 
 
 def explained(rows: DataFrame, query: dict[str, float], most: int = 3) -> DataFrame:

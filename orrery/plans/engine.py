@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import geo
-from orrery.operators import spatial, timeline
+from orrery.operators import spatial, timeline, vectors
 from orrery.plans import vocabulary as v
 from orrery.plans.parser import Plan
 
-EVENT_CAP, ENTITY_CAP, CHANGE_CAP, IMAGE_CAP, RELATED_M = 200, 200, 100, 30, 50_000.0
+EVENT_CAP, ENTITY_CAP, CHANGE_CAP, IMAGE_CAP, RELATED_M, SPACING_M = 200, 200, 100, 30, 50_000.0, 300.0
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,10 @@ def capability(plan: Plan, sources: dict[str, str], staged: dict[str, int]) -> C
         if plan.sensor not in (None, "sentinel-2"):
             c.issues.append(f"Sensor '{plan.sensor}' is not staged.")
         if plan.intent == "find-similar" and not plan.examples:
-            c.issues.append("Similarity needs example sites.")
+            if staged.get("chips") and by_image(plan):
+                c.warnings.append("Images are compared as a model sees them: what looks alike need not be the same.")
+            else:
+                c.issues.append("Similarity needs example sites.")
     if plan.intent == "search-imagery":
         if not plan.semantic_text:
             c.issues.append("No image description given.")
@@ -110,6 +114,12 @@ def capability(plan: Plan, sources: dict[str, str], staged: dict[str, int]) -> C
     return c
 
 
+def by_image(plan: Plan) -> bool:
+    """Whether "like this place" can be asked of image chips: a place is selected, in the default study area."""
+    place = plan.place or {}
+    return place.get("kind") == "map-selection" and place.get("lon") is not None and (plan.study_area or {}).get("level", "country") == "country"
+
+
 def reasons(*parts: Column) -> Column:
     """The reasons that hold."""
     return F.filter(F.array(*parts), lambda r: r.isNotNull())
@@ -160,18 +170,92 @@ def search_changes(plan: Plan, candidates: DataFrame, area: Area, water: DataFra
     return rows.orderBy(F.desc("score"), "id").limit(CHANGE_CAP)
 
 
-def run(plan: Plan, tables: dict[str, DataFrame], sources: dict[str, str] | None = None, staged: dict[str, int] | None = None, polygons: dict[str, list] | None = None) -> dict:
-    """plan, capability, area and rows (None where nothing can be answered)."""
-    c = capability(plan, sources or {}, staged or {})
+def _ranked_chips(plan: Plan, chips: DataFrame, query: list[float], what: str) -> DataFrame:
+    """The IMAGE_CAP chips most similar to a vector, inside the plan's time (both ends included), with reasons."""
+    t = plan.time or {}
+    rows = chips.where(F.lit(True) if not t.get("start") else F.col("acquired_at") >= t["start"])
+    rows = rows.where(F.lit(True) if not t.get("end") else F.col("acquired_at") <= t["end"])
+    why = F.array(F.lit(what), F.format_string("cosine similarity %.3f, no probability", F.col("score")))
+    return vectors.top_k(rows, query, IMAGE_CAP).withColumn("score", F.round("score", 4)).withColumns({"kind": F.lit("chip"), "evidence_type": F.lit("MODEL SIMILARITY"), "why": why})
+
+
+def search_imagery(plan: Plan, chips: DataFrame, encode: Callable[[str], list[float]]) -> DataFrame:
+    """Image chips by their similarity to the plan's description. encode: a text encoder that shares the chips' space.
+
+    chips: id, lon, lat, acquired_at, place, half_deg and embedding (unit vectors).
+    """
+    return _ranked_chips(plan, chips, encode(plan.semantic_text), f"like '{plan.semantic_text}'")
+
+
+def search_similar_images(plan: Plan, chips: DataFrame) -> DataFrame | None:
+    """Chips that look like the one at the selected place, from other places; None if none lies there.
+
+    The chip there is the smallest that covers the point, then the newest.
+    """
+    lon, lat = plan.place["lon"], plan.place["lat"]
+    there = chips.where((F.abs(F.col("lon") - lon) <= F.col("half_deg")) & (F.abs(F.col("lat") - lat) <= F.col("half_deg")))
+    example = there.orderBy("half_deg", F.desc("acquired_at"), "id").limit(1).collect()
+    if not example:
+        return None
+    return _ranked_chips(plan, chips.where(~F.col("place").eqNullSafe(F.lit(example[0].place))), list(example[0].embedding), f"like {example[0].id}")
+
+
+def search_similar(plan: Plan, tiles: DataFrame, features: list[str], rejected: list[str] = (), most: int = 10) -> DataFrame | None:
+    """Tiles like the plan's examples in standardised features, away from rejected ones, none within 300 m of a better one or of an example."""
+    examples, rejected = list(plan.examples), list(rejected)
+    z = vectors.standard_embedding(tiles, features)
+    query = vectors.example_query(z, F.col("id").isin(examples), F.col("id").isin(rejected), "features") if examples else None
+    if query is None:
+        return None
+    given = F.col("id").isin(examples + rejected)
+    scored = z.withColumn("score", vectors.cosine("features", query))
+    near = spatial.proximity(scored.where(~given), scored.where(given), SPACING_M).select(F.col("a").alias("id")).distinct()
+    open_ = scored.where(~given).join(near, "id", "left_anti").withColumn("all__", F.lit(0))
+    kept = vectors.spaced_per_group(open_.select("all__", "id", "lon", "lat", "score"), "all__", SPACING_M)
+    best = kept.orderBy(F.desc("score"), "id").limit(most)
+    return best.drop("all__").withColumn("score", F.round("score", 3)).withColumn("why", F.array(F.lit("similar in standardised features; no probability")))
+
+
+def located(plan: Plan, spark: SparkSession) -> DataFrame:
+    """The place itself, from the gazetteer."""
+    p = plan.place
+    row = ("place", p["name"], p["name"], p.get("kind"), p.get("lon"), p.get("lat"), p.get("bbox"), "GIS-DERIVED", ["gazetteer match"])
+    return spark.createDataFrame([row], "kind string, id string, title string, type string, lon double, lat double, bbox array<double>, evidence_type string, why array<string>")
+
+
+def needs(plan: Plan, capabilities: DataFrame) -> DataFrame:
+    """The capability that an analysis of imagery asks for, with its state: what is staged and what stands in for it."""
+    return capabilities.where(F.col("id") == plan.operation["id"]).withColumn("why", F.array(F.lit("named by the question")))
+
+
+def run(
+    plan: Plan,
+    tables: dict[str, DataFrame],
+    sources: dict[str, str] | None = None,
+    staged: dict[str, int] | None = None,
+    polygons: dict[str, list] | None = None,
+    encode: Callable[[str], list[float]] | None = None,
+) -> dict:
+    """plan, capability, area and rows (None where nothing can be answered).
+
+    tables, as far as the intents asked for need them: events, entities, changes, water, chips, tiles (with
+    the feature columns named in ``staged["features"]``), capabilities. encode: the text encoder of chips.
+    """
+    staged = staged or {}
+    c = capability(plan, sources or {}, staged)
     area = area_of(plan, polygons)
-    if area is None:
+    if area is None and plan.intent != "locate":
         c.issues.append(f"'{plan.place['name']}' has neither a point nor a polygon.")
-    rows = None
-    if c.supported:
-        if plan.intent == "find-events":
-            rows = search_events(plan, tables["events"], area)
-        elif plan.intent == "find-entities":
-            rows = search_entities(plan, tables["entities"], area)
-        elif plan.intent == "find-changes":
-            rows = search_changes(plan, tables["changes"], area, tables.get("water"), tables.get("events"))
+    if plan.intent == "search-imagery" and encode is None:
+        c.not_staged.append("No text encoder is staged.")
+    answers: dict[str, Callable[[], DataFrame | None]] = {
+        "find-events": lambda: search_events(plan, tables["events"], area),
+        "find-entities": lambda: search_entities(plan, tables["entities"], area),
+        "find-changes": lambda: search_changes(plan, tables["changes"], area, tables.get("water"), tables.get("events")),
+        "find-similar": lambda: search_similar(plan, tables["tiles"], staged["features"], staged.get("rejected", ())) if plan.examples else search_similar_images(plan, tables["chips"]),
+        "search-imagery": lambda: search_imagery(plan, tables["chips"], encode),
+        "analyse-imagery": lambda: needs(plan, tables["capabilities"]) if "capabilities" in tables else None,
+        "locate": lambda: located(plan, SparkSession.active()),
+    }
+    rows = answers[plan.intent]() if c.supported and plan.intent in answers else None
     return {"plan": plan.as_dict(), "capability": c, "area": area, "rows": rows}

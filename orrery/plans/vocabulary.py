@@ -59,9 +59,11 @@ SIMILAR = r"\bsimilar\b|\bmore like\b|\blike this\b|\blook(s)? like\b"
 HERE = r"\b(this|selected|current)\s+(location|place|area|site|aoi)\b|\bhere\b"
 NEAR = r"\b(near|nearby|around|close to|within)\b"
 RECENT = r"\b(recent(ly)?|latest|current(ly)?|active|ongoing)\b"
+#: A fixed value: a request for images, and what they should show.
 IMAGE_REQUEST = (
-    r"^\s*(?:please\s+)?(?:(?:find|show|search(?:\s+for)?|get|look\s+for|display)\s+(?:me\s+)?)?(?:(?:satellite|sentinel(?:-2)?)\s+)?"
-    r"(?:images?|imagery|image\s+chips?|scenes?)\s+(?:of|showing|that\s+shows?|with|containing|that\s+contains?)\s+(.+?)\s*[.?!]?\s*$"
+    r"^\s*(?:please\s+)?(?:(?:find|show|search(?:\s+for)?|get|look\s+for|display)\s+(?:me\s+)?)?"
+    r"(?:(?:satellite|sentinel(?:-2)?)\s+)?(?:images?|imagery|image\s+chips?|scenes?)\s+"
+    r"(?:of|showing|that\s+shows?|with|containing|that\s+contains?)\s+(?P<what>.+?)\s*[.?!]?\s*$"
 )
 STOPWORDS = frozenset(
     """
@@ -72,11 +74,26 @@ there their its into over about than more most activity activities reported repo
 showing happening occurred occurring
 """.split()
 )
-UNDEFINED = {"significant": "'significant' has no threshold: every lasting change that passes the gates is returned, by score."}
+UNDEFINED = {"significant": "No limit goes with 'significant': candidates stand in the order of their scores, and you decide."}
 RADIUS_M, RECENT_DAYS = 50_000, 30
+#: Which feeds provide which kinds of records.
 EVENT_SOURCES = {
-    "earthquake": ["earthquakes"], "fire-detection": ["fires"], "wildfire": ["natural-events"], "flood": ["disaster-alerts", "natural-events"], "cyclone": ["disaster-alerts"],
-    "severe-storm": ["natural-events"], "landslide": ["natural-events"], "drought": ["disaster-alerts", "natural-events"], "aircraft-position": ["aircraft"], "launch": ["launches"],
-    "satellite-position": ["satellites"], "internet-outage-signal": ["outages"], "weather-current": ["weather"], "geomagnetic-kp": ["kp-index"],
-}
+    "earthquake": ["earthquakes", "disaster-alerts", "natural-events"],
+    "fire-detection": ["fires"],
+    "wildfire": ["natural-events", "disaster-alerts"],
+    "flood": ["disaster-alerts", "natural-events"],
+    "cyclone": ["disaster-alerts"],
+    "severe-storm": ["natural-events"],
+    "landslide": ["natural-events"],
+    "drought": ["disaster-alerts", "natural-events"],
+    "volcano": ["disaster-alerts", "natural-events"],
+    "disaster-alert": ["disaster-alerts"],
+    "natural-event": ["natural-events"],
+    "aircraft-position": ["aircraft"],
+    "launch": ["launches"],
+    "satellite-position": ["satellites"],
+    "internet-outage-signal": ["outages"],
+    "weather-current": ["weather"],
+    "geomagnetic-kp": ["kp-index"],
+}
 ENTITY_SOURCES = {"airport": ["airports"], "port": ["ports"], "power-plant": ["power-plants"]}
