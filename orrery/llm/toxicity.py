@@ -33,13 +33,14 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold, pieces, released, small_batches, table, tidy
+from orrery.llm.common import Memo, fold, pieces, released, small_batches, table, tidy
 from orrery.llm.sampling import sampled, trainable
 
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
@@ -52,6 +53,8 @@ FEATURES, LEAST_DOCS, LEAST_SHARE, LEAST_Z = 512, 4, 0.005, 5.0
 STEMS, MORE, MOST = range(3, 10), "~", 3
 STEPS, RATE, DECAY, SEED = 600, 0.1, 1e-5, 11
 HASHES, SAME = 32, 20
+#: Bytes that a worker may remember of words and their features.
+MEMORY = 32 << 20
 WORDS = re.compile(r"\w+")
 
 
@@ -66,20 +69,21 @@ def features(bag: set[str], stems: tuple[int, ...] = tuple(STEMS)) -> dict[str,
 
 
 def finder(known: Iterable[str]) -> Callable[[str | None], dict[str, int]]:
-    """A function that gives those features of a text that are known, as ``features`` would."""
-    whole = frozenset(f for f in known if f[-1] != MORE)
-    begun: dict[int, dict[str, str]] = {}
-    for f in known:
-        if f[-1] == MORE:
-            begun.setdefault(len(f) - 1, {})[f[:-1]] = f
+    """A function that gives those features of a text that are known, as ``features`` would; it remembers words."""
+    names = frozenset(known)
+    lengths = sorted({len(f) - 1 for f in names if f[-1] == MORE})
+    memo = Memo(MEMORY)
+
+    def of(word: str) -> tuple[str, ...]:
+        got = memo.get(word)
+        if got is None:
+            got = tuple([f for f in (word, *[word[:k] + MORE for k in lengths if len(word) > k]) if f in names])
+            memo.keep(word, got)
+        return got
 
     def find(text: str | None) -> dict[str, int]:
-        bag = set(words(text))
-        found = dict.fromkeys(whole & bag, 1)
-        for k, names in begun.items():
-            if some := [names[b] for w in bag if (b := w[:k]) in names and len(w) > k]:
-                found |= {f: min(n, MOST) for f, n in Counter(some).items()}
-        return found
+        found = Counter(chain.from_iterable(map(of, set(words(text)))))
+        return {f: min(n, MOST) for f, n in found.items()}
 
     return find
 
