@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector
@@ -105,6 +105,29 @@ def representatives(members: DataFrame, family: list[str], place: list[str], mos
     return members.withColumn("p__", F.row_number().over(best)).where("p__ = 1").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most).drop("p__")
 
 
+def _of(points: str, axis: str) -> Column:
+    return F.transform(points, lambda p: p[axis])
+
+
+def summaries(members: DataFrame, by: list[str], key: str = "id") -> DataFrame:
+    """Size, distinct places, scenes and areas, the box of footprints and the first and last date of each cluster.
+
+    members: by, place, scene_id, aoi_id, acquired_at and footprint (an array of positions).
+    """
+    extent = {"west": (F.min, F.array_min, "x"), "south": (F.min, F.array_min, "y"), "east": (F.max, F.array_max, "x"), "north": (F.max, F.array_max, "y")}
+    corners = [F.round(far(own(_of("footprint", axis))), 6).alias(name) for name, (far, own, axis) in extent.items()]
+    distinct = {"places": "place", "scenes": "scene_id", "aois": "aoi_id"}
+    return members.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("size"), *[F.count_distinct(c).alias(n) for n, c in distinct.items()], *corners, F.min("acquired_at").alias("first_date"), F.max("acquired_at").alias("last_date")
+    )
+
+
+def by_place(members: DataFrame, by: list[str], place: list[str], key: str = "id") -> DataFrame:
+    """Members of each cluster at each place: how many, the most central one (ties to the smaller key), first and last date."""
+    best = F.max_by(key, F.struct("sim", (-F.col(key)).alias("early")))
+    return members.groupBy(*by, *place).agg(F.count(F.lit(1)).alias("n"), best.alias("best"), F.min("acquired_at").alias("first_date"), F.max("acquired_at").alias("last_date"))
+
+
 def fingerprint(rows: DataFrame, key: str = "id", column: str = "embedding") -> str:
     """One digest of all (id, vector), in order of id, hashed row by row in parallel; the digests are streamed."""
     each = rows.select(key, F.sha2(F.to_json(F.struct(key, column)), 256).alias("h")).orderBy(key)

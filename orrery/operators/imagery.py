@@ -12,7 +12,7 @@ from orrery.operators.governance import STATES
 def ineligible(scenes: DataFrame) -> DataFrame:
     """scenes with the reason for which one cannot be used; null for the usable."""
     reason = F.coalesce(
-        F.when(~F.col("quality_status").isin("usable", "degraded"), F.concat(F.lit("quality is "), F.coalesce("quality_status", F.lit("unknown")))), F.when(F.col("file").isNull(), "file missing"), F.when(F.col("offset").isNull(), "offset unknown")
+        F.when(~F.coalesce("quality_status", F.lit("")).isin("usable", "degraded"), F.concat(F.lit("quality is "), F.coalesce("quality_status", F.lit("unknown")))), F.when(F.col("file").isNull(), "file missing"), F.when(F.col("offset").isNull(), "offset unknown")
     )
     return scenes.withColumn("reason", reason)
 
