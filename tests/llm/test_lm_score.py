@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orrery.llm import lm_score
@@ -57,3 +58,11 @@ def test_packing():
     assert np.array_equal(unpacked(packed(x)), x) and unpacked(b"").size == 0
     y = np.array([0, 1, 70000, (1 << 32) - 1])
     assert np.array_equal(unplaned(planes(y)), y) and unplaned(b"").size == 0
+
+
+def test_totals_of_any_size():
+    y = np.array([0, 1, (1 << 32) + 5, 1 << 50], np.int64)
+    assert unplaned(planes(y)).tolist() == y.tolist()
+    rows = pa.table({"block": [0, 1], "order": pa.array([1, 1], pa.int32()), "bucket": pa.array([0, 0], pa.int32()), "hashes": [packed(np.array([3, 9], np.uint64)), packed(np.array([9], np.uint64))], "counts": [planes(np.array([1, 1 << 32])), planes(np.array([1 << 32]))]})
+    got = {r["block"]: unplaned(r["totals"]).tolist() for r in lm_score._sums(rows).to_pylist()}
+    assert got == {0: [1, 1 << 33], 1: [1 << 33]}

@@ -107,3 +107,16 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102)], "a bigint, b bigint")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(150_000)]
+    near = words.copy()
+    near[::200] = ["changed"] * len(near[::200])
+    far = words.copy()
+    far[::5] = ["changed"] * len(far[::5])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 3_000_000)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(docs, 5, 80).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert got[4][1] == 1 and got[1][1] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})

@@ -48,3 +48,21 @@ def test_stages_take_odd_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, str(tmp_path)).count() == (4 if name == "near_dedup" else 5), name
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_stages_take_very_long_texts_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, key bigint, component string, hash bigint, words string"
+    item = "the item of the benchmark is seven words long"
+    long = " ".join(f"w{rnd.randrange(5000)}" for _ in range(120_000))
+    texts = {1: long, 2: long + " end", 3: "x" * 700_000, 4: long.replace("w1", "v1") + " " + item, 5: "short and plain"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, 7, "c", 8, "w") for i, t in texts.items()], schema)
+    spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {"toxicity": {1, 2, 3, 4, 5}, "quality": {1, 2, 3, 4, 5}, "near_dedup": {1, 3, 4, 5}, "decontamination": {1, 2, 3, 5}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == kept[name], name
+    assert {r.doc_id: r.n_tokens > 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == dict.fromkeys(texts, True)

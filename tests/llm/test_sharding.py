@@ -37,3 +37,8 @@ def test_many_shards_and_empty(spark):
     for n in (1, 2, 100):
         assert all(r.shard == jump(key(r.doc_id), n) for r in sharding.with_shard(ids, "doc_id", n).collect())
     assert sharding.sharded(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "é" * 2_000_000), (2, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r["size"]) for r in sharding.sharded(docs).collect()) == [(1, 4_000_001), (2, 1)]
