@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector
+from orrery.operators.vectors import assigned, radii
+from orrery.staging import staged
 
 #: Restarts by seed, rounds, and factors of sqrt(n / 2) that k is chosen from.
 SEEDS, ROUNDS, FACTORS = range(5), 100, (0.25, 0.5, 0.75, 1.0)
@@ -124,10 +126,29 @@ def summaries(members: DataFrame, by: list[str], key: str = "id") -> DataFrame:
 
 def by_place(members: DataFrame, by: list[str], place: list[str], key: str = "id") -> DataFrame:
     """Members of each cluster at each place: how many, the most central one (ties to the smaller key), first and last date."""
-    best = F.max_by(key, F.struct("sim", (-F.col(key)).alias("early")))
+    best = F.min(F.struct((-F.col("sim")).alias("far"), F.col(key).alias("key")))["key"]
     return members.groupBy(*by, *place).agg(F.count(F.lit(1)).alias("n"), best.alias("best"), F.min("acquired_at").alias("first_date"), F.max("acquired_at").alias("last_date"))
 
 
+def version(rows: DataFrame, number: int, family: str = "family", key: str = "id", column: str = "embedding") -> tuple[str, DataFrame, DataFrame]:
+    """A new clustering version: its id, its members, and its clusters with centroid, radius and size.
+
+    The id holds the version's number and the digest of the input, so the same input is known again.
+    """
+    name = f"v{number:03d}-{fingerprint(rows, key, column)[:8]}"
+    members = staged(built(rows, family, key, column).withColumn("version", F.lit(name)), "members")
+    own = members.join(rows.select(family, key, column), [family, key])
+    means = vector.element_means(own, [family, "cluster"], column).select(family, "cluster", vector.unit(F.col("mean")).alias("centroid"))
+    found = radii(members, [family]).join(members.groupBy(family, "cluster").agg(F.count(F.lit(1)).alias("size")), [family, "cluster"]).join(means, [family, "cluster"])
+    return name, members, found.withColumn("version", F.lit(name))
+
+
+def discovered(example: DataFrame, clusters: DataFrame, members: DataFrame, family: list[str], place: list[str]) -> DataFrame:
+    """The members, by place, of the cluster that an example (family, embedding) falls into; none if it is outside of every radius."""
+    hit = assigned(example, clusters.select(*family, "cluster", "centroid", "radius"), family).where("cluster is not null").select(*family, "cluster").distinct()
+    return by_place(members.join(hit, [*family, "cluster"], "left_semi"), [*family, "cluster"], place)
+
+
 def fingerprint(rows: DataFrame, key: str = "id", column: str = "embedding") -> str:
     """One digest of all (id, vector), in order of id, hashed row by row in parallel; the digests are streamed."""
     each = rows.select(key, F.sha2(F.to_json(F.struct(key, column)), 256).alias("h")).orderBy(key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from orrery.staging import staged
 
 #: Centroids that may be broadcast together: 16 MB at 512 components.
 FEW_CENTROIDS = 4_000
+#: Rows of a shard of nearest_rows.
+SHARD_ROWS = 20_000
 #: Side of a tile of spaced_per_group, in spacings; rows of a group that is one tile; rows of a task.
 TILE, WHOLE, TASK = 8, 20_000, 20_000
 
@@ -23,6 +26,49 @@ def top_k(rows: DataFrame, query: list[float], k: int, column: str = "embedding"
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "embedding") -> DataFrame:
+    """query, id and score: for each query, the k other rows most similar to it, ties to the smaller id.
+
+    rows, queries: id and a vector. Rows are dealt once into shards of bounded size; queries pass each
+    shard as a stream, sorted behind its rows in one partition, so a task holds one shard.
+    """
+    n = rows.count()
+    shards = max(1, -(-n // SHARD_ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    vectors_ = vector.doubles(F.col(column)).alias("v")
+    held = rows.select(own, F.lit(0).alias("asks"), "id", vectors_)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", vectors_)
+    kind = dict(rows.dtypes)["id"]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        shard, parts, ids, x = None, [], None, None
+        for batch in batches:
+            for (s, asks), f in batch.groupby(["shard", "asks"], sort=True):
+                if s != shard:
+                    shard, parts, ids = s, [], None
+                if not asks:
+                    parts.append(f)
+                    continue
+                if ids is None and parts:
+                    whole = pd.concat(parts).sort_values("id")
+                    ids, x, parts = whole["id"].to_numpy(), np.array(whole["v"].tolist(), float), []
+                if ids is None:
+                    continue
+                for q, v in zip(f["id"], f["v"], strict=True):
+                    score = x @ np.asarray(v, float)
+                    score[ids == q] = -np.inf
+                    best = np.argsort(-score, kind="stable")[:k]
+                    best = best[score[best] > -np.inf]
+                    yield pd.DataFrame({"query": q, "id": ids[best], "score": score[best]})
+
+    streams = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = streams.mapInPandas(search, f"query {kind}, id {kind}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def example_query(rows: DataFrame, positive: Column, negative: Column, column: str = "embedding") -> list[float] | None:
     """Mean of the positives less half the mean of the negatives, of unit length: one small row on the driver."""
     kind = F.when(positive, "p").when(negative, "n")

@@ -211,36 +211,12 @@ def decision_time(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT ql AS label, round(avg((l = ql)::INT), 6) AS same FROM n WHERE r <= 10 GROUP BY ql""")
 def knn_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the ten nearest that bear the query's label, for every twentieth vector against all.
-
-    The queries, a twentieth of the rows by definition, are dealt in blocks; each block meets all rows in
-    a numpy product, and a task sends on ten candidates for each query.
-    """
-    import numpy as np
-    import pandas as pd
-
-    e = table(spark, sf_dir, "embeddings")
-    n = e.count()
-    shards, blocks = max(1, -(-n // 20_000)), max(1, -(-n // 20 // 1_000))
-    rows = e.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = e.where("vec_id % 20 = 0").select("vec_id", "label", "embedding", F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("s", F.col("s").cast("bigint"))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            left = left.sort_values("vec_id")
-            x = np.array(left["embedding"].tolist(), float)
-            ids, labels = left["vec_id"].to_numpy(), left["label"].to_numpy()
-            for q in right.itertuples():
-                s = x @ np.asarray(q.embedding, float)
-                s[ids == q.vec_id] = -np.inf
-                best = np.argsort(-s, kind="stable")[:10]
-                out += [(q.vec_id, q.label, int(labels[i]), float(s[i]), int(ids[i])) for i in best if s[i] > -np.inf]
-        return pd.DataFrame(out, columns=["q", "ql", "l", "sim", "id"])
-
-    found = rows.groupBy("s", "b").cogroup(asked.groupBy("s", "b")).applyInPandas(nearest, "q bigint, ql int, l int, sim double, id bigint")
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where("r <= 10")
-    return top.groupBy(F.col("ql").alias("label")).agg(F.round(F.avg((F.col("l") == F.col("ql")).cast("int")), 6).alias("same"))
+    """Share of the ten nearest that bear the query's label, for every twentieth vector against all."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    labels = e.select("id", "label")
+    found = vectors.nearest_rows(e, e.where("id % 20 = 0"), 10).join(labels.withColumnRenamed("label", "l"), "id")
+    both = found.join(labels.select(F.col("id").alias("query"), F.col("label").alias("ql")), "query")
+    return both.groupBy(F.col("ql").alias("label")).agg(F.round(F.avg((F.col("l") == F.col("ql")).cast("int")), 6).alias("same"))
 
 
 @query("""SELECT l_suppkey AS aoi, count(*) AS scenes, count(*) FILTER (WHERE l_returnflag = 'N') AS usable, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_seen, max(strftime(l_shipdate, '%Y-%m-%d')) AS last_seen FROM lineitem GROUP BY ALL""")

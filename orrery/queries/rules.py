@@ -413,10 +413,11 @@ def feed_of_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_feed(e, "outages", one, "data").select("record_id", "start_time", "end_time")
 
 
-def _through_feed(rows: DataFrame, feed: str, record, name: str) -> DataFrame:
-    """rows written as documents of a feed, each with a list of records under a name, and read by its adapter.
+def _through_feed(rows: DataFrame, feed: str, record, name: str | None) -> DataFrame:
+    """rows written as documents of a feed and read by its adapter.
 
-    A document holds some thousand rows at most, so no task builds a whole feed.
+    record: what a row becomes in a document's list called name (without a name, the document is the list),
+    or the document's fields as aggregates. A document holds some thousand rows, so no task builds a whole feed.
     """
     import uuid
 
@@ -424,8 +425,15 @@ def _through_feed(rows: DataFrame, feed: str, record, name: str) -> DataFrame:
 
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/feed-{feed}-{uuid.uuid4().hex}"
-    documents = rows.withColumn("doc__", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 1000)))).groupBy("doc__").agg(F.collect_list(record).alias(name)).select(F.to_json(F.struct(name)).alias("value"))
-    documents.repartition(32).sortWithinPartitions("value").write.option("lineSep", "\\n").text(path)
+    dealt = rows.withColumn("doc__", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 1000)))).groupBy("doc__")
+    if isinstance(record, dict):
+        documents = dealt.agg(*[c.alias(n) for n, c in record.items()]).select(F.to_json(F.struct(*record)).alias("value"))
+    elif name is None:
+        documents = dealt.agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+    else:
+        documents = dealt.agg(F.collect_list(record).alias(name)).select(F.to_json(F.struct(name)).alias("value"))
+    # one document a file: some feeds are read as whole files
+    documents.repartitionByRange(max(1, documents.count()), "value").write.option("maxRecordsPerFile", 1).text(path)
     return feeds.read(spark, feed, path)
 
 
@@ -443,3 +451,124 @@ def projected_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "supplier").select(k.alias("id"), geo.lonlat_to_utm(72.0 + (k % 600) / 100.0, 8.0 + (k % 2500) / 100.0, 43).alias("u"))
     back = p.select("id", geo.utm_to_lonlat(F.col("u")["easting"], F.col("u")["northing"], 43).alias("b"))
     return back.select("id", F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, strftime(start_time::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS start_time, CASE WHEN (id % 10) >= 5 THEN 'storm' ELSE 'quiet' END AS status FROM e WHERE type = 'signup'""")
+def feed_of_kp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a time and a number, as a list without a name; each is told by its time and state."""
+    e = events(spark, sf_dir).where("type = 'signup'").select("id", "start_time")
+    read = _through_feed(e, "kp-index", F.struct(F.expr("rtrim('Z', start_time)").alias("time_tag"), (F.col("id") % 10).cast("double").alias("Kp")), None)
+    named = e.select(F.col("id").cast("string").alias("record_id"), F.expr("rtrim('Z', start_time)").alias("tag"), (F.col("id") % 10 >= 5).alias("storm"))
+    met = read.select(F.col("record_id").alias("tag"), "start_time", "status", (F.col("status") == "storm").alias("storm")).distinct()
+    return named.join(met, ["tag", "storm"]).select("record_id", "start_time", "status")
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, CASE WHEN id % 2 = 0 THEN 'Success' ELSE 'Go' END AS status, start_time, round(lon, 6) AS lon FROM e WHERE lon IS NOT NULL AND type = 'click'""")
+def feed_of_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents in one: launches to come and launches past."""
+    e = events(spark, sf_dir).where("lon is not null and type = 'click'")
+    pad = F.struct(F.lit("pad").alias("name"), F.col("lon").cast("string").alias("longitude"), F.col("lat").cast("string").alias("latitude"))
+    one = lambda said: F.struct(F.col("id").cast("string").alias("id"), F.lit("launch").alias("name"), F.col("start_time").alias("net"), F.struct(F.lit(said).alias("name")).alias("status"), pad.alias("pad"))
+    past, soon = F.when(F.col("id") % 2 == 0, one("Success")), F.when(F.col("id") % 2 == 1, one("Go"))
+    listed = lambda c: F.struct(F.collect_list(c).alias("results"))
+    read = _through_feed(e, "launches", {"upcoming": listed(soon), "previous": listed(past)}, None)
+    return read.select("record_id", "status", "start_time", F.round("lon", 6).alias("lon"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, printf('City: %.1f °C, wind %.1f km/h', 10.0 + id % 20, id % 9 * 1.0) AS title, start_time, round(lat, 6) AS lat FROM e WHERE lon IS NOT NULL AND type = 'purchase'""")
+def feed_of_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel arrays of cities and answers."""
+    e = events(spark, sf_dir).where("lon is not null and type = 'purchase'")
+    city = F.struct(F.col("id").cast("string").alias("id"), F.lit("City").alias("name"), "lon", "lat", F.lit(5).alias("population"))
+    answer = F.struct(F.struct(F.expr("rtrim('Z', start_time)").alias("time"), (10.0 + F.col("id") % 20).alias("temperature_2m"), (F.col("id") % 9 * 1.0).alias("wind_speed_10m")).alias("current"))
+    both = F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), city.alias("c"), answer.alias("a"))))
+    read = _through_feed(e, "weather", {"cities": F.transform(both, lambda x: x["c"]), "response": F.transform(both, lambda x: x["a"])}, None)
+    return read.select("record_id", "title", "start_time", F.round("lat", 6).alias("lat"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT 'N-' || substr(start_time, 1, 10) || '-' || (id % 24 * 100 + id % 60) || '-' || (id % 90) || '-' || id AS record_id, substr(start_time, 1, 10) || 'T' || lpad((id % 24)::VARCHAR, 2, '0') || ':' || lpad((id % 60)::VARCHAR, 2, '0') || ':00Z' AS start_time, (id % 90)::DOUBLE AS lat FROM e WHERE type = 'error'""")
+def feed_of_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a clock without zeros in front."""
+    k = F.col("id")
+    e = events(spark, sf_dir).where("type = 'error'")
+    rows = e.select((k % 90).alias("latitude"), k.alias("longitude"), F.substring("start_time", 1, 10).alias("acq_date"), (k % 24 * 100 + k % 60).alias("acq_time"), F.lit("N").alias("satellite"), F.lit("h").alias("confidence"), F.lit(1.5).alias("frp"))
+    return feeds.read(spark, "fires", _as_csv(rows, "fires")).select("record_id", "start_time", "lat")
+
+
+@query(f"""SELECT 'A' || s_suppkey AS record_id, s_name AS name, round({lon_sql("s_suppkey")}, 6) AS lon, CASE WHEN s_suppkey % 2 = 0 THEN 'large_airport' ELSE 'small_airport' END AS size FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 5 > 0""")
+def feed_of_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a world's table, one country's airports; heliports and closed ones stay out."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 5 == 0, "heliport").when(k % 2 == 0, "large_airport").otherwise("small_airport")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("A"), k.cast("string")).alias("ident"), kind.alias("type"), F.col("s_name").alias("name"), lat_of(k).alias("latitude_deg"), lon_of(k).alias("longitude_deg"), F.lit("10").alias("elevation_ft"), F.when(k % 3 > 0, "IN").otherwise("US").alias("iso_country"), F.lit("").alias("iata_code"))
+    return feeds.read(spark, "airports", _as_csv(rows, "airports")).select("record_id", "name", F.round("lon", 6).alias("lon"), F.get_json_object("attributes", "$.size").alias("size"))
+
+
+def _as_csv(rows: DataFrame, feed: str) -> str:
+    import uuid
+
+    from orrery.staging import shared_dir
+
+    path = f"{shared_dir(rows.sparkSession)}/feed-{feed}-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True)
+    return path
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, (p_partkey % 3)::VARCHAR AS aoi, strftime(DATE '2018-01-01' + (p_partkey * 37 % 2000)::INTEGER, '%Y-%m-%d') AS t0, strftime(DATE '2018-01-01' + (p_partkey * 91 % 2000)::INTEGER, '%Y-%m-%d') AS t1, p_size / 25.0 AS shift, 1 - p_size / 60.0 AS clear FROM part),
+p AS (SELECT k, (CASE WHEN t0 >= t1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN shift > 1.0 THEN 1 ELSE 0 END + CASE WHEN clear < 0.5 THEN 1 ELSE 0 END) AS problems, abs(month(t0::DATE) - month(t1::DATE)) AS g, shift FROM m)
+SELECT k AS id, problems, (least(g, 12 - g) > 1)::INT + (shift > 0.5)::INT AS warnings FROM p""")
+def pairs_admissible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems that forbid comparing two scenes, and warnings that do not."""
+    k = F.col("p_partkey")
+    day = lambda n: F.date_format(F.date_add(F.lit("2018-01-01").cast("date"), (k * n % 2000).cast("int")), "yyyy-MM-dd")
+    scene = lambda n, grid: F.struct((k % 3).cast("string").alias("aoi_id"), day(n).alias("acquired_at"), grid.alias("grid"))
+    p = table(spark, sf_dir, "part").select(k.alias("id"), scene(37, F.lit("g")).alias("before"), scene(91, F.when(k % 4 == 0, "h").otherwise("g")).alias("after"), (F.col("p_size") / 25.0).alias("shift_px"), (1 - F.col("p_size") / 60.0).alias("joint_clear"))
+    return imagery.admissible(p).select("id", F.size("problems").alias("problems"), F.size("warnings").alias("warnings"))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE NOT (p_partkey % 4 = 0 AND p_size % 2 = 0)""")
+def chips_uncached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips that no cache holds for the same model."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("m"), (F.col("p_size") % 2).cast("string")).alias("model_key"), F.lit("v1").alias("preprocess_version"))
+    return imagery.uncached(p, p.where("id % 4 = 0").withColumn("model_key", F.lit("m0"))).select("id")
+
+
+@query("""WITH v AS (SELECT c_custkey AS id, c_custkey % 7 > 0 AS okid, c_custkey % 5 > 0 AS okpos, c_custkey % 3 > 0 AS okt FROM customer) SELECT id, (NOT okid)::INT + (NOT okpos)::INT + (NOT okt)::INT AS problems FROM v""")
+def vessel_reports_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports under the contract, with how many problems each has; sentinels for unknown are none."""
+    k = F.col("c_custkey")
+    v = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 7 > 0, "123456789").otherwise("12").alias("identifier"), lon_of(k).alias("lon"), F.when(k % 5 > 0, lat_of(k)).otherwise(95.0).alias("lat"), F.when(k % 3 > 0, "2024-01-01T00:00:00Z").otherwise("2024-01-01T00:00:00").alias("observed_at"), F.lit(360.0).alias("course_deg"), F.lit(102.3).alias("speed_kn"), F.lit(511.0).alias("heading_deg"))
+    good, bad = feeds.vessel_reports(v)
+    return good.select("id", F.lit(0).alias("problems")).union(bad.select("id", F.size("problems")))
+
+
+@query("""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM x WHERE id % 50 = 0),
+s AS (SELECT q.id AS query, x.id, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.e, x.e) DESC, x.id) AS r FROM q JOIN x ON q.id <> x.id) SELECT query, id, r::INTEGER AS rank FROM s WHERE r <= 5""")
+def neighbours_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.nearest_rows(e, e.where("id % 50 = 0"), 5).select("query", "id", "rank")
+
+
+@query("""SELECT d.doc_id::VARCHAR AS entry_id, p.problem FROM documents AS d, (VALUES ('unknown scene'), ('checksum differs')) AS p(problem)
+WHERE (p.problem = 'unknown scene' AND d.doc_id % 10 = 0) OR (p.problem = 'checksum differs' AND d.doc_id % 10 > 0 AND d.doc_id % 7 = 0)""")
+def manifests_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose scene is unknown or whose checksum differs."""
+    from orrery.operators import evaluation
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    entries = d.select(F.col("doc_id").cast("string").alias("entry_id"), F.col("doc_id").cast("string").alias("scene_id"), F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("h")).alias("sha256"), F.lit("test").alias("split"))
+    scenes = d.where("doc_id % 10 > 0").select(F.col("doc_id").cast("string").alias("id"), F.col("h").alias("sha256"))
+    return evaluation.manifest_problems(entries, scenes)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS site_id, o_orderstatus = 'F' AS changed, o_orderdate AS first, o_orderdate + INTERVAL 90 DAY AS last FROM orders), hit AS (SELECT DISTINCT o_orderkey AS site_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY)
+SELECT site_id, CASE WHEN changed AND hit.site_id IS NOT NULL THEN 'tp' WHEN hit.site_id IS NOT NULL THEN 'fp' WHEN changed THEN 'fn' ELSE 'tn' END AS outcome FROM l LEFT JOIN hit USING (site_id)""")
+def sites_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled sites against candidates that share a tile and a time with them."""
+    from orrery.operators import evaluation
+
+    day = lambda c, n=0: F.date_format(F.date_add(F.to_date(c), n), "yyyy-MM-dd")
+    o = table(spark, sf_dir, "orders")
+    labels = o.select(F.col("o_orderkey").alias("site_id"), (F.col("o_orderstatus") == "F").alias("changed"), F.array(F.col("o_orderkey").cast("string")).alias("tile_ids"), day("o_orderdate").alias("first"), day("o_orderdate", 30).alias("last"))
+    found = table(spark, sf_dir, "lineitem").select(F.array(F.col("l_orderkey").cast("string")).alias("tile_ids"), day("l_shipdate").alias("latest_before"), day("l_shipdate").alias("earliest_after"))
+    return evaluation.site_outcomes(labels, found)

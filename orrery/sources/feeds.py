@@ -198,6 +198,63 @@ def airports(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@feed("power-plants")
+def power_plants(spark: SparkSession, path: str) -> DataFrame:
+    """The plants of one country, from a zipped table."""
+    from orrery.sources.rasters import zipped_csv
+
+    texts = ["country", "gppd_idnr", "name", "longitude", "latitude", "primary_fuel", "capacity_mw", "commissioning_year", "owner", "year_of_capacity_data", "geolocation_source", "source"]
+    f = zipped_csv(spark, path, ".csv", texts).where("country = 'IND'")
+    number = lambda c, name=None: F.col(c).try_cast("double").alias(name or c)
+    facts = F.struct("primary_fuel", number("capacity_mw"), number("commissioning_year"), "owner", number("year_of_capacity_data", "capacity_data_year"), "geolocation_source", F.col("source").alias("original_source"))
+    return _entity(
+        f, "power-plants", record_id=F.col("gppd_idnr"), type=F.lit("power-plant"), category=F.lit("infrastructure"), name=F.col("name"), lon=F.col("longitude").try_cast("double"), lat=F.col("latitude").try_cast("double"),
+        attributes=F.to_json(facts),
+    )
+
+
+@feed("ports")
+def ports(spark: SparkSession, path: str) -> DataFrame:
+    """A port for each point of a zipped shapefile; one without a name is numbered."""
+    from orrery.sources.shapefile import read as shapes
+
+    f = shapes(spark, path)
+    of = lambda name: F.nullif(F.get_json_object("properties", f"$.{name}"), F.lit(""))
+    number = F.col("ordinal").cast("string")
+    name = F.coalesce(of("name"), F.concat(F.lit("Unnamed port "), number))
+    at = F.from_json("geometry", "coordinates array<double>")["coordinates"]
+    return _entity(
+        f, "ports", record_id=F.concat_ws("-", name, number), type=F.lit("port"), category=F.lit("maritime"), name=name, lon=F.get(at, 0), lat=F.get(at, 1),
+        attributes=F.to_json(F.struct(of("website").alias("website"), of("scalerank").try_cast("double").alias("scale_rank"))),
+    )
+
+
+#: What a reference layer keeps of its records, and how coarse its lines may be, in degrees.
+LAYER_FIELDS, LAYER_TOLERANCE = ("name", "name_en", "featurecla", "scalerank", "type", "category", "label"), 0.002
+
+
+def layer(spark: SparkSession, path: str, west: float, south: float, east: float, north: float) -> DataFrame:
+    """ordinal, lines and properties of the lines and polygons (rivers, lakes, roads, rail) whose box meets an area's.
+
+    lines: an array of simplified lines; rings count as lines.
+    """
+    from orrery.functions import geo
+    from orrery.sources.shapefile import read as shapes
+
+    kind = F.get_json_object("geometry", "$.type")
+    coordinates = lambda t: F.from_json("geometry", f"coordinates {t}")["coordinates"]
+    one, many, deep = "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    lines = F.when(kind == "LineString", F.array(coordinates(one))).when(kind.isin("Polygon", "MultiLineString"), coordinates(many)).when(kind == "MultiPolygon", F.flatten(coordinates(deep)))
+    points = F.transform(lines, lambda line: F.transform(line, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    f = shapes(spark, path).withColumn("lines", points).where("lines is not null").withColumn("box", geo.bbox_of(F.flatten("lines")))
+    box = F.col("box")
+    f = f.where(geo.bboxes_meet([box["west"], box["south"], box["east"], box["north"]], [F.lit(float(v)) for v in (west, south, east, north)]))
+    kept = F.to_json(F.struct(*[F.nullif(F.get_json_object("properties", f"$.{c}"), F.lit("")).alias(c) for c in LAYER_FIELDS]))
+    each = f.select("ordinal", kept.alias("properties"), F.posexplode("lines").alias("i", "line"))
+    simple = each.withColumn("line", geo.simplify_line("line", F.lit(LAYER_TOLERANCE)))
+    return simple.groupBy("ordinal", "properties").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
+
+
 def vessel_reports(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid and rejected vessel reports; sentinels for unknown become null, problems are listed."""
     from orrery.operators.governance import contract_problems
