@@ -207,7 +207,8 @@ def normalise_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
-n AS (SELECT region.r_name AS name, n.key FROM (SELECT r_regionkey, unnest(['the ' || lower(r_name), 'and the', 'of the', 'die der']) AS key FROM region) AS n JOIN region USING (r_regionkey) WHERE region.r_regionkey = 0)
+r AS (SELECT trim(regexp_replace(lower(r_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM region),
+n AS (SELECT n AS key FROM r UNION SELECT 'the ' || n FROM r UNION SELECT unnest(['and the', 'of the', 'die der']) UNION SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) FROM nation)
 SELECT doc_id, max(struct_pack(l := length(key), k := key)).k AS place FROM d JOIN n ON contains(t, ' ' || key || ' ') GROUP BY doc_id""")
 def place_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest name of a gazetteer that stands in a text as whole words: regions, nations and three phrases.
