@@ -21,9 +21,25 @@ def reflectance(dn: Column, offset: Column) -> Column:
 
 
 def offset_of(baseline: Column, applied: Column) -> Column:
-    """Offset of a product: none if it is applied or the baseline is old, -0.1 from 04.00 on, null if unknown."""
+    """Offset of a product: none before baseline 04.00; from then on -0.1, or none where it is applied already.
+
+    Null where the tags don't decide: no baseline or one under 02.00, or a new one without the flag.
+    """
     b = baseline.try_cast("double")
-    return F.when(applied, F.lit(0.0)).when(b.isNull(), F.lit(None).cast("double")).when(b >= 4.0, F.lit(-0.1)).otherwise(F.lit(0.0))
+    return F.when(b < 2.0, F.lit(None).cast("double")).when(b < 4.0, F.lit(0.0)).when(b.isNotNull() & applied, F.lit(0.0)).when(b.isNotNull() & ~applied, F.lit(-0.1))
+
+
+def tile_class(valid: Column, water: Column, vegetation: Column, open_: Column, brightness: Column, texture: Column) -> Column:
+    """Class of a tile in one look: null under too much cloud; open land that is bright or rough counts as built."""
+    built = (brightness >= BUILT_BRIGHTNESS) | (texture >= BUILT_TEXTURE)
+    return (
+        F.when(valid < VALID_SHARE, F.lit(None).cast("string"))
+        .when(water >= 0.5, "water")
+        .when(vegetation >= 0.5, "vegetation")
+        .when((open_ >= 0.5) & built, "built")
+        .when(open_ >= 0.5, "bare")
+        .otherwise("mixed")
+    )
 
 
 def pixel_class(green: Column, red: Column, nir: Column, swir: Column, scl: Column) -> Column:

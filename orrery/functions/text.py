@@ -64,11 +64,13 @@ def leftover_words(text: Column, used: list[Column], stopwords: list[str]) -> Co
 
 def human_bytes(n: Column) -> Column:
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.1f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.1f GB", n / gb))
+    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.1f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.2f GB", n / gb))
 
 
 def human_age(hours: Column) -> Column:
-    return F.when(hours < 1, F.format_string("%d min", F.floor(hours * 60))).when(hours < 48, F.format_string("%d h", F.floor(hours))).otherwise(F.format_string("%d d", F.floor(hours / 24)))
+    """18 min, 5.2 h, 2.1 d; never less than a minute."""
+    minutes = F.greatest(F.lit(1), F.round(hours * 60).cast("int"))
+    return F.when(hours < 1, F.format_string("%d min", minutes)).when(hours < 48, F.format_string("%.1f h", hours)).otherwise(F.format_string("%.1f d", hours / 24))
 
 
 def human_distance(metres: Column) -> Column:
@@ -76,11 +78,11 @@ def human_distance(metres: Column) -> Column:
 
 
 def human_area(square_metres: Column) -> Column:
-    return F.when(square_metres < 10_000, F.format_string("%d m²", F.round(square_metres).cast("int"))).otherwise(F.format_string("%.1f ha", square_metres / 10_000))
+    return F.format_string("%.1f ha", square_metres / 10_000)
 
 
 def latlon_text(lon: Column, lat: Column) -> Column:
-    side = lambda v, plus, minus: F.concat(F.format_string("%.4f°", F.abs(v)), F.when(v < 0, minus).otherwise(plus))
+    side = lambda v, plus, minus: F.concat(F.format_string("%.4f° ", F.abs(v)), F.when(v < 0, minus).otherwise(plus))
     return F.concat_ws(" ", side(lat, "N", "S"), side(lon, "E", "W"))
 
 

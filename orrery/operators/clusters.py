@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector
-from orrery.operators.vectors import assigned, radii
+from orrery.operators.vectors import assigned, nearest_rows, radii
 from orrery.staging import staged
 
 #: Restarts by seed, rounds, and factors of sqrt(n / 2) that k is chosen from.
@@ -149,6 +149,43 @@ def discovered(example: DataFrame, clusters: DataFrame, members: DataFrame, fami
     return by_place(members.join(hit, [*family, "cluster"], "left_semi"), [*family, "cluster"], place)
 
 
+def structure(members: DataFrame, k: int = 10, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """What can be measured of a clustering without labels: a row for each family, and one for each cluster.
+
+    members: family, id, cluster, place, scene_id, acquired_at and a unit vector. Of a family: chips,
+    places, clusters, clusters of one place, how far the dates of a place agree on a cluster, how often the
+    k nearest have one's cluster (also among other places alone), and what chance would give. Of a
+    cluster: size, places, scenes, its share of its dates' chips, of months 10 to 12, and of its commonest
+    place. Null clusters take no part.
+    """
+    m = staged(members.where("cluster is not null"), "structure")
+    by = ["family", "cluster"]
+    late = F.substring("acquired_at", 6, 2).isin("10", "11", "12")
+    per_place = m.groupBy("family", "place", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("family", "place").agg((F.max("n") / F.sum("n")).alias("agrees"))
+    sizes = m.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.count_distinct("place").alias("places"), F.count_distinct("scene_id").alias("scenes"), F.avg(late.cast("int")).alias("late_share"))
+    totals = m.groupBy("family").agg(F.count(F.lit(1)).alias("chips"), F.count_distinct("place").alias("places"), F.avg(late.cast("int")).alias("late_share"))
+    of_scene = m.groupBy(*by, "scene_id").agg(F.count(F.lit(1)).alias("n")).join(m.groupBy("family", "scene_id").agg(F.count(F.lit(1)).alias("all")), ["family", "scene_id"])
+    coverage = of_scene.groupBy(*by).agg(F.avg(F.col("n") / F.col("all")).alias("date_coverage"))
+    top = m.groupBy(*by, "place").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("most"))
+    clusters = sizes.join(coverage, by).join(top, by).withColumn("top_place_share", F.col("most") / F.col("size")).drop("most")
+
+    chance = sizes.join(totals.select("family", "chips"), "family").groupBy("family").agg(F.sum(F.pow(F.col("size") / F.col("chips"), 2)).alias("chance_same"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("places") == 1).alias("single_place_clusters"))
+    found = totals.join(chance, "family").join(per_place.groupBy("family").agg(F.avg("agrees").alias("cross_date_consistency")), "family")
+    told = m.select("family", "id", "cluster")
+    for name, apart in (("nearest_same", None), ("nearest_elsewhere_same", "place")):
+        each = None
+        for row in totals.select("family").collect():  # families are chip sizes: a few
+            own = m.where(F.col("family") == row.family)
+            near = nearest_rows(own, own, k, column, apart).select(F.lit(row.family).alias("family"), "query", "id")
+            each = near if each is None else each.union(near)
+        if each is None:
+            return found.withColumns({"nearest_same": F.lit(None).cast("double"), "nearest_elsewhere_same": F.lit(None).cast("double")}), clusters
+        pairs = each.join(told, ["family", "id"]).join(told.select("family", F.col("id").alias("query"), F.col("cluster").alias("own")), ["family", "query"])
+        shares = pairs.groupBy("family", "query").agg(F.avg((F.col("cluster") == F.col("own")).cast("int")).alias("share")).groupBy("family").agg(F.avg("share").alias(name))
+        found = found.join(shares, "family", "left")
+    return found, clusters
+
+
 def fingerprint(rows: DataFrame, key: str = "id", column: str = "embedding") -> str:
     """One digest of all (id, vector), in order of id, hashed row by row in parallel; the digests are streamed."""
     each = rows.select(key, F.sha2(F.to_json(F.struct(key, column)), 256).alias("h")).orderBy(key)

@@ -99,3 +99,55 @@ def states_counted(rows: DataFrame, state: str, states: list[str]) -> DataFrame:
     counts = rows.groupBy(state).agg(F.count(F.lit(1)).alias("n"))
     spine = rows.sparkSession.createDataFrame([(s,) for s in states], f"{state} string")
     return spine.join(counts, state, "left").select(state, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def ranking_metrics(ranked: DataFrame, judgements: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """For each query of labels: status, precision and unjudged at each k, recall at k where the relevant set is whole, and average precision.
+
+    ranked: query, rank (from 1) and id; judgements: query, id and relevant; labels: query, verified and
+    exhaustive. Without a verified label that judges anything, nothing is measured and all figures are null.
+    """
+    judged = judgements.groupBy("query").agg(F.count(F.lit(1)).alias("judged"), F.count_if("relevant").alias("relevant"))
+    rows = ranked.join(judgements, ["query", "id"], "left").withColumn("hit", F.coalesce("relevant", F.lit(False)))
+    order = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("hits", F.sum(F.col("hit").cast("int")).over(order))
+    at = lambda k, c: F.count_if((F.col("rank") <= k) & c)
+    sums = rows.groupBy("query").agg(
+        *[at(k, F.col("hit")).alias(f"hits_{k}") for k in ks],
+        *[at(k, F.col("relevant").isNull()).alias(f"unjudged_at_{k}") for k in ks],
+        F.sum(F.when(F.col("hit"), F.col("hits") / F.col("rank"))).alias("gain"),
+        F.count_if("hit").alias("found"),
+    )
+    all_ = labels.join(judged, "query", "left").join(sums, "query", "left")
+    measured = F.col("verified") & (F.coalesce("judged", F.lit(0)) > 0)
+    whole = measured & F.col("exhaustive") & (F.col("relevant") > 0)
+    base = F.when(F.col("exhaustive"), F.col("relevant")).otherwise(F.col("found"))
+    return all_.select(
+        "query",
+        F.when(measured, "MEASURED").otherwise("NOT AVAILABLE").alias("status"),
+        *[F.when(measured, F.coalesce(f"hits_{k}", F.lit(0)) / k).alias(f"precision_at_{k}") for k in ks],
+        *[F.when(whole, F.coalesce(f"hits_{k}", F.lit(0)) / F.col("relevant")).alias(f"recall_at_{k}") for k in ks],
+        *[F.when(measured, F.coalesce(f"unjudged_at_{k}", F.lit(0))).alias(f"unjudged_at_{k}") for k in ks],
+        F.when(measured & (base > 0), F.coalesce("gain", F.lit(0.0)) / base).alias("average_precision"),
+    )
+
+
+def mask_metrics(predicted: DataFrame, truth: DataFrame, pairs: DataFrame, nodata: int = 255) -> DataFrame:
+    """For each pair of scenes, tp, fp, fn, tn, precision, recall, f1 and iou of a change mask against a verified one.
+
+    predicted, truth: pair, row, col and value (1: changed); pairs: pair, verified and grid_equal. Pixels
+    without data on either side don't count; a pair without a verified mask, or on another grid, has nulls
+    and says why.
+    """
+    p, t = predicted.where(F.col("value") != nodata), truth.where(F.col("value") != nodata)
+    both = p.withColumnRenamed("value", "p").join(t.withColumnRenamed("value", "t"), ["pair", "row", "col"])
+    count = lambda a, b: F.count_if(((F.col("p") == 1) == F.lit(a)) & ((F.col("t") == 1) == F.lit(b)))
+    cells = both.groupBy("pair").agg(count(True, True).alias("tp"), count(True, False).alias("fp"), count(False, True).alias("fn"), count(False, False).alias("tn"))
+    status = F.when(~F.col("verified"), "NOT AVAILABLE: no verified mask").when(~F.col("grid_equal"), "NOT AVAILABLE: another grid").otherwise("MEASURED")
+    found = pairs.withColumn("status", status).join(cells, "pair", "left")
+    fine, tp, fp, fn = F.col("status") == "MEASURED", F.col("tp"), F.col("fp"), F.col("fn")
+    ratio = lambda a, b: F.when(fine & (b > 0), a / b)
+    return found.select(
+        "pair", "status", *[F.when(fine, F.coalesce(c, F.lit(0))).alias(c) for c in ("tp", "fp", "fn", "tn")],
+        ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp, tp + fp + fn).alias("iou"),
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.functions.text import human_age
+
 STATES = ("LIVE", "DELAYED", "SNAPSHOT", "STALE", "UNAVAILABLE", "NOT STAGED", "KEY REQUIRED", "NOT IMPLEMENTED")
 CONNECTED = "connected"
 #: What the first entry of a log names as the hash before it.
@@ -51,12 +53,10 @@ def freshness(sources: DataFrame, mode: str = CONNECTED) -> DataFrame:
         .when(live, "LIVE")
         .otherwise("SNAPSHOT")
     )
-    minutes = F.concat(F.greatest(F.lit(1), F.round(age * 60)).cast("int").cast("string"), F.lit(" min"))
-    old = F.when(age < 1, minutes).when(age < 48, F.format_string("%.1f h", age)).otherwise(F.format_string("%.1f d", age / 24))
     fallback = F.col("state").isin("SNAPSHOT", "STALE")
     label = F.concat(
         F.col("state"),
-        F.when(F.col("state").isin("SNAPSHOT", "STALE", "LIVE", "DELAYED"), F.concat(F.lit(" · "), old, F.lit(" old"))).otherwise(""),
+        F.when(F.col("state").isin("SNAPSHOT", "STALE", "LIVE", "DELAYED"), F.concat(F.lit(" · "), human_age(age), F.lit(" old"))).otherwise(""),
         F.when(fallback & (health == "failed"), " · LAST REFRESH FAILED").when(fallback & (health == "rate-limited"), " · RATE LIMITED").otherwise(""),
     )
     return sources.withColumn("state", state).withColumn("label", label)

@@ -9,6 +9,10 @@ from orrery.functions import geo, rules
 from orrery.operators.governance import STATES
 
 
+#: Clear pixels that a darkest percentile needs, and counts under and over which it tells of an offset.
+DARK_PIXELS, NO_OFFSET_BELOW, OFFSET_ABOVE = 100, 600.0, 1000.0
+
+
 def ineligible(scenes: DataFrame) -> DataFrame:
     """scenes with the reason for which one cannot be used; null for the usable."""
     reason = F.coalesce(
@@ -63,6 +67,27 @@ def uncached(chips: DataFrame, cached: DataFrame) -> DataFrame:
     return chips.join(cached.select("id", "model_key", "preprocess_version"), ["id", "model_key", "preprocess_version"], "left_anti")
 
 
+def runs_needed(pairs: DataFrame, runs: DataFrame, force: bool = False) -> DataFrame:
+    """Pairs of scenes that no stored run holds for the same model and preprocessing; all of them if forced."""
+    key = ["before_scene_id", "after_scene_id", "model_key", "preprocess_version"]
+    return pairs if force else pairs.join(runs.select(*key), key, "left_anti")
+
+
+def radiometry_rechecked(scenes: DataFrame) -> DataFrame:
+    """scenes with the offset that their own tags give, and what follows: ok, corrected or quarantined.
+
+    scenes: id, offset (as stored), baseline and applied (the tags), n_clear and p1 (how many clear pixels,
+    and the darkest percentile of their counts). Very dark pixels speak against an offset in the counts,
+    bright darkest ones for it; where they contradict the tags, or the tags don't decide, a scene goes aside.
+    """
+    told = rules.offset_of(F.col("baseline"), F.col("applied"))
+    enough = F.col("n_clear") >= DARK_PIXELS
+    without, with_ = enough & (F.col("p1") < NO_OFFSET_BELOW), enough & (F.col("p1") > OFFSET_ABOVE)
+    aside = told.isNull() | (without & (told != 0.0)) | (with_ & (told == 0.0))
+    state = F.when(F.coalesce(aside, F.lit(True)), "quarantined").when(told.eqNullSafe(F.col("offset")), "ok").otherwise("corrected")
+    return scenes.withColumn("derived", told).withColumn("state", state)
+
+
 def retrieval_state(model_staged: Column, eligible: Column, indexed: Column, running: Column) -> Column:
     return F.when(~model_staged | (eligible == 0), "NOT STAGED").when(running, "INDEXING").when(indexed == 0, "NOT STAGED").when(indexed < eligible, "PARTIAL").otherwise("READY")
 

@@ -26,8 +26,10 @@ def top_k(rows: DataFrame, query: list[float], k: int, column: str = "embedding"
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "embedding") -> DataFrame:
-    """query, id and score: for each query, the k other rows most similar to it, ties to the smaller id.
+def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "embedding", apart: str | None = None) -> DataFrame:
+    """query, id, score and rank: for each query, the k other rows most similar to it, ties to the smaller id.
+
+    apart: a column; rows with the query's own value of it are left out (neighbours at other places).
 
     rows, queries: id and a vector. Rows are dealt once into shards of bounded size; queries pass each
     shard as a stream, sorted behind its rows in one partition, so a task holds one shard.
@@ -36,14 +38,15 @@ def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "emb
     shards = max(1, -(-n // SHARD_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     vectors_ = vector.doubles(F.col(column)).alias("v")
-    held = rows.select(own, F.lit(0).alias("asks"), "id", vectors_)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", vectors_)
+    group = (F.lit("") if apart is None else F.coalesce(F.col(apart).cast("string"), F.lit(""))).alias("apart")
+    held = rows.select(own, F.lit(0).alias("asks"), "id", vectors_, group)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", vectors_, group)
     kind = dict(rows.dtypes)["id"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        shard, parts, ids, x = None, [], None, None
+        shard, parts, ids, x, groups = None, [], None, None, None
         for batch in batches:
             for (s, asks), f in batch.groupby(["shard", "asks"], sort=True):
                 if s != shard:
@@ -53,12 +56,12 @@ def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "emb
                     continue
                 if ids is None and parts:
                     whole = pd.concat(parts).sort_values("id")
-                    ids, x, parts = whole["id"].to_numpy(), np.array(whole["v"].tolist(), float), []
+                    ids, x, groups, parts = whole["id"].to_numpy(), np.array(whole["v"].tolist(), float), whole["apart"].to_numpy(), []
                 if ids is None:
                     continue
-                for q, v in zip(f["id"], f["v"], strict=True):
+                for q, v, g in zip(f["id"], f["v"], f["apart"], strict=True):
                     score = x @ np.asarray(v, float)
-                    score[ids == q] = -np.inf
+                    score[(ids == q) if apart is None else (ids == q) | (groups == g)] = -np.inf
                     best = np.argsort(-score, kind="stable")[:k]
                     best = best[score[best] > -np.inf]
                     yield pd.DataFrame({"query": q, "id": ids[best], "score": score[best]})

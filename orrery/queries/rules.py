@@ -215,13 +215,22 @@ def ids_taken_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), tile["aoi"].alias("aoi"), tile["row"].cast("bigint").alias("row"), tile["col"].cast("bigint").alias("col"), text.record_key(F.lit("src"), k.cast("string")).alias("record"), text.satellite(scene).alias("satellite"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_partkey * p_partkey * 7 AS n, p_partkey * 3 AS m FROM part)
-SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size,
-  CASE WHEN m < 1000 THEN m || ' m' ELSE printf('%.1f km', m / 1000.0) END AS distance FROM p WHERE id % 16 <> 8 AND m % 50 <> 0""")
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey * p_partkey * 7 AS n, p_partkey * 3 AS m, p_partkey / 3.0 + 0.01 AS h FROM part)
+SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size,
+  CASE WHEN m < 1000 THEN m || ' m' ELSE printf('%.1f km', m / 1000.0) END AS distance, CASE WHEN h < 1 THEN greatest(1, round(h * 60)::INTEGER) || ' min' WHEN h < 48 THEN printf('%.1f h', h) ELSE printf('%.1f d', h / 24) END AS age,
+  printf('%.1f ha', m / 10000.0) AS area FROM p WHERE id % 16 <> 8 AND m % 50 <> 0 AND id % 500 <> 250""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, metres, hours and square metres as people read them."""
     k = F.col("p_partkey").cast("bigint")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (k * k * 7).alias("n"), (k * 3).alias("m")).where("id % 16 <> 8 and m % 50 <> 0")
-    return p.select("id", text.human_bytes(F.col("n")).alias("size"), text.human_distance(F.col("m").cast("double")).alias("distance"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (k * k * 7).alias("n"), (k * 3).alias("m"), (k / 3.0 + 0.01).alias("h")).where("id % 16 <> 8 and m % 50 <> 0 and id % 500 <> 250")
+    return p.select("id", text.human_bytes(F.col("n")).alias("size"), text.human_distance(F.col("m").cast("double")).alias("distance"), text.human_age(F.col("h")).alias("age"), text.human_area(F.col("m")).alias("area"))
+
+
+@query(f"""SELECT s_suppkey AS id, printf('%.4f° ', abs({lat_sql("s_suppkey")} - 20)) || CASE WHEN {lat_sql("s_suppkey")} - 20 < 0 THEN 'S' ELSE 'N' END || ' ' || printf('%.4f° ', abs({lon_sql("s_suppkey")} - 80)) || CASE WHEN {lon_sql("s_suppkey")} - 80 < 0 THEN 'W' ELSE 'E' END AS at,
+  lpad(((s_suppkey * 37 % 360 - 180 + 360) % 360)::VARCHAR, 3, '0') || '°' AS bearing FROM supplier""")
+def positions_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), text.latlon_text(lon_of(k) - 80, lat_of(k) - 20).alias("at"), text.bearing_text((k * 37 % 360 - 180).cast("double")).alias("bearing"))
 
 
 @query("""SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS zoned FROM events""")
@@ -263,15 +272,102 @@ def scenes_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("scene_id", F.round("valid_fraction", 9).alias("valid_fraction"), "quality_status", "n", F.round("p1", 9).alias("p1"))
 
 
-@query("""SELECT p_partkey AS id, round(p_size * 0.0001 + CASE WHEN p_partkey % 4 = 0 THEN 0.0 WHEN p_partkey % 3 = 0 THEN -0.1 ELSE 0.0 END, 9)::DOUBLE AS reflectance, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 4 <> 0 THEN NULL WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN -0.1 ELSE 0.0 END::DOUBLE AS "offset",
-  least(255, greatest(0, trunc(p_size / 100.0 / 0.3 * 255)))::INTEGER AS stretched FROM part""")
+BASELINES = ("04.00", "03.01", "01.50", "unknown", "05.11")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_size, list_extract({list(BASELINES)!r}, (p_partkey % 5 + 1)::INTEGER) AS base, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS applied FROM part),
+o AS (SELECT *, CASE WHEN try_cast(base AS DOUBLE) IS NULL OR try_cast(base AS DOUBLE) < 2 THEN NULL WHEN try_cast(base AS DOUBLE) < 4 THEN 0.0 WHEN applied THEN 0.0 WHEN NOT applied THEN -0.1 END::DOUBLE AS off FROM p)
+SELECT id, off, round(p_size * 0.0001 + off, 9)::DOUBLE AS reflectance, least(255, greatest(0, trunc(p_size / 100.0 / 0.3 * 255)))::INTEGER AS stretched FROM o""")
 def reflectance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets by baseline and flag, scaling, and the stretch of a picture."""
     k = F.col("p_partkey")
-    baseline = F.when(k % 3 == 0, "04.00").otherwise("03.01")
-    known = F.when(k % 5 == 0, "unknown").otherwise(baseline)
-    p = table(spark, sf_dir, "part")
-    return p.select(k.alias("id"), F.round(rules.reflectance(F.col("p_size"), rules.offset_of(baseline, k % 4 == 0)), 9).alias("reflectance"), rules.offset_of(known, k % 4 == 0).alias("offset"), rules.stretched(F.col("p_size") / 100).alias("stretched"))
+    off = rules.offset_of(F.element_at(F.array(*map(F.lit, BASELINES)), (k % 5 + 1).cast("int")), F.when(k % 3 == 0, True).when(k % 3 == 1, False))
+    return table(spark, sf_dir, "part").select(k.alias("id"), off.alias("off"), F.round(rules.reflectance(F.col("p_size"), off), 9).alias("reflectance"), rules.stretched(F.col("p_size") / 100).alias("stretched"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS v, l_discount * 8 AS w, l_tax * 8 AS g, l_extendedprice / 500000 AS b, l_discount / 2 AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN v < 0.8 THEN NULL WHEN w >= 0.5 THEN 'water' WHEN g >= 0.5 THEN 'vegetation' WHEN 1 - w - g >= 0.5 AND (b >= 0.16 OR x >= 0.035) THEN 'built' WHEN 1 - w - g >= 0.5 THEN 'bare' ELSE 'mixed' END AS class FROM t""")
+def tile_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of a tile in one look, by its shares, brightness and texture."""
+    w, g = F.col("l_discount") * 8, F.col("l_tax") * 8
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.tile_class(F.col("l_quantity") / 50, w, g, 1 - w - g, F.col("l_extendedprice") / 500_000, F.col("l_discount") / 2).alias("class"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '03.01' WHEN 1 THEN '04.00' WHEN 2 THEN '05.00' END AS base, p_partkey % 8 > 4 AS applied, p_partkey % 200 AS n, p_size * 30.0 AS p1, CASE WHEN p_partkey % 2 = 0 THEN 0.0 ELSE -0.1 END AS stored FROM part),
+o AS (SELECT *, CASE WHEN base IS NULL THEN NULL WHEN base < '04' THEN 0.0 WHEN applied THEN 0.0 ELSE -0.1 END AS told FROM s)
+SELECT id, CASE WHEN told IS NULL OR (n >= 100 AND p1 < 600 AND told <> 0) OR (n >= 100 AND p1 > 1000 AND told = 0) THEN 'quarantined' WHEN told = stored THEN 'ok' ELSE 'corrected' END AS state FROM o""")
+def radiometry_rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets derived anew from tags and held against the darkest pixels."""
+    k = F.col("p_partkey")
+    base = F.when(k % 4 == 0, "03.01").when(k % 4 == 1, "04.00").when(k % 4 == 2, "05.00")
+    s = table(spark, sf_dir, "part").select(k.alias("id"), base.alias("baseline"), (k % 8 > 4).alias("applied"), (k % 200).alias("n_clear"), (F.col("p_size") * 30.0).alias("p1"), F.when(k % 2 == 0, 0.0).otherwise(-0.1).alias("offset"))
+    return imagery.radiometry_rechecked(s).select("id", "state")
+
+
+@query("""WITH r AS (SELECT o_custkey AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey AS id FROM orders), j AS (SELECT o_custkey AS q, o_orderkey AS id, o_orderstatus = 'F' AS rel FROM orders WHERE o_orderkey % 3 > 0),
+l AS (SELECT c_custkey AS q, c_custkey % 4 > 0 AS ver, c_custkey % 2 = 0 AS ex FROM customer), n AS (SELECT q, count(*) AS judged, count(*) FILTER (WHERE rel) AS relevant FROM j GROUP BY q),
+x AS (SELECT r.q, r.rank, j.rel, coalesce(j.rel, false) AS hit, sum(coalesce(j.rel, false)::INT) OVER (PARTITION BY r.q ORDER BY r.rank) AS hits FROM r LEFT JOIN j USING (q, id)),
+s AS (SELECT q, count(*) FILTER (WHERE rank <= 5 AND hit) AS h5, count(*) FILTER (WHERE rank <= 5 AND rel IS NULL) AS u5, sum(hits / rank) FILTER (WHERE hit) AS gain, count(*) FILTER (WHERE hit) AS found FROM x GROUP BY q)
+SELECT l.q AS query, CASE WHEN ver AND judged > 0 THEN 'MEASURED' ELSE 'NOT AVAILABLE' END AS status, round(CASE WHEN ver AND judged > 0 THEN coalesce(h5, 0) / 5.0 END::DOUBLE, 6) AS precision_at_5, round(CASE WHEN ver AND ex AND relevant > 0 THEN coalesce(h5, 0) / relevant END::DOUBLE, 6) AS recall_at_5,
+  CASE WHEN ver AND judged > 0 THEN coalesce(u5, 0) END AS unjudged_at_5, round(CASE WHEN ver AND judged > 0 AND CASE WHEN ex THEN relevant ELSE found END > 0 THEN coalesce(gain, 0) / CASE WHEN ex THEN relevant ELSE found END END::DOUBLE, 6) AS average_precision
+FROM l LEFT JOIN n USING (q) LEFT JOIN s USING (q)""")
+def rankings_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of rankings that have verified judgements, and NOT AVAILABLE for the others."""
+    from pyspark.sql import Window
+
+    from orrery.operators import evaluation
+
+    o = table(spark, sf_dir, "orders")
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = o.select(F.col("o_custkey").alias("query"), F.row_number().over(order).alias("rank"), F.col("o_orderkey").alias("id"))
+    judged = o.where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("relevant"))
+    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), (F.col("c_custkey") % 4 > 0).alias("verified"), (F.col("c_custkey") % 2 == 0).alias("exhaustive"))
+    m = evaluation.ranking_metrics(ranked, judged, labels, (5,))
+    return m.select("query", "status", *[F.round(c, 6).alias(c) for c in ("precision_at_5", "recall_at_5")], "unjudged_at_5", F.round("average_precision", 6).alias("average_precision"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS pair, l_orderkey AS r, l_linenumber AS c, CASE WHEN max(l_discount) > 0.08 THEN 255 WHEN max(l_discount) > 0.04 THEN 1 ELSE 0 END AS p, CASE WHEN max(l_tax) > 0.07 THEN 255 WHEN max(l_tax) > 0.03 THEN 1 ELSE 0 END AS t FROM lineitem GROUP BY ALL),
+k AS (SELECT pair, count(*) FILTER (WHERE p = 1 AND t = 1) AS tp, count(*) FILTER (WHERE p = 1 AND t = 0) AS fp, count(*) FILTER (WHERE p = 0 AND t = 1) AS fn, count(*) FILTER (WHERE p = 0 AND t = 0) AS tn FROM p WHERE p <> 255 AND t <> 255 GROUP BY pair),
+s AS (SELECT s_suppkey AS pair, s_suppkey % 3 > 0 AS ver, s_suppkey % 5 > 0 AS grid FROM supplier)
+SELECT pair, CASE WHEN NOT ver THEN 'NOT AVAILABLE: no verified mask' WHEN NOT grid THEN 'NOT AVAILABLE: another grid' ELSE 'MEASURED' END AS status, CASE WHEN ver AND grid THEN tp END AS tp, CASE WHEN ver AND grid THEN fn END AS fn, round(CASE WHEN ver AND grid THEN 2 * tp / (2 * tp + fp + fn) END::DOUBLE, 6) AS f1, round(CASE WHEN ver AND grid THEN tp / (tp + fp + fn) END::DOUBLE, 6) AS iou FROM s LEFT JOIN k USING (pair)""")
+def masks_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change masks against verified ones, pixel by pixel."""
+    from orrery.operators import evaluation
+
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pair"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    mask = lambda c, void, yes: line.select("pair", "row", "col", F.when(F.col(c) > void, 255).when(F.col(c) > yes, 1).otherwise(0).alias("value"))
+    pairs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pair"), (F.col("s_suppkey") % 3 > 0).alias("verified"), (F.col("s_suppkey") % 5 > 0).alias("grid_equal"))
+    m = evaluation.mask_metrics(mask("d", 0.08, 0.04), mask("t", 0.07, 0.03), pairs)
+    return m.select("pair", "status", "tp", "fn", F.round("f1", 6).alias("f1"), F.round("iou", 6).alias("iou"))
+
+
+STRUCTURE_SQL = """m AS (SELECT vec_id AS id, label AS cluster, vec_id % 40 AS place, vec_id % 7 AS scene_id, 1 + vec_id % 12 AS month, embedding::DOUBLE[] AS e FROM embeddings)"""
+
+
+def _structure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("vec_id")
+    date = F.concat(F.lit("2024-"), F.lpad((1 + k % 12).cast("string"), 2, "0"), F.lit("-01"))
+    m = table(spark, sf_dir, "embeddings").select(F.lit(64).alias("family"), k.alias("id"), F.col("label").alias("cluster"), (k % 40).alias("place"), (k % 7).alias("scene_id"), date.alias("acquired_at"), "embedding")
+    return clusters.structure(m)
+
+
+@query(f"""WITH {STRUCTURE_SQL}, n AS (SELECT count(*) AS n FROM m), pp AS (SELECT place, max(k) / sum(k) AS a FROM (SELECT place, cluster, count(*) AS k FROM m GROUP BY ALL) GROUP BY place), cs AS (SELECT cluster, count(*) AS k FROM m GROUP BY cluster),
+s AS (SELECT a.id AS q, (a.cluster = b.cluster)::INT AS same, a.place = b.place AS here, list_inner_product(a.e, b.e) AS v, b.id FROM m a JOIN m b ON a.id <> b.id),
+x AS (SELECT q, avg(same) AS v FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v DESC, id) AS r FROM s) WHERE r <= 10 GROUP BY q), y AS (SELECT q, avg(same) AS v FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v DESC, id) AS r FROM s WHERE NOT here) WHERE r <= 10 GROUP BY q)
+SELECT 64 AS family, (SELECT n FROM n) AS chips, (SELECT count(DISTINCT place) FROM m) AS places, (SELECT count(*) FROM cs) AS clusters, round((SELECT avg(a) FROM pp), 6) AS consistency, round((SELECT avg(v) FROM x), 6) AS nearest_same, round((SELECT avg(v) FROM y), 6) AS elsewhere_same, round((SELECT sum((k / n) ** 2) FROM cs, n), 6) AS chance""")
+def clustering_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be measured of a clustering without labels."""
+    f, _ = _structure(spark, sf_dir)
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return f.select("family", "chips", "places", "clusters", r("cross_date_consistency", "consistency"), r("nearest_same", "nearest_same"), r("nearest_elsewhere_same", "elsewhere_same"), r("chance_same", "chance"))
+
+
+@query(f"""WITH {STRUCTURE_SQL}, a AS (SELECT scene_id, count(*) AS n FROM m GROUP BY ALL), sc AS (SELECT cluster, scene_id, count(*) AS k FROM m GROUP BY ALL), cov AS (SELECT cluster, avg(k / n) AS c FROM sc JOIN a USING (scene_id) GROUP BY cluster), tp AS (SELECT cluster, max(k) AS k FROM (SELECT cluster, place, count(*) AS k FROM m GROUP BY ALL) GROUP BY cluster)
+SELECT m.cluster, count(*) AS size, count(DISTINCT place) AS places, round(any_value(c), 6) AS date_coverage, round(avg((month >= 10)::INT), 6) AS late_share, round(any_value(tp.k) / count(*), 6) AS top_place_share FROM m JOIN cov USING (cluster) JOIN tp USING (cluster) GROUP BY m.cluster""")
+def clusters_by_date_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each cluster follows dates, seasons or single places."""
+    _, c = _structure(spark, sf_dir)
+    return c.select("cluster", "size", "places", *[F.round(x, 6).alias(x) for x in ("date_coverage", "late_share", "top_place_share")])
 
 
 @query(f"""WITH b AS (SELECT c_custkey AS id, {lon_sql("c_custkey")} AS w, {lat_sql("c_custkey")} AS s, 0.5 + c_custkey % 3 AS dx, 0.25 + c_custkey % 2 AS dy FROM customer)

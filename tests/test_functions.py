@@ -48,7 +48,7 @@ def test_text(spark):
     got = d.select(text.distance_m(F.col("t")).alias("d"), text.min_magnitude(F.col("t")).alias("m"), text.fold("t").alias("f")).collect()
     assert [(r.d, r.m) for r in got] == [(2500.0, 4.0), (200.0, 5.0), (None, None)]
     r = spark.range(1).select(text.tile_parts(F.lit("a:b:3:4")).alias("p"), text.human_age(F.lit(50.0)).alias("a"), text.latlon_text(F.lit(-1.5), F.lit(2.0)).alias("l"), text.bearing_text(F.lit(359.7)).alias("b")).first()
-    assert (r.p.aoi, r.p.row, r.p.col, r.a, r.l, r.b) == ("a:b", 3, 4, "2 d", "2.0000°N 1.5000°W", "000°")
+    assert (r.p.aoi, r.p.row, r.p.col, r.a, r.l, r.b) == ("a:b", 3, 4, "2.1 d", "2.0000° N 1.5000° W", "000°")
 
 
 def test_rules_and_vectors(spark):
