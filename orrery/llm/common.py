@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache, wraps
-from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.staging import dropped, shared_dir, staged  # noqa: F401  (for the operators here)
+
 #: White space that separates words, and the rest, as regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,37 +94,6 @@ def released() -> None:
         _libc().malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where it is unset, one in the warehouse, which executors share too."""
-    jsc = spark.sparkContext._jsc.sc()
-    now = jsc.getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-checkpoint"
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return jsc.getCheckpointDir().get()
-
-
-_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    _places[found] = path
-    return found
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

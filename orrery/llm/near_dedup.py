@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import pieces, released, small_batches, staged, table, tidy
+from orrery.llm.common import dropped, pieces, released, small_batches, staged, table, tidy
 from orrery.llm.components import components
 from orrery.llm.shingles import factors, minima, mixed, shingle_sets
 
@@ -130,7 +130,9 @@ class Links:
         found = self.docs.join(_few(known), "doc_id").select("text")
         if ids.where("doc_id is null").limit(1).count():
             found = found.union(self.docs.where("doc_id is null").select("text"))
-        return staged(_sets(found, self.width).where("set_hash is not null").dropDuplicates(["set_hash"]), "sets")
+        sets = staged(_sets(found, self.width).where("set_hash is not null").dropDuplicates(["set_hash"]), "sets")
+        dropped(ids)
+        return sets
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs a < b, read from where they were written, whose sets are similar enough."""
@@ -139,7 +141,9 @@ class Links:
             sets.select(F.col("set_hash").alias("a"), F.col("members").alias("x")), "a"
         )
         common = F.size(F.array_intersect("x", "y"))
-        return staged(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent).select("a", "b"), "links")
+        links = staged(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent).select("a", "b"), "links")
+        dropped(sets)
+        return links
 
     def across(self, open_: DataFrame) -> DataFrame:
         """Links between components inside buckets. open_: key, x and root of the buckets that hold several.
@@ -172,7 +176,9 @@ class Links:
             return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
         full = kept.join(sets, "set_hash").select(*given, "members")
-        return staged(full.groupBy("task").applyInArrow(joined, "a binary, b binary").distinct(), "across")
+        links = staged(full.groupBy("task").applyInArrow(joined, "a binary, b binary").distinct(), "across")
+        dropped(kept, sets)
+        return links
 
 
 def _likely_partners(t: pa.Table, percent: int, least: int) -> np.ndarray:
@@ -242,12 +248,15 @@ def clustered(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pivots = buckets.groupBy("key").agg(F.min("x").alias("y"))
     stars = staged(_ordered(buckets.join(pivots, "key").where((F.col("x.set_hash") != F.col("y.set_hash")) & links.likely())), "stars")
     found = links.confirmed(stars)
+    dropped(shared, stars)
     roots = components(found)
 
     # buckets that hold several components still
     named = buckets.join(roots, F.col("x.set_hash") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.set_hash").alias("root"))
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    more = links.across(staged(named.join(several, "key"), "open"))
+    open_ = staged(named.join(several, "key"), "open")
+    more = links.across(open_)
+    dropped(open_, buckets)
     if more.limit(1).count():
         roots = components(found.union(more))
 

@@ -68,24 +68,30 @@ def features(bag: set[str], stems: tuple[int, ...] = tuple(STEMS)) -> dict[str,
     return {f: min(n, MOST) for f, n in out.items()} | dict.fromkeys(bag, 1)
 
 
-def finder(known: Iterable[str]) -> Callable[[str | None], dict[str, int]]:
-    """A function that gives those features of a text that are known, as ``features`` would; it remembers words."""
-    names = frozenset(known)
-    lengths = sorted({len(f) - 1 for f in names if f[-1] == MORE})
-    memo = Memo(MEMORY)
+class Words(Memo):
+    """A word -> the places, in a list of names, of those of its features that are there."""
+
+    def __init__(self, names: Iterable[str]):
+        super().__init__(MEMORY)
+        self.at = {f: i for i, f in enumerate(names)}
+        self.lengths = sorted({len(f) - 1 for f in self.at if f[-1] == MORE})
 
-    def of(word: str) -> tuple[str, ...]:
-        got = memo.get(word)
-        if got is None:
-            got = tuple([f for f in (word, *[word[:k] + MORE for k in lengths if len(word) > k]) if f in names])
-            memo.keep(word, got)
-        return got
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = (word, *[word[:k] + MORE for k in self.lengths if len(word) > k])
+        found = tuple([self.at[f] for f in own if f in self.at])
+        self.keep(word, found)
+        return found
 
-    def find(text: str | None) -> dict[str, int]:
-        found = Counter(chain.from_iterable(map(of, set(words(text)))))
-        return {f: min(n, MOST) for f, n in found.items()}
+    def places(self, text: str | None) -> list[int]:
+        """Of all distinct words of a text: a feature stands as often as words have it."""
+        return list(chain.from_iterable(map(self.__getitem__, set(words(text)))))
 
-    return find
+
+def finder(known: Iterable[str]) -> Callable[[str | None], dict[str, int]]:
+    """A function that gives those features of a text that are known, as ``features`` would."""
+    names = list(known)
+    of = Words(names)
+    return lambda text: {names[i]: min(n, MOST) for i, n in Counter(of.places(text)).items()}
 
 
 @dataclass(frozen=True)
@@ -161,7 +167,7 @@ def _chosen(p: dict[str, int], n: int, u: dict[str, int], m: int) -> list[str]:
 
 def _matrix(bags: list[set[str]], names: list[str]) -> np.ndarray:
     at = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(bags), len(names)), np.float32)
+    x = np.zeros((len(bags), len(names)))  # as the weights are: products make no copies in other precision
     for i, bag in enumerate(bags):
         for f, n in features(bag).items():
             if f in at:
@@ -229,14 +235,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not common or not prior:
         return _constant(prior)
 
+    candidates = sorted(common)
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, find = Counter(), 0, finder(common)
+        of, seen, n = Words(candidates), np.zeros(len(candidates), np.int64), 0
         for batch in pieces(batches, 0):
             n += batch.num_rows
-            for t in batch.column(0):
-                seen.update(find(t.as_py()).keys())
-        names = [None, *seen]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["feature", "n"])
+            each = [of.places(t.as_py()) for t in batch.column(0)]
+            # a feature counts once for each document that has it
+            pairs = np.repeat(np.arange(len(each)), list(map(len, each))) * len(candidates) + np.fromiter(chain.from_iterable(each), np.int64)
+            seen += np.bincount(np.unique(pairs) % len(candidates), minlength=len(candidates))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *[candidates[i] for i in some]], pa.string()), pa.array([n, *seen[some]], pa.int64())], names=["feature", "n"])
 
     totals = {r.feature: r.n for r in docs.select("text").mapInArrow(tidy(counts), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     documents = totals.pop(None, 0)
@@ -254,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("held", "ascending")])
-        x = np.zeros((rows.num_rows, len(names)), np.float32)
+        x = np.zeros((rows.num_rows, len(names)))
         for i, held in enumerate(rows["held"].to_pylist()):
             pairs = np.frombuffer(held, "<u2").reshape(-1, 2)
             x[i, pairs[:, 0]] = pairs[:, 1]
