@@ -1,5 +1,6 @@
 """Items wider than the usual five words."""
 
+import numpy as np
 import pytest
 
 from orrery.llm import decontamination
