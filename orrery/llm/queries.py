@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontamination, filter_audit, lm_score, near_dedup, quality, sharding, token_counts, toxicity, url_filter, vector_search
+from orrery.llm import bpe, decontamination, filter_audit, lm_score, near_dedup, packing, quality, sharding, token_counts, toxicity, url_filter, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_search": vector_search.op9_vector_search,
         "op10_quality": quality.op10_quality,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_packing": packing.op13_packing,
     }
 
 
