@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontamination, filter_audit, lm_score, near_dedup, packing, quality, sharding, token_counts, toxicity, url_filter, vector_search
+from orrery.llm import bpe, collocations, decontamination, filter_audit, lm_score, near_dedup, packing, quality, sharding, token_counts, toxicity, url_filter, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_vector_search": vector_search.op9_vector_search,
         "op10_quality": quality.op10_quality,
+        "op11_collocations": collocations.op11_collocations,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_packing": packing.op13_packing,
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup.oracle_sql(),
         "op8_decontamination": decontamination.oracle_sql(),
         "op9_vector_search": vector_search.oracle_sql(),
+        "op11_collocations": collocations.oracle_sql(),
         "op12_filter_audit": filter_audit.oracle_sql(),
     }
