@@ -7,7 +7,8 @@ many times over, so rows are packed: documents are read in blocks of ``BLOCK_WOR
 1. a block sends each hash partition the sorted distinct hashes of its n-grams there and how often it
    has them (one message for each block, order and partition where it has any);
 2. a partition adds up the counts of each hash over all blocks and sends each block its totals back,
-   in the order of the block's own message, so that hashes travel once;
+   in the order of the block's own message, so that hashes travel once, and a sum of those hashes, by
+   which the block knows that they are the ones it has;
 3. the block's words, as numbers into the block's list of words, meet the totals, and every document's
    words are scored and summed.
 
@@ -41,6 +42,7 @@ ORDER, LEAST, BACKOFF = 3, 2, 0.4
 BLOCK_WORDS = 1_500_000
 #: Characters of text for each hash partition.
 PARTITION_CHARS = 12_000_000
+TOTALS = "block bigint, order int, bucket int, totals binary, check bigint"
 MESSAGE = "block bigint, order int, bucket int, hashes binary, counts binary"
 STREAM = "block bigint, doc_ids binary, known binary, lengths binary, words binary, hashes binary"
 
@@ -118,6 +120,10 @@ def _cut(distinct: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, np.array([i * step for i in range(buckets)], np.uint64)), len(distinct))
 
 
+def checksum(hashes: np.ndarray) -> int:
+    return int(mixed(hashes).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _sums(data: pa.Table) -> pa.Table:
     """Totals of a bucket's hashes of one order, for each block's message."""
     rows = data.to_pylist()
@@ -132,8 +138,8 @@ def _sums(data: pa.Table) -> pa.Table:
         totals[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     ends = np.cumsum([len(s) for s in sets])
     return pa.Table.from_pylist(
-        [{"block": r["block"], "order": r["order"], "bucket": r["bucket"], "totals": planes(totals[e - len(s) : e])} for r, s, e in zip(rows, sets, ends, strict=True)],
-        schema=pa.schema([("block", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())]),
+        [{"block": r["block"], "order": r["order"], "bucket": r["bucket"], "totals": planes(totals[e - len(s) : e]), "check": checksum(s)} for r, s, e in zip(rows, sets, ends, strict=True)],
+        schema=pa.schema([("block", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("check", pa.int64())]),
     )
 
 
@@ -186,9 +192,9 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def score(stream: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        parts: list[dict[int, np.ndarray]] = [{} for _ in range(order)]
+        parts: list[dict[int, tuple[np.ndarray, int]]] = [{} for _ in range(order)]
         for r in replies.to_pylist():
-            parts[r["order"] - 1][r["bucket"]] = unplaned(r["totals"])
+            parts[r["order"] - 1][r["bucket"]] = (unplaned(r["totals"]), r["check"])
         for s in stream.to_pylist():
             lengths, hashes = unplaned(s["lengths"]), unpacked(s["hashes"])
             words = hashes[unplaned(s["words"])]
@@ -196,8 +202,11 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for n, grams in enumerate(ngrams(words, lengths, order)):
                 distinct, numbers = np.unique(grams, return_inverse=True)
                 mine = [parts[n][b] for b in sorted(parts[n])]
-                found = np.concatenate([np.zeros(int(len(distinct) > 0 and distinct[0] == 0), np.int64), *mine])
-                if len(found) != len(distinct):
+                none = int(len(distinct) > 0 and distinct[0] == 0)
+                found = np.concatenate([np.zeros(none, np.int64), *[t for t, _ in mine]])
+                ends = none + np.cumsum([len(t) for t, _ in mine], dtype=np.int64)
+                same = all(checksum(distinct[e - len(t) : e]) == check for e, (t, check) in zip(ends, mine, strict=True))
+                if len(found) != len(distinct) or not same:
                     raise RuntimeError("a block was read otherwise than before")
                 totals.append(found[numbers] if len(words) else np.zeros(0, np.int64))
             logs = backoff(totals, all_words) if len(words) else np.zeros(0)
@@ -209,7 +218,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
             out[2] += sums.tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "n_words", "score"])
 
-    sums = docs.mapInArrow(tidy(messages), MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, "block bigint, order int, bucket int, totals binary")
+    sums = docs.mapInArrow(tidy(messages), MESSAGE).groupBy("bucket", "order").applyInArrow(_sums, TOTALS)
     result = docs.mapInArrow(tidy(streams), STREAM).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id bigint, n_words bigint, score double")
     return result.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bytes of text whose words are hashed at once.
+#: Bytes of text whose words are split at once.
 SPAN = 1 << 20
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Fixed key of the words' hashes, so that numbers of one table mean the same words in another.
+KEY = b"orrery.words"
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,32 +24,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _spans(text: bytes) -> Iterator[bytes]:
+    """text, cut at white space into spans of SPAN bytes, or of one longer word."""
+    at = 0
+    while len(text) - at > SPAN:
+        gap = _GAP.search(text, at + SPAN)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+def word_hash(word: bytes) -> int:
+    """64 bits of BLAKE2b: unlike a polynomial's, no texts are known that collide."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, lower-casing A-Z, and each word's text.
 
-    A word's hash is a polynomial in its bytes, from running sums. They take some 40 bytes for each of
-    the text's, so long texts are cut between words into spans of ``SPAN`` bytes, or of one longer word.
+    Words become numbers by a dictionary of this call, and each distinct word is hashed once.
     """
-    data = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", np.uint8)
-    space = _IS_SPACE[data]
-    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    begin = np.cumsum([1, *[len(t) + 1 for t in texts]])[:-1]
-    owner = np.searchsorted(begin, starts, "right") - 1
-    hashes, done = [np.zeros(0, np.uint64)], 0
-    while done < len(starts):
-        upto = max(done + 1, int(np.searchsorted(ends, starts[done] + SPAN, "right")))
-        low, high = starts[done], ends[upto - 1]
-        hashes.append(_polynomials(data[low:high], starts[done:upto] - low, ends[done:upto] - low))
-        done = upto
-    return np.concatenate(hashes), owner
-
-
-def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers = np.cumprod(np.full(len(data), _BASE), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
-    # dividing by the power at the start makes the hash the same wherever the word stands
-    inverse = np.cumprod(np.full(len(data), _BACK), dtype=np.uint64)
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    parts, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        for span in _spans(text.lower()):
+            words = span.split()
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            counts[i] += len(words)
+    hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
+    return hashes[np.concatenate(parts)], np.repeat(np.arange(len(texts)), counts)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:

@@ -66,3 +66,18 @@ def test_totals_of_any_size():
     rows = pa.table({"block": [0, 1], "order": pa.array([1, 1], pa.int32()), "bucket": pa.array([0, 0], pa.int32()), "hashes": [packed(np.array([3, 9], np.uint64)), packed(np.array([9], np.uint64))], "counts": [planes(np.array([1, 1 << 32])), planes(np.array([1 << 32]))]})
     got = {r["block"]: unplaned(r["totals"]).tolist() for r in lm_score._sums(rows).to_pylist()}
     assert got == {0: [1, 1 << 33], 1: [1 << 33]}
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    texts = [f"{x} red fox", f"{y} red fox", f"{x} dog", "red fox red fox"]
+    got = {r.doc_id: r.score for r in scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3).collect()}
+    for i, (_, s) in enumerate(brute(texts, 3)):
+        assert math.isclose(got[i], s, rel_tol=1e-9)
+
+
+def test_checksum_tells_hashes_apart():
+    a, b = np.array([3, 9], np.uint64), np.array([3, 10], np.uint64)
+    assert lm_score.checksum(a) != lm_score.checksum(b) and lm_score.checksum(a[:0]) == 0

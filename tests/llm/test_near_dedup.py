@@ -120,3 +120,35 @@ def test_very_long_texts(spark):
     got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(docs, 5, 80).collect()}
     assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert got[4][1] == 1 and got[1][1] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+
+def thue_morse(k):
+    """Two words of 2^k letters that every polynomial modulo 2^64 takes for one, from k = 10 on."""
+    x, y = "a", "b"
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_that_polynomials_confuse(spark, k):
+    x, y = thue_morse(k)
+    assert len(set(word_hashes([f"{x} {y}".encode()])[0].tolist())) == 2
+    rows = [(1, f"{x} red fox"), (2, f"{y} red fox"), (3, f"{x} RED\tfox"), (4, "some other words")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
+
+
+def test_one_set_in_two_orders(spark):
+    rows = [(1, "a b c a b c a"), (2, "b c a b c a b"), (3, "c a b c a b"), (4, "a b c a b"), (5, "a b c")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+
+
+def test_spans_cut_between_words(monkeypatch):
+    from orrery.llm import shingles
+
+    whole = word_hashes([b"aa bb  cc\x0bdd " * 9, b"", b"x" * 40 + b" y"])
+    monkeypatch.setattr(shingles, "SPAN", 7)
+    cut = word_hashes([b"aa bb  cc\x0bdd " * 9, b"", b"x" * 40 + b" y"])
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
