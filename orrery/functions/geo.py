@@ -165,8 +165,8 @@ def teme_to_geodetic(x: Column, y: Column, z: Column, julian_date: Column) -> Co
     for _ in range(5):
         n = F.lit(a) / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
         lat = F.atan2(z + n * e2 * F.sin(lat), r)
-    n = F.lit(a) / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
-    return F.struct(F.degrees(lon).alias("lon"), F.degrees(lat).alias("lat"), (r / F.cos(lat) - n).alias("alt_km"))
+    height = r * F.cos(lat) + z * F.sin(lat) - a * F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))  # right over the poles too
+    return F.struct(F.degrees(lon).alias("lon"), F.degrees(lat).alias("lat"), height.alias("alt_km"))
 
 
 def lonlat_to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> Column:

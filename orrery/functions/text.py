@@ -62,23 +62,43 @@ def leftover_words(text: Column, used: list[Column], stopwords: list[str]) -> Co
     return F.array_except(F.regexp_extract_all(rest, F.lit(r"([a-z][a-z\-]+)"), 1), F.array(*map(F.lit, stopwords)))
 
 
+def fixed(value: Column, digits: int, even: bool = False) -> Column:
+    """A number of zero or more with so many digits, rounded as the exact value of the double says; ties go up, or to even.
+
+    Twice the digits' power times the value is a double and its rounding error (Dekker's product), so a
+    value is told from the middle between two results however near it is.
+    """
+    scale = float(2 * 10**digits)
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    n = F.floor((product + 1) / 2)  # of what is rounded up or in the middle
+    middle = product == n * 2 - 1
+    down = middle & ((error < 0) | ((error == 0) & (n % 2 == 1) & F.lit(even)))
+    whole = F.when(down, n - 1).otherwise(n).cast("bigint")
+    if not digits:
+        return whole.cast("string")
+    return F.concat(F.call_function("div", whole, F.lit(10**digits).cast("bigint")).cast("string"), F.lit("."), F.lpad((whole % 10**digits).cast("string"), digits, "0"))
+
+
 def human_bytes(n: Column) -> Column:
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.1f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.2f GB", n / gb))
+    with_unit = lambda unit, size, digits: F.concat(fixed(n / size, digits), F.lit(f" {unit}"))
+    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, with_unit("KB", kb, 1)).when(n < gb, with_unit("MB", mb, 1)).otherwise(with_unit("GB", gb, 2))
 
 
 def human_age(hours: Column) -> Column:
     """18 min, 5.2 h, 2.1 d; never less than a minute."""
-    minutes = F.greatest(F.lit(1), F.round(hours * 60).cast("int"))
-    return F.when(hours < 1, F.format_string("%d min", minutes)).when(hours < 48, F.format_string("%.1f h", hours)).otherwise(F.format_string("%.1f d", hours / 24))
+    minutes = F.greatest(F.lit(1), F.bround(hours * 60).cast("int"))
+    return F.when(hours < 1, F.format_string("%d min", minutes)).when(hours < 48, F.concat(fixed(hours, 1, even=True), F.lit(" h"))).otherwise(F.concat(fixed(hours / 24, 1, even=True), F.lit(" d")))
 
 
 def human_distance(metres: Column) -> Column:
-    return F.when(metres < 1000, F.format_string("%d m", F.round(metres).cast("int"))).otherwise(F.format_string("%.1f km", metres / 1000))
+    return F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(fixed(metres / 1000, 1), F.lit(" km")))
 
 
 def human_area(square_metres: Column) -> Column:
-    return F.format_string("%.1f ha", square_metres / 10_000)
+    return F.concat(fixed(square_metres / 10_000, 1), F.lit(" ha"))
 
 
 def latlon_text(lon: Column, lat: Column) -> Column:

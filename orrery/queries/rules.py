@@ -39,7 +39,7 @@ def ingest_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.counters(ingest.judged(records, COUNTRY, "Triangland"))
 
 
-@query("""WITH n AS (SELECT event_id AS id, user_id % 50 AS record, value, event_id AS seq FROM events WHERE event_id < 1000000000),
+@query("""WITH n AS (SELECT event_id AS id, user_id % 50 AS record, value, event_id AS seq FROM events),
 last AS (SELECT record, arg_max(value, seq) AS value FROM n GROUP BY record)
 SELECT 's:' || record AS id, round(value, 6) AS value FROM last""")
 def ingest_last_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,13 +185,13 @@ def versions_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.superseded(v, spark.createDataFrame([(99, "")], "v int, status string"))
 
 
-@query("""SELECT o_orderkey AS id, l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 1000 ELSE 1 END AS metres, CASE WHEN l_linenumber % 3 = 0 THEN l_tax * 100 END::DOUBLE AS magnitude
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3""")
+@query("""SELECT o_orderkey AS id, l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 1000 ELSE 1 END AS metres, CASE WHEN l_linenumber % 3 = 0 THEN round(l_tax * 100) END::DOUBLE AS magnitude
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def numbers_in_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances and magnitudes, read back from sentences."""
     even, third = F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 3 == 0
     said = F.concat(F.lit("show quakes "), F.when(third, F.format_string("magnitude %d ", F.round(F.col("l_tax") * 100).cast("int"))).otherwise(""), F.format_string("within %.1f ", "l_quantity"), F.when(even, "km").otherwise("m"), F.lit(" of here"))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("id"), said.alias("said"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), said.alias("said"))
     return rows.select("id", text.distance_m(F.col("said")).alias("metres"), text.min_magnitude(F.col("said")).alias("magnitude"))
 
 
@@ -215,15 +215,26 @@ def ids_taken_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), tile["aoi"].alias("aoi"), tile["row"].cast("bigint").alias("row"), tile["col"].cast("bigint").alias("col"), text.record_key(F.lit("src"), k.cast("string")).alias("record"), text.satellite(scene).alias("satellite"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_partkey * p_partkey * 7 AS n, p_partkey * 3 AS m, p_partkey / 3.0 + 0.01 AS h FROM part)
-SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size,
-  CASE WHEN m < 1000 THEN m || ' m' ELSE printf('%.1f km', m / 1000.0) END AS distance, CASE WHEN h < 1 THEN greatest(1, round(h * 60)::INTEGER) || ' min' WHEN h < 48 THEN printf('%.1f h', h) ELSE printf('%.1f d', h / 24) END AS age,
-  printf('%.1f ha', m / 10000.0) AS area FROM p WHERE id % 16 <> 8 AND m % 50 <> 0 AND id % 500 <> 250""")
+def _fixed_sql(x: str, digits: int, even: bool = False) -> str:
+    """Rounded by the digits of the double's whole expansion."""
+    said = f"printf('%.70f', {x})"
+    kept, rest = f"left({said}, instr({said}, '.') + {digits})", f"substr({said}, instr({said}, '.') + {digits + 1})"
+    number = f"CAST(replace({kept}, '.', '') AS BIGINT)"
+    tie = f"(rtrim({rest}, '0') = '5' AND {number} % 2 = 0)" if even else "false"
+    up = f"({number} + CASE WHEN left({rest}, 1) >= '5' AND NOT {tie} THEN 1 ELSE 0 END)"
+    return f"({up} // {10**digits} || '.' || lpad(({up} % {10**digits})::VARCHAR, {digits}, '0'))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey * p_partkey * 7 AS n, p_partkey * 3 AS m, p_partkey / 3.0::DOUBLE + 0.01::DOUBLE AS h FROM part),
+x AS (SELECT *, n / 1024::DOUBLE AS kb, n / 1048576::DOUBLE AS mb, n / 1073741824::DOUBLE AS gb, m / 1000::DOUBLE AS km, m / 10000::DOUBLE AS ha, h / 24 AS days FROM p)
+SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_fixed_sql("kb", 1)} || ' KB' WHEN n < 1073741824 THEN {_fixed_sql("mb", 1)} || ' MB' ELSE {_fixed_sql("gb", 2)} || ' GB' END AS size,
+  CASE WHEN m < 1000 THEN m || ' m' ELSE {_fixed_sql("km", 1)} || ' km' END AS distance, CASE WHEN h < 1 THEN greatest(1, round_even(h * 60, 0)::INTEGER) || ' min' WHEN h < 48 THEN {_fixed_sql("h", 1, True)} || ' h' ELSE {_fixed_sql("days", 1, True)} || ' d' END AS age,
+  {_fixed_sql("ha", 1)} || ' ha' AS area FROM x""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, metres, hours and square metres as people read them."""
     k = F.col("p_partkey").cast("bigint")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (k * k * 7).alias("n"), (k * 3).alias("m"), (k / 3.0 + 0.01).alias("h")).where("id % 16 <> 8 and m % 50 <> 0 and id % 500 <> 250")
-    return p.select("id", text.human_bytes(F.col("n")).alias("size"), text.human_distance(F.col("m").cast("double")).alias("distance"), text.human_age(F.col("h")).alias("age"), text.human_area(F.col("m")).alias("area"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (k * k * 7).alias("n"), (k * 3).alias("m"), (k / 3.0 + 0.01).alias("h"))
+    return p.select("id", text.human_bytes(F.col("n")).alias("size"), text.human_distance(F.col("m").cast("double")).alias("distance"), text.human_age(F.col("h")).alias("age"), text.human_area(F.col("m").cast("double")).alias("area"))
 
 
 @query(f"""SELECT s_suppkey AS id, printf('%.4f° ', abs({lat_sql("s_suppkey")} - 20)) || CASE WHEN {lat_sql("s_suppkey")} - 20 < 0 THEN 'S' ELSE 'N' END || ' ' || printf('%.4f° ', abs({lon_sql("s_suppkey")} - 80)) || CASE WHEN {lon_sql("s_suppkey")} - 80 < 0 THEN 'W' ELSE 'E' END AS at,
@@ -423,11 +434,11 @@ def telemetry_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.flagged_stale(e, "2024-01-31 00:00:00", 240.0, ["click", "view"]).select("id", "stale")
 
 
-@query("""WITH d AS (SELECT o_custkey AS target, max_by(o_orderstatus, o_orderkey) AS latest FROM orders WHERE o_orderkey % 5 > 0 GROUP BY ALL) SELECT c_custkey AS id, coalesce(latest, 'unreviewed') AS review_state FROM customer LEFT JOIN d ON c_custkey = target""")
+@query("""WITH d AS (SELECT o_custkey AS target, max_by(o_orderstatus, o_orderkey) AS latest FROM orders GROUP BY ALL) SELECT c_custkey AS id, coalesce(latest, 'unreviewed') AS review_state FROM customer LEFT JOIN d ON c_custkey = target""")
 def decisions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with the state of their latest decision."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("unreviewed").alias("review_state"))
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target_id"), F.col("o_orderstatus").alias("decision"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target_id"), F.col("o_orderstatus").alias("decision"))
     return governance.decided(c, d)
 
 
@@ -463,76 +474,6 @@ def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), change.elongated(1 + k % 9, 1 + F.col("p_size") % 5, 1 + k % 12).alias("strip"))
 
 
-@query(f"""WITH {EVENTS_SQL} SELECT 'quakes' AS source_id, id::VARCHAR AS record_id, 'earthquake' AS type, printf('M%.1f %s', CAST(attributes ->> '$.k' AS DOUBLE), type) AS title, start_time, CASE WHEN id % 2 = 0 THEN 'OBSERVED' ELSE 'REPORTED' END AS evidence_type, round(lon, 6) AS lon, round(lat, 6) AS lat FROM e WHERE lon IS NOT NULL AND (attributes ->> '$.k') IS NOT NULL""")
-def feed_of_earthquakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A GeoJSON feed, written from the events and read by its adapter."""
-    e = events(spark, sf_dir).withColumn("k", F.get_json_object("attributes", "$.k").cast("double")).where("lon is not null and k is not null")
-    properties = F.struct(F.col("k").alias("mag"), F.col("type").alias("place"), (F.unix_timestamp(F.to_timestamp("start_time")) * 1000).alias("time"), F.when(F.col("id") % 2 == 0, "reviewed").otherwise("automatic").alias("status"))
-    one = F.struct(F.col("id").cast("string").alias("id"), F.struct(F.array("lon", "lat", F.lit(10.0)).alias("coordinates")).alias("geometry"), properties.alias("properties"))
-    read = _through_feed(e, "earthquakes", one, "features")
-    return read.select(F.lit("quakes").alias("source_id"), "record_id", "type", "title", "start_time", "evidence_type", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, CASE type WHEN 'view' THEN 'wildfire' WHEN 'click' THEN 'severe-storm' WHEN 'purchase' THEN 'volcano' WHEN 'signup' THEN 'natural-event' END AS type, start_time, round(lon + 1, 6) AS lon, CASE WHEN id % 3 = 0 THEN 'closed' ELSE 'open' END AS status FROM e WHERE lon IS NOT NULL""")
-def feed_of_natural_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested arrays: the first date, the last place, and a category's name."""
-    e = events(spark, sf_dir).where("lon is not null")
-    kind = F.when(F.col("type") == "view", "wildfires").when(F.col("type") == "click", "severeStorms").when(F.col("type") == "purchase", "volcanoes").otherwise("other")
-    at = lambda t, dx: F.struct(t.alias("date"), F.array(F.col("lon") + dx, F.col("lat")).alias("coordinates"))
-    one = F.struct(F.col("id").cast("string").alias("id"), F.col("type").alias("title"), F.when(F.col("id") % 3 == 0, "2024-02-01T00:00:00Z").alias("closed"), F.array(F.struct(kind.alias("id"))).alias("categories"), F.array(F.struct(F.lit("X").alias("id"))).alias("sources"), F.array(at(F.col("start_time"), 0.0), at(F.lit("2024-02-01T00:00:00Z"), 1.0)).alias("geometry"))
-    return _through_feed(e, "natural-events", one, "events").select("record_id", "type", "start_time", F.round("lon", 6).alias("lon"), "status")
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT 'FL-' || id || '-1' AS record_id, 'flood' AS type, start_time, CASE WHEN id % 2 = 0 THEN 'current' ELSE 'past' END AS status, round(lat, 6) AS lat FROM e WHERE lon IS NOT NULL AND type = 'purchase'""")
-def feed_of_disaster_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("lon is not null and type = 'purchase'")
-    properties = F.struct(F.lit("FL").alias("eventtype"), F.col("id").cast("string").alias("eventid"), F.lit("1").alias("episodeid"), F.lit("Flood").alias("name"), F.lit("Green").alias("alertlevel"), F.expr("rtrim('Z', start_time)").alias("fromdate"), F.when(F.col("id") % 2 == 0, "true").otherwise("false").alias("iscurrent"))
-    one = F.struct(F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), properties.alias("properties"))
-    return _through_feed(e, "disaster-alerts", one, "features").select("record_id", "type", "start_time", "status", F.round("lat", 6).alias("lat"))
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT 'x' || id AS record_id, CASE WHEN id % 4 = 0 THEN 'x' || id ELSE 'F' || id END AS title, start_time, round(lon, 6) AS lon FROM e WHERE lon IS NOT NULL AND type = 'view'""")
-def feed_of_aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positional arrays; a blank call sign gives way to the id, a position time of 0 to the last contact."""
-    e = events(spark, sf_dir).where("type = 'view'")
-    t = F.unix_timestamp(F.to_timestamp("start_time"))
-    s = lambda c: c.cast("string")
-    one = F.array(F.concat(F.lit("x"), s(F.col("id"))), F.when(F.col("id") % 4 == 0, "  ").otherwise(F.concat(F.lit("F"), s(F.col("id")), F.lit(" "))), F.lit("IN"), F.when(F.col("id") % 3 == 0, "0").otherwise(s(t)), s(t), s(F.col("lon")), s(F.col("lat")), F.lit("1000"), F.lit("false"), F.lit("200"), F.lit("90"))
-    return _through_feed(e, "aircraft", one, "states").select("record_id", "title", "start_time", F.round("lon", 6).alias("lon"))
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT 'src-m-' || epoch(start_time::TIMESTAMP)::BIGINT AS record_id, start_time, strftime(start_time::TIMESTAMP + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS end_time FROM e WHERE type = 'error'""")
-def feed_of_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A start and a duration become an interval."""
-    e = events(spark, sf_dir).where("type = 'error'")
-    one = F.struct(F.lit("src").alias("datasource"), F.unix_timestamp(F.to_timestamp("start_time")).alias("start"), F.lit(3600).alias("duration"), F.lit("m").alias("method"), F.lit(1.5).alias("score"))
-    return _through_feed(e, "outages", one, "data").select("record_id", "start_time", "end_time")
-
-
-def _through_feed(rows: DataFrame, feed: str, record, name: str | None) -> DataFrame:
-    """rows written as documents of a feed and read by its adapter.
-
-    record: what a row becomes in a document's list called name (without a name, the document is the list),
-    or the document's fields as aggregates. A document holds some thousand rows, so no task builds a whole feed.
-    """
-    import uuid
-
-    from orrery.staging import shared_dir
-
-    spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/feed-{feed}-{uuid.uuid4().hex}"
-    dealt = rows.withColumn("doc__", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 1000)))).groupBy("doc__")
-    if isinstance(record, dict):
-        documents = dealt.agg(*[c.alias(n) for n, c in record.items()]).select(F.to_json(F.struct(*record)).alias("value"))
-    elif name is None:
-        documents = dealt.agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
-    else:
-        documents = dealt.agg(F.collect_list(record).alias(name)).select(F.to_json(F.struct(name)).alias("value"))
-    # one document a file: some feeds are read as whole files
-    documents.repartitionByRange(max(1, documents.count()), "value").write.option("maxRecordsPerFile", 1).text(path)
-    return feeds.read(spark, feed, path)
-
-
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS type, count(*) AS n FROM events GROUP BY ALL""")
 def days_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling days by type: the projection of the stream, over a table."""
@@ -549,67 +490,6 @@ def projected_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"))
 
 
-@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, strftime(start_time::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS start_time, CASE WHEN (id % 10) >= 5 THEN 'storm' ELSE 'quiet' END AS status FROM e WHERE type = 'signup'""")
-def feed_of_kp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects of a time and a number, as a list without a name; each is told by its time and state."""
-    e = events(spark, sf_dir).where("type = 'signup'").select("id", "start_time")
-    read = _through_feed(e, "kp-index", F.struct(F.expr("rtrim('Z', start_time)").alias("time_tag"), (F.col("id") % 10).cast("double").alias("Kp")), None)
-    named = e.select(F.col("id").cast("string").alias("record_id"), F.expr("rtrim('Z', start_time)").alias("tag"), (F.col("id") % 10 >= 5).alias("storm"))
-    met = read.select(F.col("record_id").alias("tag"), "start_time", "status", (F.col("status") == "storm").alias("storm")).distinct()
-    return named.join(met, ["tag", "storm"]).select("record_id", "start_time", "status")
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, CASE WHEN id % 2 = 0 THEN 'Success' ELSE 'Go' END AS status, start_time, round(lon, 6) AS lon FROM e WHERE lon IS NOT NULL AND type = 'click'""")
-def feed_of_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two documents in one: launches to come and launches past."""
-    e = events(spark, sf_dir).where("lon is not null and type = 'click'")
-    pad = F.struct(F.lit("pad").alias("name"), F.col("lon").cast("string").alias("longitude"), F.col("lat").cast("string").alias("latitude"))
-    one = lambda said: F.struct(F.col("id").cast("string").alias("id"), F.lit("launch").alias("name"), F.col("start_time").alias("net"), F.struct(F.lit(said).alias("name")).alias("status"), pad.alias("pad"))
-    past, soon = F.when(F.col("id") % 2 == 0, one("Success")), F.when(F.col("id") % 2 == 1, one("Go"))
-    listed = lambda c: F.struct(F.collect_list(c).alias("results"))
-    read = _through_feed(e, "launches", {"upcoming": listed(soon), "previous": listed(past)}, None)
-    return read.select("record_id", "status", "start_time", F.round("lon", 6).alias("lon"))
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT id::VARCHAR AS record_id, printf('City: %.1f °C, wind %.1f km/h', 10.0 + id % 20, id % 9 * 1.0) AS title, start_time, round(lat, 6) AS lat FROM e WHERE lon IS NOT NULL AND type = 'purchase'""")
-def feed_of_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays of cities and answers."""
-    e = events(spark, sf_dir).where("lon is not null and type = 'purchase'")
-    city = F.struct(F.col("id").cast("string").alias("id"), F.lit("City").alias("name"), "lon", "lat", F.lit(5).alias("population"))
-    answer = F.struct(F.struct(F.expr("rtrim('Z', start_time)").alias("time"), (10.0 + F.col("id") % 20).alias("temperature_2m"), (F.col("id") % 9 * 1.0).alias("wind_speed_10m")).alias("current"))
-    both = F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), city.alias("c"), answer.alias("a"))))
-    read = _through_feed(e, "weather", {"cities": F.transform(both, lambda x: x["c"]), "response": F.transform(both, lambda x: x["a"])}, None)
-    return read.select("record_id", "title", "start_time", F.round("lat", 6).alias("lat"))
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT 'N-' || substr(start_time, 1, 10) || '-' || (id % 24 * 100 + id % 60) || '-' || (id % 90) || '-' || id AS record_id, substr(start_time, 1, 10) || 'T' || lpad((id % 24)::VARCHAR, 2, '0') || ':' || lpad((id % 60)::VARCHAR, 2, '0') || ':00Z' AS start_time, (id % 90)::DOUBLE AS lat FROM e WHERE type = 'error'""")
-def feed_of_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table with a clock without zeros in front."""
-    k = F.col("id")
-    e = events(spark, sf_dir).where("type = 'error'")
-    rows = e.select((k % 90).alias("latitude"), k.alias("longitude"), F.substring("start_time", 1, 10).alias("acq_date"), (k % 24 * 100 + k % 60).alias("acq_time"), F.lit("N").alias("satellite"), F.lit("h").alias("confidence"), F.lit(1.5).alias("frp"))
-    return feeds.read(spark, "fires", _as_csv(rows, "fires")).select("record_id", "start_time", "lat")
-
-
-@query(f"""SELECT 'A' || s_suppkey AS record_id, s_name AS name, round({lon_sql("s_suppkey")}, 6) AS lon, CASE WHEN s_suppkey % 2 = 0 THEN 'large_airport' ELSE 'small_airport' END AS size FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 5 > 0""")
-def feed_of_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a world's table, one country's airports; heliports and closed ones stay out."""
-    k = F.col("s_suppkey")
-    kind = F.when(k % 5 == 0, "heliport").when(k % 2 == 0, "large_airport").otherwise("small_airport")
-    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("A"), k.cast("string")).alias("ident"), kind.alias("type"), F.col("s_name").alias("name"), lat_of(k).alias("latitude_deg"), lon_of(k).alias("longitude_deg"), F.lit("10").alias("elevation_ft"), F.when(k % 3 > 0, "IN").otherwise("US").alias("iso_country"), F.lit("").alias("iata_code"))
-    return feeds.read(spark, "airports", _as_csv(rows, "airports")).select("record_id", "name", F.round("lon", 6).alias("lon"), F.get_json_object("attributes", "$.size").alias("size"))
-
-
-def _as_csv(rows: DataFrame, feed: str) -> str:
-    import uuid
-
-    from orrery.staging import shared_dir
-
-    path = f"{shared_dir(rows.sparkSession)}/feed-{feed}-{uuid.uuid4().hex}"
-    rows.write.csv(path, header=True)
-    return path
-
-
 @query("""WITH m AS (SELECT p_partkey AS k, (p_partkey % 3)::VARCHAR AS aoi, strftime(DATE '2018-01-01' + (p_partkey * 37 % 2000)::INTEGER, '%Y-%m-%d') AS t0, strftime(DATE '2018-01-01' + (p_partkey * 91 % 2000)::INTEGER, '%Y-%m-%d') AS t1, p_size / 25.0 AS shift, 1 - p_size / 60.0 AS clear FROM part),
 p AS (SELECT k, (CASE WHEN t0 >= t1 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN shift > 1.0 THEN 1 ELSE 0 END + CASE WHEN clear < 0.5 THEN 1 ELSE 0 END) AS problems, abs(month(t0::DATE) - month(t1::DATE)) AS g, shift FROM m)
 SELECT k AS id, problems, (least(g, 12 - g) > 1)::INT + (shift > 0.5)::INT AS warnings FROM p""")
@@ -638,11 +518,11 @@ def vessel_reports_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", F.lit(0).alias("problems")).union(bad.select("id", F.size("problems")))
 
 
-@query("""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM x WHERE id % 50 = 0),
+@query("""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM x WHERE id % 20 = 0),
 s AS (SELECT q.id AS query, x.id, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.e, x.e) DESC, x.id) AS r FROM q JOIN x ON q.id <> x.id) SELECT query, id, r::INTEGER AS rank FROM s WHERE r <= 5""")
 def neighbours_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.nearest_rows(e, e.where("id % 50 = 0"), 5).select("query", "id", "rank")
+    return vectors.nearest_rows(e, e.where("id % 20 = 0"), 5).select("query", "id", "rank")
 
 
 @query("""SELECT d.doc_id::VARCHAR AS entry_id, p.problem FROM documents AS d, (VALUES ('unknown scene'), ('checksum differs')) AS p(problem)

@@ -48,7 +48,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _event(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    base = {"source_id": F.lit(source), "end_time": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), "evidence_type": F.lit("REPORTED"), "scope": F.lit("spatial"), "lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double"), "attributes": F.lit("{}")}
+    base = {"source_id": F.lit(source), "end_time": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), "evidence_type": F.lit("OBSERVED"), "scope": F.lit("spatial"), "lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double"), "attributes": F.lit("{}")}
     return df.select(*[(base | columns)[c].alias(c) for c in EVENT])
 
 
@@ -56,51 +56,97 @@ def _entity(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     return df.select(*[({"source_id": F.lit(source), "attributes": F.lit("{}")} | columns)[c].alias(c) for c in ENTITY])
 
 
+def _facts(**columns: Column) -> Column:
+    """Attributes as JSON; what a record lacks stays, as null."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})
+
+
+def _said(value: Column) -> Column:
+    """A value inside an id or a title, where one that is absent reads None."""
+    return F.coalesce(value.cast("string"), F.lit("None"))
+
+
+def _or(*values: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+
+def _place(geometry: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a GeoJSON geometry as text: of its point, or the middle of its box."""
+    points = F.transform(F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), F.lit(r"\[\s*(-?[\d.eE+-]+)\s*,\s*-?[\d.eE+-]+"), 1), lambda x: x.cast("double"))
+    others = F.transform(F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), F.lit(r"\[\s*-?[\d.eE+-]+\s*,\s*(-?[\d.eE+-]+)"), 1), lambda x: x.cast("double"))
+    middle = lambda v: (F.array_min(v) + F.array_max(v)) / 2
+    return middle(points), middle(others)
+
+
 @feed("earthquakes")
 def earthquakes(spark: SparkSession, path: str) -> DataFrame:
-    f = _json(spark, path, "features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<mag:double,place:string,time:bigint,status:string,magType:string,url:string>>>")
+    """What a seismologist has reviewed is a verified record, the rest observed."""
+    f = _json(spark, path, "features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<mag:string,place:string,time:bigint,status:string,magType:string,url:string,tsunami:bigint,alert:string>>>")
     f = f.select(F.explode("features").alias("f")).select("f.*")
     p = lambda n: F.col(f"properties.{n}")
     return _event(
-        f, "earthquakes", record_id=F.col("id"), type=F.lit("earthquake"), category=F.lit("natural-hazard"), title=F.format_string("M%.1f %s", p("mag"), p("place")),
-        start_time=iso_seconds(p("time") / 1000), status=p("status"), evidence_type=F.when(p("status") == "reviewed", "OBSERVED").otherwise("REPORTED"),
+        f, "earthquakes", record_id=F.col("id"), type=F.lit("earthquake"), category=F.lit("DISASTERS"),
+        title=F.concat(F.lit("M"), _said(p("mag")), F.lit(" earthquake - "), F.coalesce(_or(p("place")), F.lit("location text not given"))),
+        start_time=iso_seconds(p("time") / 1000), status=p("status"), evidence_type=F.when(p("status") == "reviewed", "VERIFIED RECORD").otherwise("OBSERVED"),
         lon=F.get("geometry.coordinates", 0), lat=F.get("geometry.coordinates", 1),
-        attributes=F.to_json(F.struct(p("mag").alias("magnitude"), p("magType").alias("magnitude_type"), F.get("geometry.coordinates", 2).alias("depth_km"))),
+        attributes=_facts(magnitude=p("mag").try_cast("double"), magnitude_type=p("magType"), depth_km=F.get("geometry.coordinates", 2), tsunami_flag=p("tsunami"), alert=p("alert"), source_url=p("url")),
     )
 
 
-#: Categories of natural events and codes of disaster alerts.
-NATURAL = {"wildfires": "wildfire", "severeStorms": "severe-storm", "volcanoes": "volcano", "floods": "flood", "landslides": "landslide", "drought": "drought", "earthquakes": "earthquake", "dustHaze": "dust-haze", "seaLakeIce": "ice", "snow": "snow", "tempExtremes": "temperature-extreme", "manmade": "man-made", "waterColor": "water-colour"}
-ALERTS = {"EQ": "earthquake", "TC": "cyclone", "FL": "flood", "VO": "volcano", "DR": "drought", "WF": "wildfire"}
+#: Type and group of natural events by category, and of disaster alerts by code.
+NATURAL = {
+    "wildfires": ("wildfire", "ENVIRONMENT"), "floods": ("flood", "DISASTERS"), "severeStorms": ("severe-storm", "WEATHER"), "volcanoes": ("volcano", "DISASTERS"),
+    "landslides": ("landslide", "DISASTERS"), "earthquakes": ("earthquake", "DISASTERS"), "drought": ("drought", "ENVIRONMENT"), "dustHaze": ("dust-haze", "ENVIRONMENT"),
+    "seaLakeIce": ("sea-lake-ice", "ENVIRONMENT"), "snow": ("snow", "WEATHER"), "tempExtremes": ("temperature-extreme", "WEATHER"), "waterColor": ("water-colour", "ENVIRONMENT"), "manmade": ("manmade", "PUBLIC EVENTS"),
+}
+ALERTS = {"EQ": ("earthquake", "DISASTERS"), "TC": ("cyclone", "WEATHER"), "FL": ("flood", "DISASTERS"), "DR": ("drought", "ENVIRONMENT"), "WF": ("wildfire", "ENVIRONMENT"), "VO": ("volcano", "DISASTERS")}
+#: Sources of outage signals, and names of how sure a fire is.
+SIGNALS = {"bgp": "BGP routing visibility", "ping-slash24": "Active probing", "merit-nt": "Network telescope", "gtr": "Google Transparency Report traffic", "gtr-norm": "Google traffic (normalised)"}
+CONFIDENCE = {"l": "low", "n": "nominal", "h": "high"}
 
 
-def _lookup(key: Column, values: dict[str, str], default: str | None = None) -> Column:
+def _lookup(key: Column, values: dict[str, str], default: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, key), F.lit(default))
+    return F.coalesce(F.try_element_at(table, key), default)
+
+
+def _kind(key: Column, values: dict[str, tuple[str, str]], default: tuple[str, str]) -> tuple[Column, Column]:
+    return tuple(_lookup(key, {k: v[i] for k, v in values.items()}, F.lit(default[i])) for i in range(2))
 
 
 @feed("natural-events")
 def natural_events(spark: SparkSession, path: str) -> DataFrame:
-    f = _json(spark, path, "events array<struct<id:string,title:string,closed:string,categories:array<struct<id:string>>,sources:array<struct<id:string,url:string>>,geometry:array<struct<date:string,coordinates:array<double>>>>>")
+    """The latest geometry says where, the first one since when."""
+    f = _json(spark, path, "events array<struct<id:string,title:string,closed:string,link:string,categories:array<struct<id:string>>,sources:array<struct<id:string,url:string>>,geometry:array<string>>>")
     f = f.select(F.explode("events").alias("e")).select("e.*").where(F.size("geometry") > 0)
-    last = F.element_at("geometry", -1)
+    last, group = F.element_at("geometry", -1), F.coalesce(F.get("categories", 0)["id"], F.lit("other"))
+    kind, category = _kind(group, NATURAL, ("natural-event", "DISASTERS"))
+    lon, lat = _place(last)
+    closed = _or(F.col("closed"))
     return _event(
-        f, "natural-events", record_id=F.col("id"), type=_lookup(F.get("categories", 0)["id"], NATURAL, "natural-event"), category=F.lit("natural-hazard"), title=F.col("title"),
-        start_time=iso_text(F.get("geometry", 0)["date"]), end_time=iso_text(F.col("closed")), status=F.when(F.col("closed").isNull(), "open").otherwise("closed"),
-        lon=F.get(last["coordinates"], 0), lat=F.get(last["coordinates"], 1), attributes=F.to_json(F.struct(F.transform("sources", lambda s: s["id"]).alias("upstream"))),
+        f, "natural-events", record_id=F.col("id"), type=kind, category=category, title=F.col("title"),
+        start_time=iso_text(F.get_json_object(F.get("geometry", 0), "$.date"), True), end_time=iso_text(closed, True), status=F.when(closed.isNull(), "open").otherwise("closed"), lon=lon, lat=lat,
+        attributes=_facts(
+            eonet_category=group, magnitude=F.get_json_object(last, "$.magnitudeValue").try_cast("double"), magnitude_unit=F.get_json_object(last, "$.magnitudeUnit"), geometry_count=F.size("geometry"),
+            upstream_sources=F.coalesce(F.transform("sources", lambda s: s["id"]), F.array().cast("array<string>")), source_url=F.col("link"),
+        ),
     )
 
 
 @feed("disaster-alerts")
 def disaster_alerts(spark: SparkSession, path: str) -> DataFrame:
-    f = _json(spark, path, "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<eventtype:string,eventid:string,episodeid:string,name:string,alertlevel:string,fromdate:string,todate:string,iscurrent:string>>>")
+    """Levels are estimates of a model, so alerts are inferred; their times are in UTC."""
+    f = _json(spark, path, "features array<struct<geometry:string,properties:struct<eventtype:string,eventid:string,episodeid:string,name:string,description:string,alertlevel:string,alertscore:double,country:string,source:string,fromdate:string,todate:string,iscurrent:string,url:struct<report:string>>>>")
     f = f.select(F.explode("features").alias("f")).select("f.*")
     p = lambda n: F.col(f"properties.{n}")
+    kind, category = _kind(p("eventtype"), ALERTS, ("disaster-alert", "DISASTERS"))
+    lon, lat = _place(F.col("geometry"))
     return _event(
-        f, "disaster-alerts", record_id=F.concat_ws("-", *[F.coalesce(p(n), F.lit("")) for n in ("eventtype", "eventid", "episodeid")]), type=_lookup(p("eventtype"), ALERTS, "disaster"),
-        category=F.lit("natural-hazard"), title=p("name"), start_time=iso_text(p("fromdate"), True), end_time=iso_text(p("todate"), True),
-        status=F.when(p("iscurrent") == "true", "current").otherwise("past"), lon=F.get("geometry.coordinates", 0), lat=F.get("geometry.coordinates", 1),
-        attributes=F.to_json(F.struct(p("alertlevel").alias("alert_level"))),
+        f, "disaster-alerts", record_id=F.concat_ws("-", *[_said(p(n)) for n in ("eventtype", "eventid", "episodeid")]), type=kind, category=category,
+        title=F.coalesce(_or(p("name"), p("description")), F.lit("GDACS alert")), start_time=iso_text(p("fromdate"), True), end_time=iso_text(p("todate"), True),
+        status=F.when(p("iscurrent") == "true", "current").otherwise("past"), evidence_type=F.lit("INFERRED"), lon=lon, lat=lat,
+        attributes=_facts(alert_level=p("alertlevel"), alert_score=p("alertscore"), country=p("country"), upstream_source=p("source"), source_url=p("url.report")),
     )
 
 
@@ -111,56 +157,82 @@ def aircraft(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: F.get("s", i)
     num = lambda i: at(i).try_cast("double")
     f = f.where(num(5).isNotNull() & num(6).isNotNull())
-    seen = F.coalesce(F.nullif(num(3), F.lit(0.0)), num(4))
+    seen, sign = F.coalesce(F.nullif(num(3), F.lit(0.0)), num(4)), _or(F.trim(at(1)))
     return _event(
-        f, "aircraft", record_id=at(0), type=F.lit("aircraft-position"), category=F.lit("transport"), title=F.coalesce(F.nullif(F.trim(at(1)), F.lit("")), at(0)), start_time=iso_seconds(seen),
-        evidence_type=F.lit("OBSERVED"), lon=num(5), lat=num(6),
-        attributes=F.to_json(F.struct(at(2).alias("country"), num(7).alias("altitude_m"), num(9).alias("speed_ms"), num(10).alias("track_deg"), at(8).try_cast("boolean").alias("on_ground"))),
+        f, "aircraft", record_id=at(0), type=F.lit("aircraft-position"), category=F.lit("AVIATION"), title=F.concat(F.lit("Aircraft "), F.coalesce(sign, _said(at(0)))), start_time=iso_seconds(seen),
+        status=F.when(at(8).try_cast("boolean"), "on-ground").otherwise("airborne"), lon=num(5), lat=num(6),
+        attributes=_facts(icao24=at(0), callsign=sign, origin_country=at(2), baro_altitude_m=num(7), velocity_m_s=num(9), track_deg=num(10), vertical_rate_m_s=num(11)),
     )
 
 
+#: What is asked about the weather of a city.
+WEATHER = ("temperature_2m", "relative_humidity_2m", "precipitation", "cloud_cover", "pressure_msl", "wind_speed_10m", "wind_direction_10m", "weather_code")
+
+
 @feed("weather")
 def weather(spark: SparkSession, path: str) -> DataFrame:
-    """Cities and responses come as parallel arrays."""
-    f = _json(spark, path, "cities array<struct<id:string,name:string,lon:double,lat:double,population:bigint>>, response array<struct<current:struct<time:string,temperature_2m:double,wind_speed_10m:double>>>")
-    f = f.select(F.explode(F.arrays_zip("cities", "response")).alias("z")).select("z.cities.*", "z.response.current.*").where("time is not null")
+    """Cities and responses come as parallel arrays; what a model says is inferred. A record for each city and time."""
+    fields, units = (",".join(f"{c}:string" for c in ("time", *WEATHER)), ",".join(f"{c}:string" for c in ("time", *WEATHER)))
+    f = _json(spark, path, f"cities array<struct<name:string,state:string,coordinates:array<double>>>, response array<struct<current:struct<{fields}>,current_units:struct<{units}>>>")
+    both = F.least(F.size("cities"), F.size("response"))
+    f = f.select(F.explode(F.arrays_zip(F.slice("cities", 1, both).alias("city"), F.slice("response", 1, both).alias("told"))).alias("z")).select("z.city", "z.told.current", F.col("z.told.current_units").alias("units"))
+    now = lambda c: F.col(f"current.{c}")
+    unit = lambda c: F.coalesce(F.col(f"units.{c}"), F.lit(""))
     return _event(
-        f, "weather", record_id=F.col("id"), type=F.lit("weather-current"), category=F.lit("weather"), title=F.format_string("%s: %.1f °C, wind %.1f km/h", F.col("name"), F.col("temperature_2m"), F.col("wind_speed_10m")),
-        start_time=iso_text(F.col("time"), True), evidence_type=F.lit("MODELLED"), lon=F.col("lon"), lat=F.col("lat"), attributes=F.to_json(F.struct("temperature_2m", "wind_speed_10m")),
+        f, "weather", record_id=F.concat(_said(F.col("city.name")), F.lit("-"), _said(now("time"))), type=F.lit("weather-current"), category=F.lit("WEATHER"),
+        title=F.concat(_said(F.col("city.name")), F.lit(": "), _said(now("temperature_2m")), unit("temperature_2m"), F.lit(", wind "), _said(now("wind_speed_10m")), F.lit(" "), unit("wind_speed_10m")),
+        start_time=iso_text(now("time"), True), status=F.lit("model-analysis"), evidence_type=F.lit("INFERRED"), lon=F.get("city.coordinates", 0), lat=F.get("city.coordinates", 1),
+        attributes=_facts(**{c: now(c).try_cast("double") for c in WEATHER}, units=F.col("units"), city=F.col("city.name"), state=F.col("city.state")),
     )
 
 
 @feed("outages")
 def outages(spark: SparkSession, path: str) -> DataFrame:
+    """Anomalies about the country as a whole; a start and a duration make an interval."""
     f = _json(spark, path, "data array<struct<datasource:string,start:bigint,duration:bigint,method:string,score:double>>").select(F.explode("data").alias("d")).select("d.*")
+    lasting = F.coalesce("duration", F.lit(0))
+    name = _said(_lookup(F.col("datasource"), SIGNALS, F.col("datasource")))
     return _event(
-        f, "outages", record_id=F.concat_ws("-", "datasource", "method", F.col("start").cast("string")), type=F.lit("internet-outage-signal"), category=F.lit("infrastructure"),
-        title=F.concat(F.lit("Outage signal: "), F.col("datasource")), start_time=iso_seconds(F.col("start")), end_time=iso_seconds(F.col("start") + F.col("duration")), scope=F.lit("national"), attributes=F.to_json(F.struct("score", "method")),
+        f, "outages", record_id=F.concat(_said(F.col("datasource")), F.lit("-"), _said(F.col("start"))), type=F.lit("internet-outage-signal"), category=F.lit("CONNECTIVITY"),
+        title=F.concat(F.lit("Internet outage signal in India ("), name, F.lit(")")), start_time=iso_seconds(F.col("start")), end_time=F.when(F.col("start") != 0, iso_seconds(F.col("start") + lasting)),
+        status=F.lit("detected"), evidence_type=F.lit("INFERRED"), scope=F.lit("national"), attributes=_facts(datasource=F.col("datasource"), method=F.col("method"), ioda_score=F.col("score"), duration_s=lasting),
     )
 
 
 @feed("kp-index")
 def kp_index(spark: SparkSession, path: str) -> DataFrame:
-    """Either a table whose first row is its header, or objects."""
+    """Either a table whose first row names its columns, or objects."""
+    from orrery.functions.text import fixed
+
     raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.explode(F.from_json("value", "array<string>")).alias("r"))
-    cells, fields = F.from_json("r", "array<string>"), F.from_json("r", "struct<time_tag:string,Kp:double>")
-    f = rows.select(F.coalesce(fields["time_tag"], F.get(cells, 0)).alias("t"), F.coalesce(fields["Kp"], F.get(cells, 1).try_cast("double")).alias("kp")).where("kp is not null")
+    items = raw.select(F.from_json("value", "array<string>").alias("items")).where(F.size("items") > 0)
+    header = F.from_json(F.get("items", 0), "array<string>")
+    rows = items.select(F.when(F.get("items", 0).startswith("["), header).alias("header"), F.posexplode("items").alias("i", "r")).where("header is null or i > 0")
+    cells = F.from_json("r", "array<string>")
+    of = lambda n: F.when(F.col("header").isNull(), F.get_json_object("r", f"$.{n}")).otherwise(F.get(cells, F.array_position("header", n).cast("int") - 1))
+    f = rows.select(of("time_tag").alias("t"), of("Kp").try_cast("double").alias("kp"), of("station_count").alias("stations")).where("kp is not null")
     return _event(
-        f, "kp-index", record_id=F.col("t"), type=F.lit("geomagnetic-kp"), category=F.lit("space-weather"), title=F.format_string("Kp %.2f", F.col("kp")), start_time=iso_text(F.replace("t", F.lit(" "), F.lit("T")), True),
-        status=F.when(F.col("kp") >= 5, "storm").otherwise("quiet"), evidence_type=F.lit("OBSERVED"), scope=F.lit("global"), attributes=F.to_json(F.struct("kp")),
+        f, "kp-index", record_id=F.col("t"), type=F.lit("geomagnetic-kp"), category=F.lit("SPACE"), title=F.concat(F.lit("Planetary Kp "), fixed(F.col("kp"), 2, even=True), F.when(F.col("kp") >= 5, " (storm level)").otherwise("")),
+        start_time=iso_text(F.replace("t", F.lit(" "), F.lit("T")), True), status=F.lit("observed"), scope=F.lit("global"), attributes=_facts(kp=F.col("kp"), station_count=F.col("stations")),
     )
 
 
 @feed("launches")
 def launches(spark: SparkSession, path: str) -> DataFrame:
-    one = "array<struct<id:string,name:string,net:string,status:struct<name:string>,pad:struct<name:string,longitude:string,latitude:string>>>"
+    """Launches to come and past ones, two documents in one snapshot, where their pads are."""
+    named = "struct<name:string>"
+    one = f"array<struct<id:string,name:string,net:string,url:string,status:struct<name:string,abbrev:string,description:string>,net_precision:{named},launch_service_provider:{named},mission:{named},pad:struct<name:string,longitude:string,latitude:string>>>"
     f = _json(spark, path, f"upcoming struct<results:{one}>, previous struct<results:{one}>")
     both = f.select(F.explode("upcoming.results").alias("l"), F.lit(True).alias("upcoming")).unionByName(f.select(F.explode("previous.results").alias("l"), F.lit(False).alias("upcoming")))
-    both = both.where(F.col("l.pad.longitude").try_cast("double").isNotNull())
+    both = both.where(F.col("l.pad.longitude").try_cast("double").isNotNull() & F.col("l.pad.latitude").try_cast("double").isNotNull())
+    of = lambda n: F.col(f"l.{n}")
     return _event(
-        both, "launches", record_id=F.col("l.id"), type=F.lit("launch"), category=F.lit("space"), title=F.col("l.name"), start_time=iso_text(F.col("l.net")), status=F.col("l.status.name"),
-        lon=F.col("l.pad.longitude").try_cast("double"), lat=F.col("l.pad.latitude").try_cast("double"), attributes=F.to_json(F.struct("upcoming", F.col("l.pad.name").alias("pad"))),
+        both, "launches", record_id=of("id"), type=F.lit("launch"), category=F.lit("SPACE"), title=of("name"), start_time=iso_text(of("net"), True), status=_or(of("status.abbrev"), of("status.name")), evidence_type=F.lit("VERIFIED RECORD"),
+        lon=of("pad.longitude").try_cast("double"), lat=of("pad.latitude").try_cast("double"),
+        attributes=_facts(
+            status=of("status.name"), status_description=of("status.description"), time_precision=of("net_precision.name"), pad=of("pad.name"), provider=of("launch_service_provider.name"), mission=of("mission.name"),
+            upcoming=F.col("upcoming"), source_url=of("url"),
+        ),
     )
 
 
@@ -172,29 +244,41 @@ def satellites(spark: SparkSession, path: str) -> DataFrame:
     f = _json(spark, path, "satellites array<struct<id:string,name:string,jd:double,x:double,y:double,z:double,at:string>>").select(F.explode("satellites").alias("s")).select("s.*").where("x is not null")
     f = f.dropDuplicates(["id"]).withColumn("g", teme_to_geodetic(F.col("x"), F.col("y"), F.col("z"), F.col("jd")))
     return _event(
-        f, "satellites", record_id=F.col("id"), type=F.lit("satellite-position"), category=F.lit("space"), title=F.col("name"), start_time=iso_text(F.col("at")), evidence_type=F.lit("MODELLED"),
-        lon=F.col("g.lon"), lat=F.col("g.lat"), attributes=F.to_json(F.struct(F.col("g.alt_km").alias("altitude_km"))),
+        f, "satellites", record_id=F.col("id"), type=F.lit("satellite-position"), category=F.lit("SPACE"), title=F.concat(F.col("name"), F.lit(" (NORAD "), F.col("id"), F.lit(")")), start_time=iso_text(F.col("at"), True),
+        status=F.lit("computed"), evidence_type=F.lit("INFERRED"), lon=F.col("g.lon"), lat=F.col("g.lat"), attributes=_facts(norad_id=F.col("id"), altitude_km=F.round("g.alt_km", 1)),
     )
 
 
+def _csv(spark: SparkSession, path: str, *optional: str) -> DataFrame:
+    """A table of texts under its header; optional columns that it lacks are null."""
+    f = spark.read.csv(path, header=True, inferSchema=False)
+    return f.withColumns({c: F.lit(None).cast("string") for c in optional if c not in f.columns})
+
+
 @feed("fires")
 def fires(spark: SparkSession, path: str) -> DataFrame:
-    f = spark.read.csv(path, header=True, schema=None, inferSchema=False)
+    f = _csv(spark, path, "satellite", "instrument", "daynight", "confidence", "frp", "bright_ti4")
     clock = F.lpad("acq_time", 4, "0")
     start = F.concat(F.col("acq_date"), F.lit("T"), F.substring(clock, 1, 2), F.lit(":"), F.substring(clock, 3, 2), F.lit(":00Z"))
+    seen = F.concat(F.lit("Thermal anomaly ("), F.coalesce("instrument", F.lit("VIIRS")), F.lit(", "), F.when(F.col("daynight") == "D", "day").otherwise("night"), F.lit(")"))
     return _event(
-        f, "fires", record_id=F.concat_ws("-", "satellite", "acq_date", "acq_time", "latitude", "longitude"), type=F.lit("fire-detection"), category=F.lit("natural-hazard"), title=F.lit("Thermal anomaly"),
-        start_time=start, evidence_type=F.lit("OBSERVED"), lon=F.col("longitude").try_cast("double"), lat=F.col("latitude").try_cast("double"),
-        attributes=F.to_json(F.struct(_lookup(F.col("confidence"), {"l": "low", "n": "nominal", "h": "high"}).alias("confidence"), F.col("frp").try_cast("double").alias("frp"))),
+        f, "fires", record_id=F.concat_ws("-", "latitude", "longitude", "acq_date", clock, _said(F.col("satellite"))), type=F.lit("fire-detection"), category=F.lit("ENVIRONMENT"), title=seen,
+        start_time=iso_text(start), status=F.lit("detected"), lon=F.col("longitude").try_cast("double"), lat=F.col("latitude").try_cast("double"),
+        attributes=_facts(frp_mw=F.col("frp").try_cast("double"), source_confidence=_lookup(F.col("confidence"), CONFIDENCE, F.col("confidence")), satellite=F.col("satellite"), bright_ti4_k=F.col("bright_ti4")),
     )
 
 
 @feed("airports")
 def airports(spark: SparkSession, path: str) -> DataFrame:
-    f = spark.read.csv(path, header=True).where((F.col("iso_country") == "IN") & F.col("type").isin("large_airport", "medium_airport", "small_airport"))
+    """Of a world's table, one country's airports of three sizes."""
+    f = _csv(spark, path, "iata_code", "gps_code", "municipality", "iso_region", "scheduled_service", "elevation_ft")
+    f = f.where((F.col("iso_country") == "IN") & F.col("type").isin("large_airport", "medium_airport", "small_airport"))
     return _entity(
-        f, "airports", record_id=F.col("ident"), type=F.lit("airport"), category=F.lit("transport"), name=F.col("name"), lon=F.col("longitude_deg").try_cast("double"), lat=F.col("latitude_deg").try_cast("double"),
-        attributes=F.to_json(F.struct(F.col("type").alias("size"), F.nullif("iata_code", F.lit("")).alias("iata"), F.col("elevation_ft").try_cast("double").alias("elevation_ft"))),
+        f, "airports", record_id=F.col("ident"), type=F.lit("airport"), category=F.lit("AVIATION"), name=F.col("name"), lon=F.col("longitude_deg").try_cast("double"), lat=F.col("latitude_deg").try_cast("double"),
+        attributes=_facts(
+            airport_type=F.replace("type", F.lit("_"), F.lit(" ")), iata=_or(F.col("iata_code")), icao=_or(F.col("gps_code")), municipality=_or(F.col("municipality")), region=F.col("iso_region"),
+            scheduled_service=F.coalesce(F.col("scheduled_service") == "yes", F.lit(False)), elevation_ft=F.col("elevation_ft").try_cast("bigint"),
+        ),
     )
 
 
@@ -208,7 +292,7 @@ def power_plants(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c, name=None: F.col(c).try_cast("double").alias(name or c)
     facts = F.struct("primary_fuel", number("capacity_mw"), number("commissioning_year"), "owner", number("year_of_capacity_data", "capacity_data_year"), "geolocation_source", F.col("source").alias("original_source"))
     return _entity(
-        f, "power-plants", record_id=F.col("gppd_idnr"), type=F.lit("power-plant"), category=F.lit("infrastructure"), name=F.col("name"), lon=F.col("longitude").try_cast("double"), lat=F.col("latitude").try_cast("double"),
+        f, "power-plants", record_id=F.col("gppd_idnr"), type=F.lit("power-plant"), category=F.lit("INFRASTRUCTURE"), name=F.col("name"), lon=F.col("longitude").try_cast("double"), lat=F.col("latitude").try_cast("double"),
         attributes=F.to_json(facts),
     )
 
@@ -224,7 +308,7 @@ def ports(spark: SparkSession, path: str) -> DataFrame:
     name = F.coalesce(of("name"), F.concat(F.lit("Unnamed port "), number))
     at = F.from_json("geometry", "coordinates array<double>")["coordinates"]
     return _entity(
-        f, "ports", record_id=F.concat_ws("-", name, number), type=F.lit("port"), category=F.lit("maritime"), name=name, lon=F.get(at, 0), lat=F.get(at, 1),
+        f, "ports", record_id=F.concat_ws("-", name, number), type=F.lit("port"), category=F.lit("MARITIME"), name=name, lon=F.get(at, 0), lat=F.get(at, 1),
         attributes=F.to_json(F.struct(of("website").alias("website"), of("scalerank").try_cast("double").alias("scale_rank"))),
     )
 

@@ -105,3 +105,20 @@ def test_rasters(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x.gpkg") as db:
         assert db.execute("select min_x, max_y from gpkg_contents where table_name = 'events'").fetchone() == (1.0, 2.0)
         assert db.execute("select count(*) from events where geom is not null").fetchone() == (1,)
+
+
+def test_rounding_of_exact_doubles(spark):
+    from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+    import random
+
+    rnd = random.Random(4)
+    values = [0.15, 1.65, 1.95, 0.25, 0.35, 2.5, 0.05, 0.0, 1e9 + 0.05, *[rnd.randrange(10**6) / rnd.choice([20, 200, 1000, 7]) for _ in range(3000)]]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = frame.select("v", *[text.fixed(F.col("v"), d, e).alias(f"f{d}{e}") for d in (0, 1, 2) for e in (False, True)]).collect()
+    for r in got:
+        for d in (0, 1, 2):
+            for e in (False, True):
+                want = Decimal(r.v).quantize(Decimal(1).scaleb(-d), ROUND_HALF_EVEN if e else ROUND_HALF_UP)
+                assert r[f"f{d}{e}"] == str(want), (r.v, d, e)
+    sizes = spark.range(1).select(text.human_area(F.lit(1500.0)).alias("a"), text.human_distance(F.lit(1650.0)).alias("b"), text.human_distance(F.lit(1950.0)).alias("c")).first()
+    assert tuple(sizes) == ("0.1 ha", "1.6 km", "1.9 km")

@@ -17,24 +17,71 @@ def write(tmp_path, name, value):
     return str(p)
 
 
-def test_feeds(spark, tmp_path):
-    quakes = {"features": [{"id": "q1", "geometry": {"coordinates": [77.0, 28.0, 10.0]}, "properties": {"mag": 5.1, "place": "here", "time": 1767225600000, "status": "reviewed", "magType": "mb"}}]}
-    r = feeds.read(spark, "earthquakes", write(tmp_path, "q.json", quakes)).first()
-    assert (r.record_id, r.start_time, r.evidence_type, r.lon, json.loads(r.attributes)["magnitude"]) == ("q1", "2026-01-01T00:00:00Z", "OBSERVED", 77.0, 5.1)
-    natural = {"events": [{"id": "n", "title": "Fire", "closed": None, "categories": [{"id": "wildfires"}], "sources": [{"id": "S", "url": ""}], "geometry": [{"date": "2026-01-01T00:00:00Z", "coordinates": [1.0, 2.0]}, {"date": "2026-01-02T00:00:00Z", "coordinates": [3.0, 4.0]}]}, {"id": "e", "title": "x", "geometry": []}]}
-    r = feeds.read(spark, "natural-events", write(tmp_path, "n.json", natural)).collect()
-    assert [(x.type, x.lon, x.start_time, x.status) for x in r] == [("wildfire", 3.0, "2026-01-01T00:00:00Z", "open")]
-    planes = {"time": 5, "states": [["a1", " X ", "IN", 0, 100, 77.0, 28.0, 1.0, False, 2.0, 90.0, None, None, None, None, None, None], ["b", "Y", "IN", 5, 100, None, None, None, None, None, None, None, None, None, None, None, None]]}
-    r = feeds.read(spark, "aircraft", write(tmp_path, "p.json", planes)).collect()
-    assert [(x.record_id, x.title, x.start_time) for x in r] == [("a1", "X", "1970-01-01T00:01:40Z")]
-    r = feeds.read(spark, "outages", write(tmp_path, "o.json", {"data": [{"datasource": "d", "start": 0, "duration": 60, "method": "m", "score": 1.0}]})).first()
-    assert (r.end_time, r.scope, r.lon) == ("1970-01-01T00:01:00Z", "national", None)
-    for k, kp in enumerate(([["time_tag", "Kp"], ["2026-01-01 00:00:00", "5.33"]], [{"time_tag": "2026-01-01T00:00:00", "Kp": 5.33}])):
+def facts(row):
+    return json.loads(row.attributes)
+
+
+def test_feed_of_earthquakes(spark, tmp_path):
+    one = lambda i, status, **p: {"id": i, "geometry": {"coordinates": [77.0, 28.0, 10.0]}, "properties": {"mag": 5.0, "time": 1767225600000, "status": status, "magType": "mb", "tsunami": 0, "url": "u", **p}}
+    quakes = {"features": [one("q1", "reviewed", place="here"), one("q2", "automatic", mag=4, place=None)]}
+    a, b = feeds.read(spark, "earthquakes", write(tmp_path, "q.json", quakes)).orderBy("record_id").collect()
+    assert (a.title, a.start_time, a.evidence_type, a.category, a.lon) == ("M5.0 earthquake - here", "2026-01-01T00:00:00Z", "VERIFIED RECORD", "DISASTERS", 77.0)
+    assert facts(a) == {"magnitude": 5.0, "magnitude_type": "mb", "depth_km": 10.0, "tsunami_flag": 0, "alert": None, "source_url": "u"}
+    assert (b.title, b.evidence_type, b.status) == ("M4 earthquake - location text not given", "OBSERVED", "automatic")
+
+
+def test_feed_of_natural_events(spark, tmp_path):
+    fire = [{"date": "2026-01-01T00:00:00Z", "type": "Point", "coordinates": [1.0, 2.0]}, {"date": "2026-01-02T00:00:00Z", "type": "Point", "coordinates": [3, 4.5], "magnitudeValue": 9.5, "magnitudeUnit": "acres"}]
+    area = [{"date": "2026-01-03", "type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 2], [0, 0]]]}]
+    natural = {"events": [
+        {"id": "n", "title": "Fire", "closed": None, "categories": [{"id": "wildfires"}], "sources": [{"id": "S", "url": ""}], "geometry": fire, "link": "l"},
+        {"id": "p", "title": "Ice", "closed": "2026-02-01T00:00:00Z", "categories": [{"id": "unheard"}], "geometry": area}, {"id": "e", "title": "x", "geometry": []},
+    ]}
+    a, b = feeds.read(spark, "natural-events", write(tmp_path, "n.json", natural)).orderBy("record_id").collect()
+    assert (a.type, a.category, a.lon, a.lat, a.start_time, a.status, a.end_time) == ("wildfire", "ENVIRONMENT", 3.0, 4.5, "2026-01-01T00:00:00Z", "open", None)
+    assert facts(a) == {"eonet_category": "wildfires", "magnitude": 9.5, "magnitude_unit": "acres", "geometry_count": 2, "upstream_sources": ["S"], "source_url": "l"}
+    assert (b.type, b.category, b.lon, b.lat, b.start_time, b.status, b.end_time) == ("natural-event", "DISASTERS", 2.0, 1.0, "2026-01-03T00:00:00Z", "closed", "2026-02-01T00:00:00Z")
+    assert facts(b)["upstream_sources"] == []
+
+
+def test_feed_of_disaster_alerts(spark, tmp_path):
+    properties = {"eventtype": "TC", "eventid": 7, "name": "", "description": "Storm", "alertlevel": "Red", "alertscore": 2.5, "fromdate": "2026-01-01T01:00:00", "todate": "2026-01-02T01:00:00", "iscurrent": "true", "url": {"report": "r"}}
+    r = feeds.read(spark, "disaster-alerts", write(tmp_path, "d.json", {"features": [{"geometry": {"type": "Point", "coordinates": [80, 20]}, "properties": properties}]})).first()
+    assert (r.record_id, r.type, r.category, r.title, r.start_time, r.end_time, r.status, r.evidence_type, r.lon) == ("TC-7-None", "cyclone", "WEATHER", "Storm", "2026-01-01T01:00:00Z", "2026-01-02T01:00:00Z", "current", "INFERRED", 80.0)
+    assert facts(r) == {"alert_level": "Red", "alert_score": 2.5, "country": None, "upstream_source": None, "source_url": "r"}
+
+
+def test_feed_of_aircraft(spark, tmp_path):
+    rest = [None] * 5
+    planes = {"time": 5, "states": [["a1", " X ", "IN", 0, 100, 77.0, 28.0, 1.0, False, 2.0, 90.0, 0.5, *rest], ["a2", "  ", "IN", 50, 100, 77.0, 28.0, None, True, 2.0, 90.0, None, *rest], ["b", "Y", "IN", 5, 100, None, None, None, None, None, None, None, *rest]]}
+    a, b = feeds.read(spark, "aircraft", write(tmp_path, "p.json", planes)).orderBy("record_id").collect()
+    assert (a.title, a.start_time, a.status, a.category, a.evidence_type) == ("Aircraft X", "1970-01-01T00:01:40Z", "airborne", "AVIATION", "OBSERVED")
+    assert facts(a) == {"icao24": "a1", "callsign": "X", "origin_country": "IN", "baro_altitude_m": 1.0, "velocity_m_s": 2.0, "track_deg": 90.0, "vertical_rate_m_s": 0.5}
+    assert (b.title, b.start_time, b.status, facts(b)["callsign"]) == ("Aircraft a2", "1970-01-01T00:00:50Z", "on-ground", None)
+
+
+def test_feed_of_weather(spark, tmp_path):
+    city = {"name": "Pune", "state": "MH", "coordinates": [73.8, 18.5]}
+    told = {"current": {"time": "2026-01-01T05:15", "temperature_2m": 21.4, "wind_speed_10m": 7}, "current_units": {"temperature_2m": "°C", "wind_speed_10m": "km/h"}}
+    r = feeds.read(spark, "weather", write(tmp_path, "w.json", {"cities": [city, city], "response": [told]})).collect()
+    assert [(x.record_id, x.title, x.start_time, x.status, x.evidence_type, x.lat) for x in r] == [("Pune-2026-01-01T05:15", "Pune: 21.4°C, wind 7 km/h", "2026-01-01T05:15:00Z", "model-analysis", "INFERRED", 18.5)]
+    assert facts(r[0])["state"] == "MH" and facts(r[0])["temperature_2m"] == 21.4 and facts(r[0])["units"]["wind_speed_10m"] == "km/h"
+
+
+def test_feeds_of_signals_launches_and_fires(spark, tmp_path):
+    r = feeds.read(spark, "outages", write(tmp_path, "o.json", {"data": [{"datasource": "gtr", "start": 60, "duration": 60, "method": "m", "score": 1.0}]})).first()
+    assert (r.record_id, r.title, r.end_time, r.scope, r.lon, r.status, r.evidence_type) == ("gtr-60", "Internet outage signal in India (Google Transparency Report traffic)", "1970-01-01T00:02:00Z", "national", None, "detected", "INFERRED")
+    for k, kp in enumerate(([["station_count", "Kp", "time_tag"], ["8", "5.33", "2026-01-01 00:00:00"]], [{"time_tag": "2026-01-01T00:00:00", "Kp": 5.33, "station_count": 8}])):
         r = feeds.read(spark, "kp-index", write(tmp_path, f"k{k}.json", kp)).collect()
-        assert [(x.status, x.start_time, x.scope) for x in r] == [("storm", "2026-01-01T00:00:00Z", "global")]
-    fires = "latitude,longitude,acq_date,acq_time,satellite,confidence,frp\n20.1,80.2,2026-01-01,5,N,h,3.5\n"
+        assert [(x.title, x.status, x.start_time, x.scope, facts(x)["station_count"]) for x in r] == [("Planetary Kp 5.33 (storm level)", "observed", "2026-01-01T00:00:00Z", "global", "8")]
+    launch = {"id": "l", "name": "PSLV", "net": "2026-03-01T00:00:00Z", "status": {"name": "Go for Launch", "abbrev": "Go"}, "net_precision": {"name": "Month"}, "pad": {"name": "FLP", "longitude": "80.2", "latitude": 13.7}}
+    nowhere = {"id": "x", "name": "x", "pad": {"name": "y", "longitude": None, "latitude": None}}
+    r = feeds.read(spark, "launches", write(tmp_path, "l.json", {"upcoming": {"results": [launch]}, "previous": {"results": [nowhere]}})).collect()
+    assert [(x.record_id, x.status, x.evidence_type, x.lat, facts(x)["time_precision"], facts(x)["upcoming"]) for x in r] == [("l", "Go", "VERIFIED RECORD", 13.7, "Month", True)]
+    fires = "latitude,longitude,acq_date,acq_time,satellite,instrument,confidence,frp,daynight\n20.1,80.2,2026-01-01,5,N,VIIRS,h,3.5,N\n"
     r = feeds.read(spark, "fires", write(tmp_path, "f.csv", fires)).first()
-    assert (r.start_time, json.loads(r.attributes)["confidence"]) == ("2026-01-01T00:05:00Z", "high")
+    assert (r.record_id, r.title, r.start_time, r.status) == ("20.1-80.2-2026-01-01-0005-N", "Thermal anomaly (VIIRS, night)", "2026-01-01T00:05:00Z", "detected")
+    assert facts(r) == {"frp_mw": 3.5, "source_confidence": "high", "satellite": "N", "bright_ti4_k": None}
     with pytest.raises(ValueError, match="no adapter"):
         feeds.read(spark, "nothing", "")
 
