@@ -37,7 +37,7 @@ from orrery.llm.shingles import mixed
 
 LONGEST, LEAST, TOP, COVERED, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Words that a task holds before it counts them.
-SPAN = 4_000_000
+SPAN = 1_500_000
 #: Bits of the filter for each phrase; 64-bit words of it at most.
 BITS, MOST_WORDS = 16, 1 << 21
 #: Phrases of a range of an order.
@@ -132,10 +132,11 @@ def _counts(docs: DataFrame, order: int, blooms: list[np.ndarray]) -> DataFrame:
         for lang, words in held.items():
             columns, counts = phrases(words, lang, order, given.value)
             names = pa.array(list(words.numbers), pa.binary())
-            text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in columns], b" ") if order > 1 else names.take(pa.array(columns[0]))
             for at in range(0, len(counts), 20_000):
                 n = pa.array(counts[at : at + 20_000], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), text[at : at + 20_000].cast(pa.string()), n], names=["lang", "phrase", "n"])
+                each = [names.take(pa.array(c[at : at + 20_000])) for c in columns]
+                text = pc.binary_join_element_wise(*each, b" ") if order > 1 else each[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), text.cast(pa.string()), n], names=["lang", "phrase", "n"])
             if order == 1:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(counts.sum())], pa.int64())], names=["lang", "phrase", "n"])
         held.clear()
