@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector
+from orrery.operators import kmeans
 from orrery.operators.vectors import assigned, nearest_rows, radii
 from orrery.staging import staged
 
 #: Restarts by seed, rounds, and factors of sqrt(n / 2) that k is chosen from.
-SEEDS, ROUNDS, FACTORS = range(5), 100, (0.25, 0.5, 0.75, 1.0)
+SEEDS, ROUNDS, FACTORS = range(5), 100, (0.25, 0.35, 0.5, 0.7, 1.0)
+#: Members of a family up to which one task clusters it, as passes of jobs would take longer: measured, some 20 s either way.
+PLAIN = 20_000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -55,10 +59,15 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
+def candidate_ks(n: int) -> list[int]:
+    """What k may be for n members."""
+    return sorted({k for f in FACTORS if (k := max(2, round((n / 2) ** 0.5 * f))) < n})
+
+
 def chosen(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, float]:
     """k, labels, centroids and silhouette of the best k among the candidates."""
     n = len(x)
-    ks = sorted({k for f in FACTORS if (k := max(2, round((n / 2) ** 0.5 * f))) < n})
+    ks = candidate_ks(n)
     best: tuple[float, int, np.ndarray, np.ndarray] | None = None
     for k in ks:
         labels, centres, _ = max((spherical_kmeans(x, k, s) for s in SEEDS), key=lambda r: r[2])
@@ -71,13 +80,31 @@ def chosen(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, float]:
     return best[1], best[2], best[3], best[0]
 
 
-def built(rows: DataFrame, family: str = "family", key: str = "id", column: str = "embedding") -> DataFrame:
+def built(rows: DataFrame, family: str = "family", key: str = "id", column: str = "embedding", plain: int = PLAIN) -> DataFrame:
     """family, id, cluster (1 is the largest, ties by first member), sim to its centroid and silhouette.
 
-    A family is one Python group, as its clustering is a loop over all its members; for families beyond
-    a worker, ``scaled`` uses the distributed k-means instead.
+    Families of up to plain members are a Python group each; larger ones are dealt over all tasks and
+    clustered in passes (``kmeans.fitted``). Families, which are sizes of chips, are few.
     """
-
+    sizes = {r[family]: r["n"] for r in rows.groupBy(family).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    large = {f: candidate_ks(n) or [1] for f, n in sizes.items() if n > plain}
+    found = None
+    if len(large) < len(sizes) or not sizes:
+        small = rows.where(~F.col(family).isin(*large)) if large else rows
+        found = small.select(family, key, column).groupBy(family).applyInPandas(_plain(family, key, column), f"{family} {kinds[family]}, {key} {kinds[key]}, cluster int, sim double, silhouette double")
+    if large:
+        labelled, chosen_ = kmeans.fitted(rows.where(F.col(family).isin(*large)), large, SEEDS, ROUNDS, family, key, column)
+        size = labelled.groupBy(family, "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+        number = F.row_number().over(Window.partitionBy(family).orderBy(F.desc("n"), "first")).alias("number")
+        score = F.create_map(*[x for f, (_, s) in chosen_.items() for x in (F.lit(f), F.lit(s))])
+        spread = labelled.join(F.broadcast(size.select(family, "cluster", number)), [family, "cluster"])  # as many as there are centres
+        spread = spread.select(family, key, F.col("number").cast("int").alias("cluster"), "sim", score[F.col(family)].alias("silhouette"))
+        found = spread if found is None else found.unionByName(spread)
+    return found
+
+
+def _plain(family: str, key: str, column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         x = np.array(frame[column].tolist(), float)
@@ -86,18 +113,7 @@ def built(rows: DataFrame, family: str = "family", key: str = "id", column: str
         number = {c: i for i, c in enumerate(sorted(size, key=size.get), 1)}
         return pd.DataFrame({family: frame[family], key: frame[key], "cluster": [number[c] for c in labels], "sim": (x * centres[labels]).sum(1), "silhouette": s})
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(family, key, column).groupBy(family).applyInPandas(fit, f"{family} {kinds[family]}, {key} {kinds[key]}, cluster int, sim double, silhouette double")
-
-
-def scaled(rows: DataFrame, k: int, column: str = "embedding", seed: int = 0) -> DataFrame:
-    """Clusters of one large family by the distributed k-means on cosine distance."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.withColumn("features__", array_to_vector(vector.doubles(F.col(column))))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features__", predictionCol="cluster").fit(data)
-    return model.transform(data).drop("features__")
+    return fit
 
 
 def representatives(members: DataFrame, family: list[str], place: list[str], most: int = 3, key: str = "id") -> DataFrame:
@@ -130,13 +146,13 @@ def by_place(members: DataFrame, by: list[str], place: list[str], key: str = "id
     return members.groupBy(*by, *place).agg(F.count(F.lit(1)).alias("n"), best.alias("best"), F.min("acquired_at").alias("first_date"), F.max("acquired_at").alias("last_date"))
 
 
-def version(rows: DataFrame, number: int, family: str = "family", key: str = "id", column: str = "embedding") -> tuple[str, DataFrame, DataFrame]:
+def version(rows: DataFrame, number: int, family: str = "family", key: str = "id", column: str = "embedding", plain: int = PLAIN) -> tuple[str, DataFrame, DataFrame]:
     """A new clustering version: its id, its members, and its clusters with centroid, radius and size.
 
     The id holds the version's number and the digest of the input, so the same input is known again.
     """
     name = f"v{number:03d}-{fingerprint(rows, key, column)[:8]}"
-    members = staged(built(rows, family, key, column).withColumn("version", F.lit(name)), "members")
+    members = staged(built(rows, family, key, column, plain).withColumn("version", F.lit(name)), "members")
     own = members.join(rows.select(family, key, column), [family, key])
     means = vector.element_means(own, [family, "cluster"], column).select(family, "cluster", vector.unit(F.col("mean")).alias("centroid"))
     found = radii(members, [family]).join(members.groupBy(family, "cluster").agg(F.count(F.lit(1)).alias("size")), [family, "cluster"]).join(means, [family, "cluster"])

@@ -89,9 +89,9 @@ def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clustering version with its k chosen by silhouette; iterative, so without SQL."""
+    """Clusters of all vectors in passes over all tasks, k chosen by silhouette; iterative, so without SQL."""
     e = table(spark, sf_dir, "embeddings").select(F.lit(64).alias("family"), F.col("vec_id").alias("id"), "embedding")
-    return clusters.built(e).select("family", "id", "cluster", F.round("sim", 4).alias("sim"), F.round("silhouette", 4).alias("silhouette"))
+    return clusters.built(e, plain=0).select("family", "id", "cluster", F.round("sim", 4).alias("sim"), F.round("silhouette", 4).alias("silhouette"))
 
 
 @query("""WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part),
