@@ -1,8 +1,8 @@
 """The change engine: looks -> yearly composites -> lasting transitions -> groups -> gates -> candidates.
 
 ``candidates`` runs it whole. Every step is a DataFrame operation keyed by area and tile, so an area of
-any number of tiles is spread over the cluster; only the growth of groups, whose outcome depends on the
-order of seeds, runs in Python, for one area and one kind of change at a time.
+any number of tiles is spread over the cluster; the growth of groups, whose outcome depends on the order of
+seeds, runs in Python, for a bounded number of tiles at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import grid
 from orrery.operators.governance import candidate_id
 from orrery.staging import staged
 
@@ -26,6 +27,8 @@ OPEN_LAND = ("built", "soil")
 #: Years in which a score's persistence is full, and the rises of share and falls of colour ratio at which its magnitude is.
 FULL_YEARS, FULL_SHARE, FULL_COLOUR = 3, 0.6, 0.5
 KEYS = ("tile_id",)
+#: Tiles of one kind of change whose groups one task may find.
+GROUP_TILES = 50_000
 
 
 def red_blue_ratio(red: Column, blue: Column) -> Column:
@@ -168,34 +171,114 @@ def refined(looks: DataFrame, found: DataFrame, keys: Iterable[str] = KEYS, mont
     return found.join(dates.select(*keys, "last_clean_before", F.array_min(later).alias("earliest_after")), keys, "left")
 
 
-def grouped(tiles: DataFrame) -> DataFrame:
+GROUPED = "aoi string, tile_id string, row int, col int, from_class string, to_class string, year int, seed string"
+KIND = ["aoi", "from_class", "to_class"]
+
+
+def _grown(frame: pd.DataFrame) -> pd.DataFrame:
+    """frame with seeds. Rows that have one already are reached from it: their group goes on growing from there."""
+    sources: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+    at, years, open_ = {}, {}, []
+    for r in frame.itertuples(index=False):
+        if r.seed is None:
+            at[r.row, r.col] = r.tile_id
+            years[r.tile_id] = r.year
+            open_.append(r)
+            sources[r.tile_id] = (r.year, [(r.row, r.col)])
+    for r in frame.itertuples(index=False):
+        if r.seed is not None:
+            sources.setdefault(r.seed, (r.year, []))[1].append((r.row, r.col))
+    seed_of: dict[str, str] = {}
+    for seed in sorted(sources):
+        year, front = sources[seed]
+        takes = lambda t: t is not None and t not in seed_of and abs(years[t] - year) <= GROUP_YEARS  # noqa: E731,B023
+        front = [p for p in front if takes(at.get(p))]
+        seed_of |= dict.fromkeys((at[p] for p in front), seed)
+        while front:
+            row, col = front.pop()
+            for dr in (-1, 0, 1):
+                for dc in (-1, 0, 1):
+                    near = at.get((row + dr, col + dc))
+                    if takes(near):
+                        seed_of[near] = seed
+                        front.append((row + dr, col + dc))
+    out = pd.DataFrame(open_, columns=frame.columns)
+    return out.assign(seed=[seed_of[t] for t in out["tile_id"]])[[f.split()[0] for f in GROUPED.split(", ")]]
+
+
+def grouped(tiles: DataFrame, most: int = GROUP_TILES, block: int | None = None) -> DataFrame:
     """aoi, tile_id, row, col, from_class, to_class, year and the group they fall in, named by its seed.
 
     Groups grow from seeds in the order of their ids as text, over the eight neighbours, and a member
-    must have the seed's classes and a year within GROUP_YEARS of the seed's: the order decides. Kinds of
-    change never mix, so the changed tiles of one kind in one area are one Python group.
+    must have the seed's classes and a year within GROUP_YEARS of the seed's: the order decides. Tiles of
+    other kinds, areas or places that do not touch never meet, so up to most tiles of one kind, and then
+    up to most that touch each other, are one task; what is larger is decided in rounds (``_in_rounds``).
     """
-    schema = "aoi string, tile_id string, row int, col int, from_class string, to_class string, year int, seed string"
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        at = {(r.row, r.col): r for r in frame.itertuples(index=False)}
-        seed_of: dict[str, str] = {}
-        for seed in sorted(at.values(), key=lambda r: r.tile_id):
-            if seed.tile_id in seed_of:
-                continue
-            seed_of[seed.tile_id] = seed.tile_id
-            front = [seed]
-            while front:
-                here = front.pop()
-                for dr in (-1, 0, 1):
-                    for dc in (-1, 0, 1):
-                        near = at.get((here.row + dr, here.col + dc))
-                        if near is not None and near.tile_id not in seed_of and abs(near.year - seed.year) <= GROUP_YEARS:
-                            seed_of[near.tile_id] = seed.tile_id
-                            front.append(near)
-        return frame.assign(seed=frame["tile_id"].map(seed_of))
-
-    return tiles.select("aoi", "tile_id", "row", "col", "from_class", "to_class", "year").groupBy("aoi", "from_class", "to_class").applyInPandas(grow, schema)
+    given = tiles.select("aoi", "tile_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "from_class", "to_class", F.col("year").cast("int").alias("year"))
+    blank = F.lit(None).cast("string").alias("seed")
+    grow = lambda df, by: df.groupBy(*by).applyInPandas(_grown, GROUPED)
+    few = given.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*KIND)
+    if not few.limit(1).count():
+        return grow(given.select("*", blank), KIND)
+    given = staged(given, "tiles")
+    touching = staged(grid.labelled(given.join(few, KIND, "left_semi"), KIND, block), "touching")
+    large = staged(touching.groupBy(*KIND, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*KIND, "component"), "large")
+    found = grow(given.join(few, KIND, "left_anti").select("*", blank), KIND).unionByName(grow(touching.join(large, [*KIND, "component"], "left_anti").select("*", blank), [*KIND, "component"]))
+    if not large.limit(1).count():
+        return found
+    return found.unionByName(_in_rounds(touching.join(large, [*KIND, "component"], "left_semi").drop("component"), most, block))
+
+
+def _in_rounds(tiles: DataFrame, most: int, block: int | None) -> DataFrame:
+    """Seeds of tiles of which more touch than one task may hold.
+
+    In a round, a source is an undecided tile, or a seed whose group may still grow. A tile's least source
+    is the first, in the order of seeds, that reaches it over undecided tiles that it could take: in the
+    layer of a year, whose tiles are those within GROUP_YEARS of it, the tiles that reach each other have
+    one. A tile that no other source comes before is a seed; it takes the tiles that it reaches over tiles
+    of which it is the least source, as nobody before it can. At least the first source of every part
+    takes all that it reaches, so rounds end; parts that have become small enough end in one task each.
+    """
+    columns = ["aoi", "tile_id", "row", "col", "from_class", "to_class", "year"]
+    undecided, results = staged(tiles.select(*columns), "undecided"), []
+    borders: DataFrame | None = None  # places of undecided tiles next to decided ones, with their seeds and the seeds' years
+    while True:
+        parts = staged(grid.labelled(undecided, KIND, block), "parts")
+        large = staged(parts.groupBy(*KIND, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*KIND, "component"), "large")
+        small = parts.join(large, [*KIND, "component"], "left_anti").withColumn("seed", F.lit(None).cast("string"))
+        if borders is not None:
+            reached = parts.select(*KIND, "component", "row", "col").join(borders, [*KIND, "row", "col"])
+            about = reached.join(large, [*KIND, "component"], "left_anti").withColumn("tile_id", F.lit(None).cast("string"))
+            small = small.unionByName(about.select(small.columns))
+        results.append(staged(small.groupBy(*KIND, "component").applyInPandas(_grown, GROUPED), "decided"))
+        undecided = staged(parts.join(large, [*KIND, "component"], "left_semi").drop("component"), "undecided")
+        if not undecided.limit(1).count():
+            break
+        layers = undecided.withColumn("layer", F.explode(F.sequence(F.col("year") - GROUP_YEARS, F.col("year") + GROUP_YEARS)))
+        if borders is None:
+            layers = layers.withColumn("near", F.lit(None).cast("string"))
+        else:
+            near = borders.groupBy(*KIND, "row", "col", F.col("year").alias("layer")).agg(F.min("seed").alias("near"))
+            layers = layers.join(near, [*KIND, "row", "col", "layer"], "left")
+        layers = staged(grid.labelled(layers, [*KIND, "layer"], block), "layers")
+        own = F.when(F.col("layer") == F.col("year"), F.col("tile_id"))
+        first = layers.groupBy(*KIND, "layer", "component").agg(F.min(F.least(own, "near")).alias("first"))
+        known = layers.join(first, [*KIND, "layer", "component"])
+        touched = (F.col("near") == F.col("first")) | (F.col("tile_id") == F.col("first"))
+        least = known.groupBy(*columns).agg(F.min(F.struct("first", F.when(touched, 0).otherwise(1).alias("far"), F.col("layer").alias("seed_year"))).alias("least"))
+        least = grid.labelled(staged(least.select(*columns, "least.*"), "least"), [*KIND, "first"], block)
+        takes = staged(least, "taking")
+        taken = takes.groupBy(*KIND, "first", "component").agg(F.min("far").alias("far")).where("far = 0").drop("far")
+        decided = staged(takes.join(taken, [*KIND, "first", "component"], "left_semi").select(*columns, F.col("first").alias("seed"), "seed_year"), "decided")
+        results.append(decided.drop("seed_year"))
+        undecided = staged(undecided.join(decided.select(*KIND, "row", "col"), [*KIND, "row", "col"], "left_anti"), "undecided")
+        beside = grid.neighbours(decided.select(*KIND, "row", "col", "seed", F.col("seed_year").alias("year"))).select(*KIND, F.col("near_row").alias("row"), F.col("near_col").alias("col"), "seed", "year").distinct()
+        beside = beside if borders is None else beside.union(borders.select(beside.columns))
+        borders = staged(beside.join(undecided.select(*KIND, "row", "col"), [*KIND, "row", "col"], "left_semi").distinct(), "borders")
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def elongated(rows: Column, cols: Column, tiles: Column) -> Column:

@@ -12,9 +12,10 @@ from orrery.queries.base import query, table
 
 @query()
 def seed_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles grouped from seeds over their neighbours; the order of seeds decides, which SQL has no word for."""
-    k = F.col("s_suppkey")
-    tiles = table(spark, sf_dir, "supplier").select(F.lit("aoi").alias("aoi"), (k * 31 % 13).cast("int").alias("row"), (k * 17 % 11).cast("int").alias("col"), F.lit("open").alias("from_class"), F.when(k % 5 < 4, "water").otherwise("vegetation").alias("to_class"), (2018 + k % 3).cast("int").alias("year"))
+    """Tiles of many areas grouped from seeds over their neighbours; the order of seeds decides, which SQL has no word for."""
+    k = F.col("o_orderkey")
+    aoi = F.concat(F.lit("a"), F.expr("cast(o_orderkey div 4000 as string)"))
+    tiles = table(spark, sf_dir, "orders").select(aoi.alias("aoi"), (k * 31 % 61).cast("int").alias("row"), (k * 17 % 53).cast("int").alias("col"), F.lit("open").alias("from_class"), F.when(k % 5 < 4, "water").otherwise("vegetation").alias("to_class"), F.year("o_orderdate").alias("year"))
     tiles = tiles.groupBy("aoi", "row", "col").agg(F.first("from_class").alias("from_class"), F.max("to_class").alias("to_class"), F.max("year").alias("year"))
     return change.grouped(tiles.withColumn("tile_id", F.concat_ws(":", "aoi", "row", "col")))
 
