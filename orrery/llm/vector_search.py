@@ -12,8 +12,9 @@ A vector moves once; a query moves once for each shard, of which there is one fo
 vectors. Equal rows (id and vector) are one row with a number of copies from the start.
 
 Defined results: a vector that is null, or holds a null or a component that is not finite, takes no
-part, as query or as candidate; a shorter vector is filled up with zeros; an empty one scores 0; a null id
-takes no part; of repeated rows each asks and each is a candidate of the others, whether only the id or
+part, as query or as candidate; a shorter vector is filled up with zeros; an empty one scores 0; a row
+without an id is a candidate, named by null, behind equal scores with one (in the query it asks nothing, as
+no number divides it; an id of 2^63 - 1 cannot be told from none); other columns are not read; of repeated rows each asks and each is a candidate of the others, whether only the id or
 the whole row repeats; fewer than k candidates are returned all; an empty table gives no rows. Scores are
 exact in whole numbers of any size; one beyond a long is given as the nearest long, and those are told
 apart by their first 53 bits.
@@ -121,9 +122,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     once = lambda df: df.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     shards = max(1, -(-size["n"] * 8 * max(1, size["width"] or 0) // SHARD_BYTES))
-    key = F.xxhash64("vec_id", "vector").alias("key")
-    held = once(vectors).select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", key, "vector", "copies")
-    asked = once(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", key, "vector", "copies")
+    key, name = F.xxhash64("vec_id", "vector").alias("key"), F.coalesce("vec_id", F.lit(LONG[1])).alias("vec_id")
+    held = once(vectors).select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), name, key, "vector", "copies")
+    asked = once(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), name, key, "vector", "copies")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, cells = None, [], None
@@ -153,12 +154,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("high"), F.desc("score"), "vec_id")
     ranked = streams.mapInArrow(tidy(search), OUT).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     each = ranked.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
-    return each.select("query_id", "rank", "vec_id", "score")
+    named = lambda c: F.nullif(c, F.lit(LONG[1])).alias(c)
+    return each.select(named("query_id"), "rank", named("vec_id"), "score")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all vectors for every hundredth."""
-    vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
+    vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").alias("vector"))
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
@@ -167,10 +169,10 @@ def oracle_sql() -> str:
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % {EVERY} = 0)
+  FROM v AS q JOIN v ON q.vec_id IS DISTINCT FROM v.vec_id WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= {TOP}
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= {TOP}
 """

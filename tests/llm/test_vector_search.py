@@ -26,7 +26,7 @@ def brute(rows, asking, k=10):
 
 def table(spark, rows, more=()):
     df = spark.createDataFrame([(*r, "x") for r in [*rows, *more]], "vec_id bigint, embedding array<double>, rank string")
-    return df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
+    return df.where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").alias("vector"))
 
 
 def test_as_brute_force(spark, monkeypatch):
@@ -34,7 +34,7 @@ def test_as_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     rows = [(i, [float(np.float32(rnd.gauss(0, 1))) for _ in range(6)]) for i in range(500)]
     rows += [(1000 + i, [0.5, -0.25, 0.0, 1.0, 0.0, 2.0]) for i in range(60)] + [(2000, []), (2001, [1.5])]
-    odd = [(3000, None), (3001, [math.nan] * 6), (3002, [1.0, None]), (3003, [math.inf]), (None, [1.0] * 6)]
+    odd = [(3000, None), (3001, [math.nan] * 6), (3002, [1.0, None]), (3003, [math.inf])]
     vectors = table(spark, rows, odd)
     got = sorted(map(tuple, top_k(vectors, vectors.where("vec_id % 10 = 0")).collect()))
     assert got == brute(rows, lambda i: i % 10 == 0)
@@ -86,3 +86,11 @@ def test_reads_few_exact_vectors():
         want = sorted(((-int(v[j] @ v[i]), j) for j in ids if j != i))[:10]
         assert [(-s, r) for r, s in zip(rows, scores, strict=True)] == want
     assert Seen.read < 20 * 500
+
+
+def test_rows_without_an_id_are_candidates(spark):
+    rows = [(100, [1.0, 0.0], 0), (None, [5.0, 0.0], 1), (None, [2.0, 1.0], 2), (7, [2.0, 1.0], 3), (8, [-1.0, 0.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<double>, score int")
+    got = top_k(df, df.where("vec_id % 100 = 0")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(100, None, 5 << 20), (100, 7, 2 << 20), (100, None, 2 << 20), (100, 8, -(1 << 20))]
+    assert top_k(df, df.where("vec_id is null"), 1).where("query_id is null").count() == 2
