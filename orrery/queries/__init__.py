@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.queries import analytics, changes, feed_queries, observations, rules  # noqa: F401
+from orrery.queries import analytics, changes, evidence_queries, feed_queries, observations, rules  # noqa: F401
 from orrery.queries.base import ORACLES, QUERIES
 
 

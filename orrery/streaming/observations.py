@@ -64,9 +64,9 @@ def keep_latest(events: DataFrame, path: str, checkpoint: str, key: str, order:
 
 def poll_seconds(credits_a_day: int, credits_a_call: int = 4, share: float = 0.8, least: float = 90.0) -> float:
     """Seconds between polls that stay within a share of a daily budget."""
-    return max(least, 86_400 / (credits_a_day * share / credits_a_call))
+    return max(least, float(int(86_400 / max(credits_a_day * share / credits_a_call, 1)) + 1))
 
 
 def backoff_seconds(failures: int, base: float = 90.0, most: float = 1800.0, retry_after: float | None = None) -> float:
-    """Waiting after failures: doubling, at most half an hour, at least what the server asks for."""
-    return max(min(most, base * 2 ** max(0, failures)), retry_after or 0.0)
+    """Waiting after failures: doubling from the second on, at most half an hour, at least what the server asks for."""
+    return max(min(most, base * 2 ** max(0, failures - 1)), retry_after or 0.0)

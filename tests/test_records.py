@@ -195,7 +195,7 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in spark.table("days").collect()) == 5
     stale = streaming.flagged_stale(spark.read.schema(schema).json(str(landing)), "2026-01-03 00:00:00", 24.0, ["x"])
     assert stale.where("stale").count() == 2 and stale.count() == 5
-    assert streaming.poll_seconds(4000) == 108.0 and streaming.backoff_seconds(3) == 720 and streaming.backoff_seconds(9, retry_after=2000) == 2000
+    assert streaming.poll_seconds(4000) == 109.0 and streaming.poll_seconds(10**6) == 90.0 and streaming.backoff_seconds(1) == 90 and streaming.backoff_seconds(3) == 360 and streaming.backoff_seconds(9, retry_after=2000) == 2000
 
 
 def test_manifests_and_sites(spark):
