@@ -41,10 +41,10 @@ def _refresh(args: argparse.Namespace) -> int:
     from orrery.schemas import schema
     from orrery.session import session
     from orrery.sources import feeds
-    from orrery.streaming.observations import current
+    from orrery.streaming.observations import current_version
 
     spark = session()
-    held = current(spark, args.store)
+    held = current_version(spark, args.store)
     old = spark.createDataFrame([], schema("events")) if held is None else spark.read.parquet(held[1])
     area = json.loads(open(args.area).read())["coordinates"] if args.area else None
     judged = ingest.judged(feeds.read(spark, args.feed, args.snapshot), area, args.country).cache()

@@ -202,13 +202,34 @@ def structure(members: DataFrame, k: int = 10, column: str = "embedding") -> tup
     return found, clusters
 
 
-def fingerprint(rows: DataFrame, key: str = "id", column: str = "embedding") -> str:
-    """One digest of all (id, vector), in order of id, hashed row by row in parallel; the digests are streamed."""
-    each = rows.select(key, F.sha2(F.to_json(F.struct(key, column)), 256).alias("h")).orderBy(key)
-    total = hashlib.sha256()
-    for r in each.select("h").toLocalIterator():
-        total.update(r.h.encode())
-    return total.hexdigest()
+def leaves(rows: DataFrame, key: str = "id", column: str = "embedding", depth: int = 3) -> DataFrame:
+    """leaf and digest: a digest of the rows of each range of hashed keys, named by the first depth hex digits."""
+    name = F.substring(F.sha2(F.to_json(F.struct(key)), 256), 1, depth)
+    each = rows.select(name.alias("leaf"), F.sha2(F.to_json(F.struct(key, column)), 256).alias("h"))
+    return each.groupBy("leaf").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+
+
+def fingerprint(rows: DataFrame, key: str = "id", column: str = "embedding", each: int = 4096) -> str:
+    """One digest of all (id, vector): the root of a tree whose leaves are ranges of hashed keys with about each rows.
+
+    Level by level, sixteen digests become one; nothing but the root reaches the driver, and neither order nor
+    partitions matter. ``changed_ranges`` finds what differs between two inputs.
+    """
+    depth, n = 1, rows.count()
+    while 16**depth * each < n and depth < 12:
+        depth += 1
+    level = leaves(rows, key, column, depth)
+    for d in range(depth - 1, -1, -1):
+        named = F.concat("leaf", "digest")
+        level = level.groupBy(F.substring("leaf", 1, d).alias("leaf")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(named)), ""), 256).alias("digest"))
+    root = level.first()
+    return root.digest if root else hashlib.sha256().hexdigest()
+
+
+def changed_ranges(before: DataFrame, after: DataFrame, key: str = "id", column: str = "embedding", depth: int = 3) -> DataFrame:
+    """The leaves whose rows differ between two inputs, also by rows that only one of them has."""
+    a, b = leaves(before, key, column, depth), leaves(after, key, column, depth).withColumnRenamed("digest", "now")
+    return a.join(b, "leaf", "full").where(~F.col("digest").eqNullSafe(F.col("now"))).select("leaf")
 
 
 def rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence
+from orrery.functions import text
+from orrery.operators import evidence, gazetteer
 from orrery.queries.base import query, table
 
 
@@ -79,3 +80,15 @@ def clusters_of_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = evidence.vector.element_means(e, ["family", "label"], "embedding").select("family", F.col("label").alias("cluster"), F.col("mean").alias("centroid"))
     members = e.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, F.col("label")).alias("cluster"))
     return evidence.discovered_by_reference(e.select("id", "family", "embedding"), members, means).select("reference", "cluster", "membership")
+
+
+@query("""WITH p AS (SELECT p_partkey AS place_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, p_name AS name, p_size AS population, p_partkey % 3 AS kind FROM part),
+q AS (SELECT place_id AS question_id, substr(key, (1 + place_id % 5)::INTEGER, (1 + place_id % 6)::INTEGER) AS asked FROM p),
+h AS (SELECT question_id, place_id, CASE WHEN key = asked THEN 0 WHEN starts_with(key, asked) THEN 1 ELSE 2 END AS fit, kind, population, name FROM q JOIN p ON contains(key, asked) WHERE asked <> '')
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY fit, kind, population DESC, name, place_id)::INTEGER AS rank, place_id, fit FROM h QUALIFY rank <= 10""")
+def names_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every name: a part of it, looked up in an index of letter groups; the ten first."""
+    k = F.col("p_partkey")
+    places = table(spark, sf_dir, "part").select(k.alias("place_id"), text.fold_ascii(F.col("p_name")).alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("population"), F.element_at(F.array(*map(F.lit, gazetteer.KIND_ORDER)), (k % 3 + 1).cast("int")).alias("kind"))
+    questions = places.select(F.col("place_id").alias("question_id"), F.substr("key", (1 + F.col("place_id") % 5).cast("int"), (1 + F.col("place_id") % 6).cast("int")).alias("key"))
+    return gazetteer.found(questions, places, gazetteer.postings(places))

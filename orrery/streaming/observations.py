@@ -27,34 +27,63 @@ def flagged_stale(events: DataFrame, now: str, hours: float, telemetry: list[str
     return events.withColumn("age_h", F.round(age, 2)).withColumn("stale", F.col("type").isin(telemetry) & (age > hours))
 
 
-def merged_into(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest row of each key in versions under path.
+def merged_into(path: str, key: str, order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the latest row of each key under path, in buckets by key.
 
-    A batch writes a whole new version and then a marker named after it; a batch that is run again finds
-    its marker and does nothing, so each is applied once.
+    A batch reads and writes anew the buckets that its keys fall into, and no others, and then a marker
+    named after it; a batch that is run again finds its marker and does nothing, so each is applied once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = current(spark, path)
-        if old is not None and old[0] >= number:
+        done = last_done(spark, path)
+        if done is not None and done >= number:
             return
-        rows = batch if old is None else batch.unionByName(spark.read.parquet(old[1]), allowMissingColumns=True)
-        merge.latest_per_key(rows, [key], [F.col(order).desc()]).write.mode("overwrite").parquet(f"{path}/version={number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = {r.b for r in batch.select(bucket.alias("b")).distinct().collect()}  # buckets at most
+        old = [p for b, p in live(spark, path).items() if b in touched]
+        rows = batch.unionByName(spark.read.parquet(*old), allowMissingColumns=True) if old else batch
+        if touched:
+            merge.latest_per_key(rows, [key], [F.col(order).desc()]).withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/version={number}")
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done={number}")
 
     return apply
 
 
-def current(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    """Number and folder of the latest complete version."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+def _named(spark: SparkSession, path: str, name: str) -> list[tuple[int, str]]:
+    """Numbers and places of the folders name=number in a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("done=")]
-    return (max(done), f"{path}/version={max(done)}") if done else None
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return [(int(n.split("=")[1]), f"{path}/{n}") for n in names if n.startswith(f"{name}=")]
+
+
+def last_done(spark: SparkSession, path: str) -> int | None:
+    """Number of the last complete batch."""
+    return max((n for n, _ in _named(spark, path, "done")), default=None)
+
+
+def live(spark: SparkSession, path: str) -> dict[int, str]:
+    """Where each bucket's latest complete version lies."""
+    done, out = last_done(spark, path), {}
+    for number, place in sorted(_named(spark, path, "version")):
+        if done is not None and number <= done:
+            out |= dict(_named(spark, place, "bucket"))
+    return out
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest row of each key after the last complete batch; None before the first."""
+    places = list(live(spark, path).values())
+    return spark.read.parquet(*places) if places else None
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the latest complete version, where versions are whole."""
+    done = last_done(spark, path)
+    return None if done is None else (done, f"{path}/version={done}")
 
 
 def keep_latest(events: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:

@@ -1,7 +1,7 @@
 import json
 
 from orrery.__main__ import main
-from orrery.streaming.observations import current
+from orrery.streaming.observations import current_version
 
 
 def test_parse_and_list(capsys):
@@ -18,5 +18,5 @@ def test_refresh_twice(spark, tmp_path, capsys):
     for n in range(2):
         assert main(["refresh", "earthquakes", str(tmp_path / "q.json"), store, "--area", str(tmp_path / "a.json")]) == 0
         assert {r["disposition"]: r["n"] for r in json.loads(capsys.readouterr().out)} == {"kept": 1, "outside": 1}
-        number, path = current(spark, store)
+        number, path = current_version(spark, store)
         assert number == n and [r.id for r in spark.read.parquet(path).collect()] == ["earthquakes:q0"]

@@ -1,6 +1,6 @@
 import pytest
 
-from orrery.operators import evidence
+from orrery.operators import clusters, evidence, gazetteer
 
 
 def test_ledger_counts_failures_since_the_last_success(spark):
@@ -54,3 +54,31 @@ def test_discovery_takes_a_members_own_cluster_first(spark):
     refs = spark.createDataFrame([("m", 64, [1.0, 0.0]), ("u", 64, [0.1, 0.9]), ("n", 64, [0.7, 0.7]), ("x", 32, [1.0, 0.0])], "id string, family int, embedding array<double>")
     got = {r.reference: (r.cluster, r.membership) for r in evidence.discovered_by_reference(refs, members, clusters).collect()}
     assert got == {"m": (2, evidence.MEMBER), "u": (2, evidence.UNASSIGNED), "n": (1, evidence.NEWER), "x": (None, evidence.NEWER)}
+
+
+def test_names_as_a_scan_finds_them(spark):
+    import random
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abc ") for _ in range(n)).strip()
+    places = [(i, word(rnd.randint(1, 9)) or "a", rnd.choice(["city", "state", "district", "other"]), rnd.choice([None, 5, 9])) for i in range(300)]
+    questions = [(i, word(rnd.randint(0, 5))) for i in range(120)]
+    p = spark.createDataFrame([(i, k, kind, n, k.title()) for i, k, kind, n in places], "place_id int, key string, kind string, population int, name string")
+    got = {}
+    for r in gazetteer.found(spark.createDataFrame(questions, "question_id int, key string"), p, gazetteer.postings(p), 7).orderBy("rank").collect():
+        got.setdefault(r.question_id, []).append((r.fit, r.place_id))
+    for q, asked in questions:
+        fits = [(0 if k == asked else 1 if k.startswith(asked) else 2, gazetteer.KIND_ORDER.get(kind, 3), -(n or 0), k.title(), i) for i, k, kind, n in places if asked and asked in k]
+        assert got.get(q, []) == [(x[0], x[-1]) for x in sorted(fits)[:7]]
+
+
+def test_digest_as_a_tree(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    assert clusters.fingerprint(df, each=10) == clusters.fingerprint(df.repartition(7).orderBy("embedding"), each=10) != clusters.fingerprint(df.limit(399), each=10)
+    assert clusters.fingerprint(df.where("false")) == clusters.fingerprint(df.where("id < 0"))
+    other = spark.createDataFrame([*rows[:7], (7, [7.0, 2.0]), *rows[8:], (999, [0.0, 0.0])], "id int, embedding array<double>")
+    changed = {r.leaf for r in clusters.changed_ranges(df, other).collect()}
+    of = lambda frame, i: clusters.leaves(frame.where(f"id = {i}")).first().leaf
+    assert changed == {of(df, 7), of(other, 999)} and clusters.fingerprint(df) != clusters.fingerprint(other)
+    assert clusters.changed_ranges(df, df.repartition(3)).count() == 0

@@ -188,7 +188,7 @@ def test_streams(spark, tmp_path):
     put(2, [("b", "y", "2026-01-03T00:00:00", 9), ("c", "x", "2025-01-03T00:00:00", 4)])
     go()
     go()
-    got = spark.read.parquet(streaming.current(spark, str(tmp_path / "t"))[1]).collect()
+    got = streaming.current(spark, str(tmp_path / "t")).collect()
     assert sorted((r.id, r.v) for r in got) == [("a", 2), ("b", 9), ("c", 4)]
     stream = streaming.daily_counts(streaming.event_stream(spark, str(landing), schema))
     stream.writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
@@ -208,3 +208,26 @@ def test_manifests_and_sites(spark):
     labels = spark.createDataFrame([("a", True, ["t1"], "2020", "2022"), ("b", True, ["t2"], "2020", "2022"), ("c", False, ["t1"], "2019", "2022"), ("d", False, ["t9"], "2020", "2022")], "site_id string, changed boolean, tile_ids array<string>, first string, last string")
     found = spark.createDataFrame([(["t1", "t3"], "2020-05", "2021-01"), (["t2"], "2023-05", "2024-01")], "tile_ids array<string>, latest_before string, earliest_after string")
     assert sorted(map(tuple, evaluation.site_outcomes(labels, found).collect())) == [("a", "tp"), ("b", "fn"), ("c", "fp"), ("d", "tn")]
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "state")
+    sink = streaming.merged_into(path, "id", "ts", buckets=16)
+    rows = lambda r: spark.createDataFrame(r, "id int, ts int, v string")
+    assert streaming.current(spark, path) is None
+    sink(rows([(i, 1, "old") for i in range(200)]), 0)
+    before = streaming.live(spark, path)
+    assert len(before) == 16
+    sink(rows([(3, 2, "new"), (3, 0, "late"), (500, 1, "more")]), 1)
+    after = streaming.live(spark, path)
+    assert 1 <= sum(after[b] != before[b] for b in after) <= 2
+    state = {r.id: r.v for r in streaming.current(spark, path).collect()}
+    assert len(state) == 201 and state[3] == "new" and state[4] == "old" and state[500] == "more"
+    sink(rows([(3, 9, "again")]), 1)  # a batch that is run again
+    assert {r.id: r.v for r in streaming.current(spark, path).collect()} == state
+    # a version without its marker does not count, and is written over
+    rows([(3, 9, "half")]).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{path}/version=2")
+    assert {r.id: r.v for r in streaming.current(spark, path).collect()} == state
+    sink(rows([(3, 3, "next")]), 2)
+    sink(rows([]), 3)
+    assert {r.id: r.v for r in streaming.current(spark, path).collect()} == state | {3: "next"}
