@@ -97,3 +97,37 @@ def test_query(spark, tmp_path):
     held = [(by[i].predicted, t) for i, t in labels if by[i].held_out]
     assert len(held) > 200 and sum(p == t for p, t in held) >= 0.97 * len(held)
     assert by[900].score == by[901].score and by[902].predicted == 1 and by[903].predicted == 0
+
+
+def planted(n):
+    rnd = random.Random(9)
+    clean = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join([*rnd.sample(clean, 30), *([rnd.choice(["vile", "nasty", "badstem" + rnd.choice(clean)])] * toxic)]), int(toxic)))
+    return rows
+
+
+def test_training_equals_the_plain_version_of_one_slice(spark):
+    rows = planted(600)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    import zlib
+
+    learnt = [(i, text, t) for i, text, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    prior = sum(t for *_, t in learnt) / len(learnt)
+    plain = fitted([set(toxicity.words(text)) for _, text, t in learnt if t], [set(toxicity.words(text)) for _, text, _ in rows], prior)
+    model = toxicity.train(docs, labels)
+    assert model.weights.keys() == plain.weights.keys()
+    assert all(abs(model.weights[f] - plain.weights[f]) < 1e-3 for f in plain.weights) and abs(model.bias - plain.bias) < 1e-3
+
+
+def test_several_slices_judge_as_one(spark, monkeypatch):
+    rows = planted(1500)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    joint = toxicity.train(docs, labels).scorer()
+    monkeypatch.setattr(toxicity, "SLICE", 300)
+    sliced = toxicity.train(docs, labels).scorer()
+    for score in (joint, sliced):
+        assert sum((score(text) >= 0.7) == bool(t) for _, text, t in rows) >= 0.98 * len(rows)
+    assert sum((joint(text) >= 0.7) != (sliced(text) >= 0.7) for _, text, _ in rows) <= 0.02 * len(rows)
