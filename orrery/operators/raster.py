@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import rules
+from orrery.operators import grid
+from orrery.staging import staged
 
 TILE_PX, TILE, STRIDE, THRESHOLD, LEAST_PX, SMALL_PX = 10, 96, 64, 0.5, 9, 25
 
@@ -117,7 +119,7 @@ def changed_regions(pairs: DataFrame, predict: Callable[[np.ndarray, np.ndarray]
             for p in batch.itertuples():
                 size = (p.height, p.width)
                 score = mosaic(np.reshape(p.before, size), np.reshape(p.after, size), np.reshape(p.valid, size).astype(bool), predict)
-                labels = regions(np.nan_to_num(score) >= THRESHOLD)
+                labels = regions(np.nan_to_num(score) > THRESHOLD)
                 for k in range(1, labels.max() + 1):
                     rows, cols = np.nonzero(labels == k)
                     if len(rows) >= LEAST_PX:
@@ -127,6 +129,79 @@ def changed_regions(pairs: DataFrame, predict: Callable[[np.ndarray, np.ndarray]
     return pairs.mapInPandas(run, "run_id string, region int, pixels int, mean_score double, row0 int, col0 int, row1 int, col1 int, small boolean")
 
 
+def mosaicked(tiles: DataFrame) -> DataFrame:
+    """run_id, row, col and score of every pixel: the mean of the tiles that cover it.
+
+    tiles: run_id, row0, col0, width and scores (row by row), as a model gives them for one tile each; so no
+    scene is ever whole in a row, and tiles are scored wherever they lie.
+    """
+    at = tiles.select("run_id", "row0", "col0", "width", F.posexplode("scores").alias("i", "s"))
+    place = {"row": F.col("row0") + F.floor(F.col("i") / F.col("width")).cast("int"), "col": F.col("col0") + F.col("i") % F.col("width")}
+    return at.withColumns(place).groupBy("run_id", "row", "col").agg(F.avg("s").alias("score"))
+
+
+def region_pixels(pixels: DataFrame, block: int | None = None) -> DataFrame:
+    """The flagged pixels of pixels (run_id, row, col, score; null or NaN where not valid), with region.
+
+    Regions are those of ``regions``, numbered in the order of their first pixels, however many blocks they cross.
+    """
+    flagged = pixels.where(F.nanvl("score", F.lit(0.0)) > THRESHOLD)
+    found = staged(grid.labelled(flagged, ["run_id"], block), "regions")
+    first = found.groupBy("run_id", "component").agg(F.min(F.struct("row", "col")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("run_id").orderBy("first"))
+    return found.join(first.select("run_id", "component", number.alias("region")), ["run_id", "component"]).drop("component")
+
+
+def regions_of(found: DataFrame) -> DataFrame:
+    """What ``changed_regions`` gives, from region_pixels."""
+    ends = [f(c).cast("int").alias(f"{c}{i}") for i, f in enumerate((F.min, F.max)) for c in ("row", "col")]
+    each = found.groupBy("run_id", "region").agg(F.count(F.lit(1)).cast("int").alias("pixels"), F.avg("score").alias("mean_score"), *ends)
+    return each.where(F.col("pixels") >= LEAST_PX).withColumn("small", F.col("pixels") < SMALL_PX)
+
+
+#: What is said of a region, in this order; the flags never remove one.
+FLAGS = (
+    "possible seasonal vegetation change (NDVI shift across seasons)",
+    "water appears or disappears (MNDWI crosses 0): tide, flooding or seasonal water possible",
+    "touches cloud/shadow/no-data within 2 px: possible mask-edge artefact",
+    "thin shape in a pair misregistered by more than 0.5 px: possible edge artefact",
+    "near Sentinel-2's resolution limit (< 0.25 ha)",
+)
+PIXEL_M = 10.0
+
+
+def region_evidence(found: DataFrame, invalid: DataFrame, pairs: DataFrame) -> DataFrame:
+    """run_id, region, the spectra before and after, area, perimeter (with that of holes) and flags of each region.
+
+    found: region_pixels with a struct before and a struct after of reflectances b02, b03, b04, b08, b11; invalid: run_id, row
+    and col of pixels that are not clear in both scenes; pairs: run_id, month_gap and shift_px. A pixel meets its neighbours
+    and the invalid ones by equi-joins on the place.
+    """
+    def spectra(side: str) -> list[Column]:
+        b = lambda n: F.col(f"{side}.{n}")
+        means = {"ndvi": F.avg(rules.ratio(b("b08"), b("b04"))), "mndwi": F.avg(rules.ratio(b("b03"), b("b11"))), "brightness": F.avg((b("b02") + b("b03") + b("b04")) / 3)}
+        return [F.round(m, 4).alias(f"{n}_{side}") for n, m in means.items()]
+
+    keys = ["run_id", "row", "col"]
+    steps = [(r, c) for n in (1, 2) for r, c in ((n, 0), (-n, 0), (0, n), (0, -n))]
+    near = grid.neighbours(invalid.select(*keys), [(0, 0), *steps]).select("run_id", F.col("near_row").alias("row"), F.col("near_col").alias("col")).distinct()
+    touching = found.select("run_id", "region", "row", "col").join(near, keys, "left_semi").select("run_id", "region").distinct().withColumn("touches", F.lit(True))
+    sides = grid.neighbours(found.select("run_id", "region", "row", "col"), [(1, 0), (-1, 0), (0, 1), (0, -1)])
+    same = found.select("run_id", "region", F.col("row").alias("near_row"), F.col("col").alias("near_col"))
+    edges = sides.join(same, ["run_id", "region", "near_row", "near_col"], "left_anti").groupBy("run_id", "region").agg((F.count(F.lit(1)) * PIXEL_M).alias("perimeter_m"))
+    each = found.groupBy("run_id", "region").agg(F.count(F.lit(1)).alias("pixels"), *spectra("before"), *spectra("after"))
+    told = each.join(edges, ["run_id", "region"]).join(touching, ["run_id", "region"], "left").join(pairs, "run_id").withColumn("area_m2", F.col("pixels") * PIXEL_M**2)
+    says = (
+        (F.col("month_gap") > 1) & (F.abs(F.col("ndvi_after") - F.col("ndvi_before")) > 0.2),
+        (F.col("mndwi_before") > 0) != (F.col("mndwi_after") > 0),
+        F.col("touches"),
+        (F.col("shift_px") > 0.5) & (F.col("area_m2") / F.greatest("perimeter_m", F.lit(1.0)) < 10),
+        F.col("pixels") < SMALL_PX,
+    )
+    flags = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(f)) for c, f in zip(says, FLAGS, strict=True)]), lambda f: f.isNotNull())
+    return told.where(F.col("pixels") >= LEAST_PX).withColumn("flags", flags).drop("touches", "month_gap", "shift_px")
+
+
 def overlaps(region_pixels: DataFrame, tiles: DataFrame, tile_px: int = TILE_PX) -> DataFrame:
     """run_id, region, candidate and pixels that a region shares with a candidate's tiles.
 

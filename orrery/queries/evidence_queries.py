@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text
-from orrery.operators import evidence, gazetteer
+from orrery.operators import evidence, gazetteer, raster
 from orrery.queries.base import query, table
 
 
@@ -92,3 +92,19 @@ def names_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table(spark, sf_dir, "part").select(k.alias("place_id"), text.fold_ascii(F.col("p_name")).alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("population"), F.element_at(F.array(*map(F.lit, gazetteer.KIND_ORDER)), (k % 3 + 1).cast("int")).alias("kind"))
     questions = places.select(F.col("place_id").alias("question_id"), F.substr("key", (1 + F.col("place_id") % 5).cast("int"), (1 + F.col("place_id") % 6).cast("int")).alias("key"))
     return gazetteer.found(questions, places, gazetteer.postings(places))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey % 5 AS run, p_partkey // 5 // 20 AS r, p_partkey // 5 % 20 AS c, (p_partkey * 7919 % 101) / 120.0::DOUBLE AS s FROM part),
+f AS (SELECT run, r, c, s, r * 20 + c AS n FROM p WHERE s > 0.5),
+e AS (SELECT a.run, a.n AS a, b.n AS b FROM f AS a JOIN f AS b ON a.run = b.run AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+reach(run, a, b) AS (SELECT run, a, b FROM e UNION SELECT x.run, x.a, e.b FROM reach AS x JOIN e ON e.run = x.run AND e.a = x.b),
+root AS (SELECT run, a AS n, min(b) AS root FROM reach GROUP BY ALL),
+g AS (SELECT f.*, dense_rank() OVER (PARTITION BY run ORDER BY root) AS region FROM f JOIN root USING (run, n))
+SELECT run::VARCHAR AS run_id, region::INTEGER AS region, count(*)::INTEGER AS pixels, round(avg(s), 6) AS mean_score, min(r)::INTEGER AS row0, min(c)::INTEGER AS col0, max(r)::INTEGER AS row1, max(c)::INTEGER AS col1, count(*) < 25 AS small FROM g GROUP BY run, region HAVING count(*) >= 9""")
+def regions_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of change over pixels, labelled block by block; five runs."""
+    k = F.col("p_partkey")
+    at = F.expr("p_partkey div 5")
+    pixels = table(spark, sf_dir, "part").select((k % 5).cast("string").alias("run_id"), F.expr("cast(p_partkey div 5 div 20 as int)").alias("row"), (at % 20).cast("int").alias("col"), ((k * 7919 % 101) / 120.0).alias("score"))
+    found = raster.regions_of(raster.region_pixels(pixels, 16))
+    return found.select("run_id", "region", "pixels", F.round("mean_score", 6).alias("mean_score"), "row0", "col0", "row1", "col1", "small")
