@@ -28,7 +28,7 @@ OPEN_LAND = ("built", "soil")
 FULL_YEARS, FULL_SHARE, FULL_COLOUR = 3, 0.6, 0.5
 KEYS = ("tile_id",)
 #: Tiles of one kind of change whose groups one task may find.
-GROUP_TILES = 50_000
+GROUP_TILES = 200_000
 
 
 def red_blue_ratio(red: Column, blue: Column) -> Column:
@@ -237,7 +237,8 @@ def _in_rounds(tiles: DataFrame, most: int, block: int | None) -> DataFrame:
     layer of a year, whose tiles are those within GROUP_YEARS of it, the tiles that reach each other have
     one. A tile that no other source comes before is a seed; it takes the tiles that it reaches over tiles
     of which it is the least source, as nobody before it can. At least the first source of every part
-    takes all that it reaches, so rounds end; parts that have become small enough end in one task each.
+    takes all that it reaches, so rounds end; parts that have become small enough end in one task each. As ids
+    follow the places, decisions wait for each other along an area: rounds grow with its length, some ten jobs each.
     """
     columns = ["aoi", "tile_id", "row", "col", "from_class", "to_class", "year"]
     undecided, results = staged(tiles.select(*columns), "undecided"), []

@@ -91,6 +91,6 @@ def test_groups_as_the_sequential_rule(spark, how):
 
 
 def test_groups_of_a_large_area(spark):
-    tiles = tiles_of(7, 380, 380, 0.72, 6)
+    tiles = tiles_of(7, 600, 600, 0.3, 6)
     assert len(tiles) > 100_000
-    assert seeds(spark, tiles, most=60_000, block=128) == grown(tiles)
+    assert seeds(spark, tiles, most=20_000, block=128) == grown(tiles)
