@@ -119,3 +119,14 @@ def test_edges(spark):
     check(spark, [(1, "word " * 60_000, "", ""), (2, None, "", "")], 1024)
     _, bins = check(spark, [(i, "same text", "", "") for i in range(500)], 16)
     assert len(bins) == -(-500 // (16 // len(Tokenizer.from_file(PATH).encode("same text").ids + [2])))
+
+
+def test_ids_are_the_librarys():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    rnd, e = random.Random(2), pk.Encoder(PATH)
+    assert e.plain
+    alphabet = ["a", "B", "é", "ß", "1", "²", "'s", "'ll", ".", "…", "中", "😀", "\n", "\t", " ", " ", "  ", " ", "​", "\x1c", "<|endoftext|>", "ǅ", "ـ"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(12)))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
