@@ -1,61 +1,76 @@
-"""The change engine's rules on synthetic looks: cases of lasting, passing and doubtful changes."""
+"""The change engine's rules, on series of classes written as letters: one letter a year, from 2018 on."""
 
 import json
+import random
+from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import change
 
-SCHEMA = "aoi string, tile_id string, date string, scene_id string, land_class string, water double, vegetation double, open double, red double, blue double"
 KEYS = ("aoi", "tile_id")
+#: What a letter stands for: the look's class and its shares of water, vegetation and open land.
+LETTERS = {"w": ("water", 0.8, 0.15, 0.05), "v": ("vegetation", 0.05, 0.8, 0.15), "o": ("bare", 0.05, 0.15, 0.8), "x": ("mixed", 0.35, 0.35, 0.3)}
+CLASSES = {"w": "water", "v": "vegetation", "o": "soil", "x": "mixed"}
 
 
-def look(tile, date, kind, satellite="S2A", ratio=1.6):
-    shares = {"vegetation": (0.0, 0.9, 0.1), "open": (0.0, 0.1, 0.9), "water": (0.9, 0.0, 0.1), "mixed": (0.4, 0.3, 0.3), None: (0.0, 0.0, 0.0)}[kind]
-    return ("a", tile, date, f"{satellite}_43QBB_{date}", {"open": "bare"}.get(kind, kind), *shares, 0.06 * ratio, 0.06)
+def looks_of(spark, tiles, days=("01-20", "03-05", "05-11"), red_over_blue=None, satellites=("S2B", "S2A")):
+    """Looks at tiles (name: letters), on the same days of every year, the satellites by turns."""
+    rows = []
+    for tile, letters in tiles.items():
+        for year, letter in enumerate(letters, 2018):
+            for n, day in enumerate(days):
+                red = 0.05 * (red_over_blue or {}).get(year, 1.6)
+                rows.append(("a", tile, f"{year}-{day}", f"{satellites[n % len(satellites)]}_T{n}_{year}-{day}", *LETTERS[letter], red, 0.05))
+    return spark.createDataFrame(rows, "aoi string, tile_id string, date string, scene_id string, land_class string, water double, vegetation double, open double, red double, blue double")
 
 
-def yearly(tile, kinds, satellites=("S2A", "S2B"), ratios=None):
-    return [look(tile, f"{y}-{m}-10", k, s, (ratios or {}).get(y, 1.6)) for y, k in kinds.items() for m, s in zip(("02", "04"), satellites, strict=True)]
+def typical(spark, colours):
+    return spark.createDataFrame([("a", y, t) for y, t in colours.items()], "aoi string, year int, typical double")
 
 
-LASTING = {2019: "vegetation", 2020: "vegetation", 2021: "water", 2022: "water"}
+def changes(looks, colours=()):
+    references = typical(looks.sparkSession, dict(colours))
+    return change.transitions(change.split_open(change.composites(looks, KEYS), references, ["aoi"]), KEYS)
 
 
-@pytest.fixture
-def frame(spark):
-    return lambda rows: spark.createDataFrame(rows, SCHEMA)
+def best_split(letters):
+    """The rule in words: try every split with two years on each side; the commonest classes must differ, be no
+    mixture, hold for three quarters of their side, and the later one for the first and the last year after."""
+    found = []
+    kinds = [CLASSES[c] for c in letters]
+    for k in range(2, len(kinds) - 1):
+        before, after = kinds[:k], kinds[k:]
+        old, new = (max((n, c) for c, n in Counter(side).items())[1] for side in (before, after))
+        held = before.count(old) / len(before), after.count(new) / len(after)
+        if old != new and "mixed" not in (old, new) and after[0] == after[-1] == new and min(held) >= 0.75:
+            found.append((sum(held), -k, old, new))
+    if found:
+        _, k, old, new = max(found)
+        return old, new, 2018 - k, -k
+    return None
 
 
-def changes(df, typical=None):
-    c = change.composites(df, KEYS)
-    spark = df.sparkSession
-    refs = spark.createDataFrame([("a", y, t) for y, t in (typical or {}).items()], "aoi string, year int, typical double")
-    return change.transitions(change.split_open(c, refs, ["aoi"]), KEYS)
+def test_transitions_as_the_rule_in_words(spark):
+    rnd = random.Random(12)
+    tiles = {f"t{i}": "".join(rnd.choice(["v", "w", "o", "x"]) * rnd.choice([1, 2, 3]) for _ in range(rnd.randint(1, 4))) for i in range(150)}
+    got = {r.tile_id: (r.from_class, r.to_class, r.first_year_after, r.years_before) for r in changes(looks_of(spark, tiles)).collect()}
+    want = {t: best_split(s) for t, s in tiles.items()}
+    assert got == {t: w for t, w in want.items() if w} and 20 < len(got) < 130
 
 
-def test_composites_leave_out_the_monsoon_and_need_two_looks(frame):
-    rows = [*yearly("t", {2020: "vegetation"}), look("t", "2020-09-10", "open"), look("t", "2021-02-10", "vegetation"), look("t", "2020-03-10", None)]
-    got = {r.year: r for r in change.composites(frame(rows), KEYS).collect()}
-    assert got[2020]["class"] == "vegetation" and (got[2020].looks, got[2020].masked) == (2, 1)
-    assert got[2021]["class"] is None and got[2021].water is None
+def test_composites_take_the_dry_season_with_two_looks(spark):
+    wet = looks_of(spark, {"t": "o"}, days=("08-01", "09-01"))
+    dry = looks_of(spark, {"t": "vv"}).where("date <> '2019-03-05' and date <> '2019-05-11'")
+    got = {r.year: r for r in change.composites(wet.union(dry), KEYS).collect()}
+    assert (got[2018]["class"], got[2018].looks, got[2019]["class"], got[2019].water) == ("vegetation", 3, None, None)
 
 
-def test_lasting_change_and_its_window(frame):
-    df = frame(yearly("t", {2019: "vegetation", 2020: "vegetation", 2021: "open", 2022: "open"}))
-    t = changes(df, {2021: 1.6, 2022: 1.6})
-    r = change.refined(df, t, KEYS).first()
-    assert (r.from_class, r.to_class, r.last_clean_before, r.earliest_after) == ("vegetation", "soil", "2020-04-10", "2021-02-10")
-    assert (r.years_before, r.years_after, r.first_year_after, r.latest_year, len(r.after_scene_ids)) == (2, 2, 2021, 2022, 4)
-    assert (round(r.share_before, 6), round(r.share_after, 6)) == (0.1, 0.9)
-
-
-def test_passing_and_doubtful_changes_are_none(frame):
-    flip = yearly("flip", {2019: "vegetation", 2020: "vegetation", 2021: "open", 2022: "vegetation", 2023: "vegetation"})
-    mixed = yearly("mixed", {2019: "vegetation", 2020: "vegetation", 2021: "mixed", 2022: "mixed"})
-    short = yearly("short", {2020: "vegetation", 2021: "vegetation", 2022: "water"})
-    assert changes(frame(flip + mixed + short)).count() == 0
+def test_the_window_of_a_change(spark):
+    looks = looks_of(spark, {"t": "vvvww"})
+    r = change.refined(looks, changes(looks), KEYS).first()
+    assert (r.last_clean_before, r.earliest_after, r.years_before, r.years_after, len(r.after_scene_ids)) == ("2020-05-11", "2021-01-20", 3, 2, 6)
+    assert (round(r.share_before, 6), round(r.share_after, 6)) == (0.05, 0.8)
 
 
 def test_open_land_is_split_by_its_own_year(spark):
@@ -65,29 +80,29 @@ def test_open_land_is_split_by_its_own_year(spark):
     assert got == {(2020, 1.3): "built", (2021, 1.3): "soil", (2022, None): "soil", (2020, 1.0): "water"}
 
 
-def test_soil_to_built_takes_its_window_from_the_years(frame):
-    df = frame(yearly("t", {y: "open" for y in range(2018, 2022)}, ratios={2020: 1.2, 2021: 1.2}))
-    t = changes(df, {y: 1.6 for y in range(2018, 2022)})
-    r = change.refined(df, t, KEYS).first()
-    assert (r.from_class, r.to_class, r.last_clean_before, r.earliest_after) == ("soil", "built", "2019-04-10", "2020-02-10")
-    assert abs(r.red_blue_before - r.red_blue_after - 0.4) < 1e-9
+def test_pavement_is_told_by_colour_and_its_window_by_years(spark):
+    colours = dict.fromkeys(range(2018, 2023), 1.6)
+    looks = looks_of(spark, {"t": "ooooo"}, red_over_blue={2021: 1.1, 2022: 1.1})
+    r = change.refined(looks, changes(looks, colours), KEYS).first()
+    assert (r.from_class, r.to_class, r.last_clean_before, r.earliest_after) == ("soil", "built", "2020-05-11", "2021-01-20")
+    assert abs(r.red_blue_before - r.red_blue_after - 0.5) < 1e-9
 
 
-def gated(frame, kinds, satellites=("S2A", "S2B"), copies=2, **more):
-    tiles = changes(frame([x for i in range(copies) for x in yearly(f"a:0:{i}", kinds, satellites, **more)]), {y: 1.6 for y in kinds})
-    placed = tiles.withColumns({"row": F.lit(0), "col": F.element_at(F.split("tile_id", ":"), 3).cast("int")})
-    return change.gates(change.events(placed, ("aoi", "from_class", "to_class"))).first()
+def gated(spark, letters, tiles=3, **how):
+    found = changes(looks_of(spark, {f"a:0:{i}": letters for i in range(tiles)}, **how), dict.fromkeys(range(2018, 2024), 1.6))
+    placed = found.withColumns({"row": F.lit(0), "col": F.element_at(F.split("tile_id", ":"), 3).cast("int")})
+    r = change.gates(change.events(placed, ("aoi", "from_class", "to_class"))).first()
+    return r, {g.gate for g in r.gates if not g.passed}
 
 
-def test_gates_and_score(frame):
-    failed = lambda r: {g.gate for g in r.gates if not g.passed}
-    good = gated(frame, LASTING)
-    assert good.accepted and not failed(good) and len(good.gates) == 6
-    assert good.score == round((1 + 1 + 2 / 3 + 1) / 4, 3)
-    assert failed(gated(frame, LASTING, satellites=("S2A", "S2A"))) == {"3 radiometric"}
-    assert failed(gated(frame, LASTING, copies=1)) == {"5 size/shape"}
-    colour = gated(frame, {y: "open" for y in range(2018, 2022)}, ratios={2020: 1.45, 2021: 1.45})
-    assert failed(colour) == {"2 geometry"} and colour.score == round((1 + 1 + 2 / 3 + 0.3) / 4, 3)
+def test_gates_and_score(spark):
+    r, failed = gated(spark, "vvwww")
+    assert r.accepted and not failed and len(r.gates) == 6 and r.score == 1.0
+    assert gated(spark, "vvww")[0].score == round((1 + 1 + 2 / 3 + 1) / 4, 3)  # two of three years
+    assert gated(spark, "vvww", satellites=("S2B",))[1] == {"3 radiometric"}
+    assert gated(spark, "vvww", tiles=1)[1] == {"5 size/shape"}
+    r, failed = gated(spark, "oooo", red_over_blue={2020: 1.45, 2021: 1.45})
+    assert failed == {"2 geometry"} and r.score == round((1 + 1 + 2 / 3 + 0.15 / 0.5) / 4, 3)
 
 
 def test_classes_and_strips(spark):
@@ -98,17 +113,17 @@ def test_classes_and_strips(spark):
     assert tuple(e) == (True, False, True, False)
 
 
-def test_whole_engine(spark, frame):
-    rows = [x for i in range(3) for x in yearly(f"a:0:{i}", LASTING)] + yearly("a:5:5", LASTING) + yearly("a:9:9", {y: "vegetation" for y in range(2019, 2023)})
+def test_whole_engine(spark):
+    tiles = {"a:3:4": "vvww", "a:3:5": "vvww", "a:4:4": "vvww", "a:7:1": "vvww", "a:9:9": "vvvv"}
+    looks = looks_of(spark, tiles)
     square = json.dumps({"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]})
-    at = {(r[1], *map(int, r[1].split(":")[1:])) for r in rows}
-    tiles = spark.createDataFrame([("a", t, r, c, float(c), float(r), square) for t, r, c in at], "aoi string, tile_id string, row int, col int, lon double, lat double, geometry string")
-    got = {tuple(r.tile_ids): r for r in change.candidates(frame(rows), tiles).collect()}
-    assert set(got) == {("a:0:0", "a:0:1", "a:0:2"), ("a:5:5",)}
-    big, lone = got["a:0:0", "a:0:1", "a:0:2"], got[("a:5:5",)]
-    assert (big.status, big.change_class, big.direction, big.lon, big.area_m2, big.last_clean_before, big.earliest_supported_after) == ("accepted", "water-extent", "expansion", 1.0, 30_000, "2020-04-10", "2021-02-10")
-    assert lone.status == "suppressed" and big.id.startswith("chg-") and len(json.loads(big.geometry)["coordinates"]) == 3
-    left = change.candidates(frame(rows), tiles, spark.createDataFrame([(big.id,)], "id string"))
-    assert [r.id for r in left.collect()] == [lone.id]
-    few = frame([r for r in rows if r[2] < "2022"])
-    assert change.candidates(few, tiles).count() == 0
+    at = [(t, *map(int, t.split(":")[1:])) for t in tiles]
+    placed = spark.createDataFrame([("a", t, r, c, float(c), float(r), square) for t, r, c in at], "aoi string, tile_id string, row int, col int, lon double, lat double, geometry string")
+    got = {tuple(r.tile_ids): r for r in change.candidates(looks, placed).collect()}
+    assert set(got) == {("a:3:4", "a:3:5", "a:4:4"), ("a:7:1",)}
+    group, alone = got["a:3:4", "a:3:5", "a:4:4"], got[("a:7:1",)]
+    assert (group.status, group.change_class, group.direction, group.area_m2, group.last_clean_before, group.earliest_supported_after) == ("accepted", "water-extent", "expansion", 30_000, "2019-05-11", "2020-01-20")
+    assert alone.status == "suppressed" and group.id.startswith("chg-") and len(json.loads(group.geometry)["coordinates"]) == 3
+    left = change.candidates(looks, placed, spark.createDataFrame([(group.id,)], "id string"))
+    assert [r.id for r in left.collect()] == [alone.id]
+    assert change.candidates(looks.where("date < '2021'"), placed).count() == 0
