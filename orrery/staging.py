@@ -11,13 +11,19 @@ _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where it is unset, one in the warehouse, which executors share too."""
+    """The cluster's shared folder, spark.checkpoint.dir; where it is unset on one machine, as in tests, one in the warehouse.
+
+    Raises RuntimeError on a cluster that names no folder: a folder of each machine would not be shared.
+    """
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
     if now.isDefined():
         return now.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-checkpoint"
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    spark.sparkContext.setCheckpointDir(named or own)
     return jsc.getCheckpointDir().get()
 
 
