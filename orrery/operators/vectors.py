@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,10 @@ from orrery.staging import staged
 
 #: Centroids that may be broadcast together: 16 MB at 512 components.
 FEW_CENTROIDS = 4_000
-#: Rows of a shard of nearest_rows.
-SHARD_ROWS = 20_000
+#: Rows of a shard of nearest_rows, and least rows of a slice of queries.
+SHARD_ROWS, SLICE_ROWS = 20_000, 2_000
+#: Scores of a block, rows that one of its maxima stands for, a length to divide by, and less than any score of unit vectors.
+SCORES, PARTS, LEAST, NONE = 1 << 22, 32, 1e-150, np.float32(-2)
 #: Side of a tile of spaced_per_group, in spacings; rows of a group that is one tile; rows of a task.
 TILE, WHOLE, TASK = 8, 20_000, 20_000
 
@@ -30,46 +35,178 @@ def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, column: str = "emb
     """query, id, score and rank: for each query, the k other rows most similar to it, ties to the smaller id.
 
     apart: a column; rows with the query's own value of it are left out (neighbours at other places).
+    """
+    return nearest_by(rows, queries, k, column, [apart]).drop("apart")
+
 
-    rows, queries: id and a vector. Rows are dealt once into shards of bounded size; queries pass each
-    shard as a stream, sorted behind its rows in one partition, so a task holds one shard.
+def nearest_by(rows: DataFrame, queries: DataFrame, k: int, column: str, aparts: list[str | None]) -> DataFrame:
+    """nearest_rows for each of aparts in one pass: query, apart (its number in the list), id, score and rank.
+
+    rows, queries: id and a vector; rows without one take no part. Rows are dealt into shards of bounded size,
+    and queries into slices where shards alone are fewer than cores. A task has a shard and a slice: queries
+    pass its rows as a stream, a block at a time, as a product of matrices; what its rounding leaves open is
+    settled by sums in the order of components, as SQL adds them up.
     """
-    n = rows.count()
+    n, spark = rows.count(), rows.sparkSession
     shards = max(1, -(-n // SHARD_ROWS))
-    own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    vectors_ = vector.doubles(F.col(column)).alias("v")
-    group = (F.lit("") if apart is None else F.coalesce(F.col(apart).cast("string"), F.lit(""))).alias("apart")
-    held = rows.select(own, F.lit(0).alias("asks"), "id", vectors_, group)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", vectors_, group)
+    slices = max(1, min(-(-2 * spark.sparkContext.defaultParallelism // shards), -(-n // SLICE_ROWS)))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    slice_ = F.pmod(F.hash("id"), F.lit(slices)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    groups = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in aparts if c is not None]).cast("array<string>").alias("groups")
+    given = ["id", F.col(column).alias("v"), groups]
+    some = F.col(column).isNotNull()
+    held = rows.where(some).select(every(slices).alias("slice"), shard.alias("shard"), F.lit(0).alias("asks"), *given)
+    asked = queries.where(some).select(every(shards).alias("shard"), slice_.alias("slice"), F.lit(1).alias("asks"), *given).select(held.columns)
+    streams = held.union(asked).withColumn("task", F.col("shard") * slices + F.col("slice")).select("task", "asks", "id", "v", "groups")
+    streams = streams.repartitionById(shards * slices, "task").sortWithinPartitions("task", "asks")
     kind = dict(rows.dtypes)["id"]
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        shard, parts, ids, x, groups = None, [], None, None, None
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, parts, block = None, [], None
         for batch in batches:
-            for (s, asks), f in batch.groupby(["shard", "asks"], sort=True):
-                if s != shard:
-                    shard, parts, ids = s, [], None
-                if not asks:
-                    parts.append(f)
+            turn = np.stack([batch.column(i).to_numpy() for i in range(2)])
+            cuts = [0, *(np.flatnonzero((turn[:, 1:] != turn[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
                     continue
-                if ids is None and parts:
-                    whole = pd.concat(parts).sort_values("id")
-                    ids, x, groups, parts = whole["id"].to_numpy(), np.array(whole["v"].tolist(), float), whole["apart"].to_numpy(), []
-                if ids is None:
+                if turn[0, start] != task:
+                    task, parts, block = turn[0, start], [], None
+                part = batch.slice(start, end - start)
+                if not turn[1, start]:
+                    parts.append(part)
                     continue
-                for q, v, g in zip(f["id"], f["v"], f["apart"], strict=True):
-                    score = x @ np.asarray(v, float)
-                    score[(ids == q) if apart is None else (ids == q) | (groups == g)] = -np.inf
-                    best = np.argsort(-score, kind="stable")[:k]
-                    best = best[score[best] > -np.inf]
-                    yield pd.DataFrame({"query": q, "id": ids[best], "score": score[best]})
-
-    streams = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
-    found = streams.mapInPandas(search, f"query {kind}, id {kind}, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                if parts:
+                    block, parts = _Shard(pa.Table.from_batches(parts), aparts, k), []
+                if block is not None:
+                    yield from block.asked(part)
+
+    found = streams.mapInArrow(search, f"query {kind}, apart int, near array<struct<far:double,id:{kind}>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    each = found.groupBy("query", "apart").agg(best.alias("near")).select("query", "apart", F.posexplode("near").alias("at", "n"))
+    return each.select("query", "apart", F.col("n.id").alias("id"), (-F.col("n.far")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+class _Shard:
+    """The rows of a task in the order of their ids, asked by blocks of queries.
+
+    Products of matrices in single precision, of rows over the greatest length and queries over their own, find
+    the candidates: what lies within twice the bound of their rounding of the k-th best. Vectors that are not
+    finite are judged by sums alone.
+    """
+
+    def __init__(self, rows: pa.Table, aparts: list[str | None], k: int) -> None:
+        rows = rows.take(pc.sort_indices(rows["id"])).combine_chunks()
+        self.k, self.aparts = k, aparts
+        self.names: list[dict[str, int]] = [{} for c in aparts if c is not None]
+        ids, x, codes = (rows[c].combine_chunks() for c in ("id", "v", "groups"))
+        x, codes = _vectors(x), self._codes(codes)
+        self.held = ids.unique()
+        if len(self.held) == len(ids):
+            keep = _first(x, codes, k + 1)
+            ids, x, codes = ids.take(pa.array(keep)), x[keep], codes[:, keep]
+            self.held = ids
+        norm = np.sqrt((x * x).sum(1))
+        finite = np.isfinite(norm)
+        self.ids, self.x, self.odd, self.width = ids, x, np.flatnonzero(~finite), -(-len(x) // PARTS)
+        spare = PARTS * self.width - len(x)
+        self.number = np.pad(pc.index_in(ids, value_set=self.held).to_numpy(), (0, spare), constant_values=-2)
+        self.codes = np.pad(codes, ((0, 0), (0, spare)), constant_values=-1)
+        self.scaled = np.pad(np.where(finite[:, None], x, 0.0) / max(norm[finite].max(initial=0.0), LEAST), ((0, spare), (0, 0))).astype(np.float32)
+
+    def _codes(self, groups: pa.Array) -> np.ndarray:
+        """A number for each name, by group and row."""
+        flat, wide = groups.flatten().to_pylist(), len(self.names)
+        return np.array([[names.setdefault(g, len(names)) for g in flat[i::wide]] for i, names in enumerate(self.names)], np.int64).reshape(wide, len(groups))
+
+    def asked(self, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """query, apart and near: the k best of the shard."""
+        ids, v, codes = queries.column(2), _vectors(queries.column(3)), self._codes(queries.column(4))
+        own = pc.index_in(ids, value_set=self.held).fill_null(-1).to_numpy(zero_copy_only=False)
+        step = max(1, SCORES // len(self.scaled))
+        for start in range(0, len(v), step):
+            some = slice(start, start + step)
+            for apart, (q, r, score) in enumerate(self._best(v[some], own[some], codes[:, some])):
+                ends = np.cumsum(np.bincount(q, minlength=len(v[some])))
+                near = pa.StructArray.from_arrays([pa.array(0.0 - score), self.ids.take(pa.array(r))], names=["far", "id"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), near)
+                yield pa.RecordBatch.from_arrays([ids[some], pa.array(np.full(len(ends), apart, np.int32)), lists], names=["query", "apart", "near"])
+
+    def _best(self, v: np.ndarray, own: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of aparts: queries, rows and scores of the k best, in this order."""
+        norm = np.sqrt((v * v).sum(1))
+        finite = np.isfinite(norm)
+        s = (np.where(finite[:, None], v, 0.0) / np.maximum(np.where(finite, norm, 0.0), LEAST)[:, None]).astype(np.float32) @ self.scaled.T
+        alone = len(self.held) == len(self.ids)
+        s[(np.flatnonzero(own >= 0), own[own >= 0]) if alone else np.nonzero(own[:, None] == self.number)] = -np.inf
+        s[:, self.odd] = -np.inf
+        s[:, len(self.x) :] = -np.inf
+        odd, even = np.flatnonzero(~finite), np.flatnonzero(finite)
+        more = np.repeat(odd, len(self.x)), np.tile(np.arange(len(self.x)), len(odd))
+        more = np.append(more[0], np.repeat(even, len(self.odd))), np.append(more[1], np.tile(self.odd, len(even)))
+        slack = np.float32(2.0**-22 * (v.shape[1] + 4))
+        groups = iter(zip(codes, self.codes, strict=True))
+        for column in self.aparts:
+            want = self.k if column is None else 2 * self.k
+            q, r, least = _candidates(s, want, PARTS, slack)
+            if column is not None:
+                here, there = next(groups)
+                sure = (here[q] != there[r]) & (s[q, r] >= least[q] + slack)
+                short = np.flatnonzero((np.bincount(q[sure], minlength=len(v)) < self.k) & (least > NONE))
+                if len(short):  # the best are all of the query's own group: without them
+                    others = np.where(here[short, None] == there, -np.inf, s[short]).astype(np.float32)
+                    q2, r2, _ = _candidates(others, self.k, PARTS, slack)
+                    rest = ~np.isin(q, short)
+                    q, r = np.append(q[rest], short[q2]), np.append(r[rest], r2)
+            kept = finite[q]
+            q, r = np.append(q[kept], more[0]), np.append(r[kept], more[1])
+            fits = own[q] != self.number[r]
+            if column is not None:
+                fits &= here[q] != there[r]
+            q, r = q[fits], r[fits]
+            score = _sums(v, q, self.x, r)
+            some = score > -np.inf
+            q, r, score = q[some], r[some], score[some]
+            order = np.lexsort((r, -score, q))
+            q, r, score = q[order], r[order], score[order]
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            top = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < self.k
+            yield q[top], r[top], score[top]
+
+
+def _first(x: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
+    """Of equal vectors in equal groups the first most: no other is among most - 1 nearest, whoever asks."""
+    both = np.ascontiguousarray(np.hstack([x, codes.T]))
+    at = np.unique(both.view(np.dtype((np.void, both.itemsize * both.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return np.sort(order[np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order))) < most])
+
+
+def _candidates(s: np.ndarray, want: int, parts: int, slack: np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may be among the want best, and the score from which on they are.
+
+    The want best of the maxima of small sets are no better than the want best of all.
+    """
+    highest = s.reshape(len(s), parts, -1).max(1)
+    width = highest.shape[1]
+    least = np.full(len(s), NONE, np.float32)
+    if want < width:
+        least = np.maximum(np.partition(highest, width - want, axis=1)[:, width - want] - slack, NONE)
+    q, at = np.nonzero(highest >= least[:, None])
+    r = at[:, None] + width * np.arange(parts)
+    hit = s[q[:, None], r] >= least[q, None]
+    return np.repeat(q, hit.sum(1)), r[hit], least
+
+
+def _sums(v: np.ndarray, q: np.ndarray, x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Inner products, added up from the first component to the last."""
+    step = max(1, SCORES // 8 // x.shape[1])
+    return np.concatenate([np.zeros(0)] + [np.cumsum(v[q[i : i + step]] * x[r[i : i + step]], axis=1)[:, -1] for i in range(0, len(q), step)])
 
 
 def example_query(rows: DataFrame, positive: Column, negative: Column, column: str = "embedding") -> list[float] | None:

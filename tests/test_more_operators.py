@@ -102,3 +102,27 @@ def test_nearest_rows(spark, monkeypatch):
         s = x @ x[q]
         s[q] = -np.inf
         assert [i for _, i in sorted(got[q])] == np.argsort(-s, kind="stable")[:7].tolist()
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vectors, "SLICE_ROWS", 100)
+    monkeypatch.setattr(vectors, "SCORES", 4096)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    x[150:] = np.round(x[150:])  # copies and ties
+    x[5] *= 1e18
+    x[6] *= 1e-30
+    x[7], x[8, 0], x[9, 1] = 0, np.nan, np.inf
+    place = rng.integers(0, 3, 300)
+    place[:100] = 1
+    df = spark.createDataFrame([(i, v.tolist(), int(p)) for i, (v, p) in enumerate(zip(x, place, strict=True))], "id int, embedding array<double>, place int")
+    got = {}
+    for r in vectors.nearest_by(df, df, 7, "embedding", [None, "place"]).collect():
+        got.setdefault((r.query, r.apart), []).append((r["rank"], r.id, r.score))
+    for q in range(300):
+        with np.errstate(invalid="ignore"):
+            score = np.cumsum(x * x[q], axis=1)[:, -1]  # as SQL adds: to the last bit
+        for apart, barred in enumerate((np.arange(300) == q, place == place[q])):
+            best = sorted((-score[i], i) for i in range(300) if not barred[i] and score[i] > -np.inf)[:7]
+            assert sorted(got.get((q, apart), [])) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
