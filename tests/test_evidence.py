@@ -72,6 +72,21 @@ def test_names_as_a_scan_finds_them(spark):
         assert got.get(q, []) == [(x[0], x[-1]) for x in sorted(fits)[:7]]
 
 
+def test_names_that_many_places_share(spark):
+    names = ["red bolt", "red ring", "old gear", "bolt"]
+    places = [(i, names[i % 4], ["city", "state", "other"][i % 3], i % 5 or None, names[i % 4].title()) for i in range(400)]
+    p = spark.createDataFrame(places, "place_id int, key string, kind string, population int, name string")
+    questions = [(i, ["red", "bolt", "e", "old gear", "x"][i % 5]) for i in range(300)]
+    index = gazetteer.postings(p)
+    assert index.count() == gazetteer.postings(p.limit(4)).count() == index.distinct().count()  # a name once, not once for each place
+    got = {}
+    for r in gazetteer.found(spark.createDataFrame(questions, "question_id int, key string"), p, index, 6).orderBy("rank").collect():
+        got.setdefault(r.question_id, []).append((r["rank"], r.place_id, r.fit))
+    for q, asked in questions:
+        fits = sorted((0 if k == asked else 1 if k.startswith(asked) else 2, gazetteer.KIND_ORDER.get(kind, 3), -(n or 0), name, i) for i, k, kind, n, name in places if asked in k)
+        assert got.get(q, []) == [(n, x[-1], x[0]) for n, x in enumerate(fits[:6], 1)]
+
+
 def test_digest_as_a_tree(spark):
     rows = [(i, [float(i), 1.0]) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, embedding array<double>")
