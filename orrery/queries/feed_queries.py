@@ -15,12 +15,12 @@ from orrery.staging import shared_dir
 def _through_feed(rows: DataFrame, feed: str, document: Column) -> DataFrame:
     """rows written as documents of a feed, each an aggregate of some thousand rows, and read by its adapter.
 
-    One document a file: some feeds are read as whole files.
+    One document a file: some feeds are read as whole files. Tasks write the documents that they have put together:
+    ordering or dealing them out again by their texts would send samples of whole documents to the driver.
     """
     path = f"{shared_dir(rows.sparkSession)}/feed-{feed}-{uuid.uuid4().hex}"
-    dealt = rows.withColumn("doc__", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 1000)))).groupBy("doc__")
-    documents = dealt.agg(document.alias("value")).select("value")
-    documents.repartitionByRange(max(1, documents.count()), "value").write.option("maxRecordsPerFile", 1).text(path)
+    dealt = rows.withColumn("doc__", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, rows.count() // 1000)))).repartition("doc__")
+    dealt.groupBy("doc__").agg(document.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return feeds.read(rows.sparkSession, feed, path)
 
 
