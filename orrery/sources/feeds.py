@@ -47,6 +47,12 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def _whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """_json of documents of which parts stay texts: for each such part, a reader of files would go back into the file."""
+    whole = spark.read.text(path, wholetext=True).select(F.ltrim("value", F.lit("\ufeff")).alias("value"))
+    return whole.select(F.from_json("value", schema).alias("document")).select("document.*")
+
+
 def _event(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     base = {"source_id": F.lit(source), "end_time": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), "evidence_type": F.lit("OBSERVED"), "scope": F.lit("spatial"), "lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double"), "attributes": F.lit("{}")}
     return df.select(*[(base | columns)[c].alias(c) for c in EVENT])
@@ -118,7 +124,7 @@ def _kind(key: Column, values: dict[str, tuple[str, str]], default: tuple[str, s
 @feed("natural-events")
 def natural_events(spark: SparkSession, path: str) -> DataFrame:
     """The latest geometry says where, the first one since when."""
-    f = _json(spark, path, "events array<struct<id:string,title:string,closed:string,link:string,categories:array<struct<id:string>>,sources:array<struct<id:string,url:string>>,geometry:array<string>>>")
+    f = _whole_json(spark, path, "events array<struct<id:string,title:string,closed:string,link:string,categories:array<struct<id:string>>,sources:array<struct<id:string,url:string>>,geometry:array<string>>>")
     f = f.select(F.explode("events").alias("e")).select("e.*").where(F.size("geometry") > 0)
     last, group = F.element_at("geometry", -1), F.coalesce(F.get("categories", 0)["id"], F.lit("other"))
     kind, category = _kind(group, NATURAL, ("natural-event", "DISASTERS"))
@@ -137,7 +143,7 @@ def natural_events(spark: SparkSession, path: str) -> DataFrame:
 @feed("disaster-alerts")
 def disaster_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Levels are estimates of a model, so alerts are inferred; their times are in UTC."""
-    f = _json(spark, path, "features array<struct<geometry:string,properties:struct<eventtype:string,eventid:string,episodeid:string,name:string,description:string,alertlevel:string,alertscore:double,country:string,source:string,fromdate:string,todate:string,iscurrent:string,url:struct<report:string>>>>")
+    f = _whole_json(spark, path, "features array<struct<geometry:string,properties:struct<eventtype:string,eventid:string,episodeid:string,name:string,description:string,alertlevel:string,alertscore:double,country:string,source:string,fromdate:string,todate:string,iscurrent:string,url:struct<report:string>>>>")
     f = f.select(F.explode("features").alias("f")).select("f.*")
     p = lambda n: F.col(f"properties.{n}")
     kind, category = _kind(p("eventtype"), ALERTS, ("disaster-alert", "DISASTERS"))
