@@ -48,7 +48,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """_json of documents of which parts stay texts: for each such part, a reader of files would go back into the file."""
+    """_json of documents of which parts or numbers stay texts: for each such one, a reader of files would go back into the file."""
     whole = spark.read.text(path, wholetext=True).select(F.ltrim("value", F.lit("\ufeff")).alias("value"))
     return whole.select(F.from_json("value", schema).alias("document")).select("document.*")
 
@@ -88,7 +88,7 @@ def _place(geometry: Column) -> tuple[Column, Column]:
 @feed("earthquakes")
 def earthquakes(spark: SparkSession, path: str) -> DataFrame:
     """What a seismologist has reviewed is a verified record, the rest observed."""
-    f = _json(spark, path, "features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<mag:string,place:string,time:bigint,status:string,magType:string,url:string,tsunami:bigint,alert:string>>>")
+    f = _whole_json(spark, path, "features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<mag:string,place:string,time:bigint,status:string,magType:string,url:string,tsunami:bigint,alert:string>>>")
     f = f.select(F.explode("features").alias("f")).select("f.*")
     p = lambda n: F.col(f"properties.{n}")
     return _event(
@@ -179,7 +179,7 @@ WEATHER = ("temperature_2m", "relative_humidity_2m", "precipitation", "cloud_cov
 def weather(spark: SparkSession, path: str) -> DataFrame:
     """Cities and responses come as parallel arrays; what a model says is inferred. A record for each city and time."""
     fields, units = (",".join(f"{c}:string" for c in ("time", *WEATHER)), ",".join(f"{c}:string" for c in ("time", *WEATHER)))
-    f = _json(spark, path, f"cities array<struct<name:string,state:string,coordinates:array<double>>>, response array<struct<current:struct<{fields}>,current_units:struct<{units}>>>")
+    f = _whole_json(spark, path, f"cities array<struct<name:string,state:string,coordinates:array<double>>>, response array<struct<current:struct<{fields}>,current_units:struct<{units}>>>")
     both = F.least(F.size("cities"), F.size("response"))
     f = f.select(F.explode(F.arrays_zip(F.slice("cities", 1, both).alias("city"), F.slice("response", 1, both).alias("told"))).alias("z")).select("z.city", "z.told.current", F.col("z.told.current_units").alias("units"))
     now = lambda c: F.col(f"current.{c}")
