@@ -4,7 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-FEEDS = ["feed_of_aircraft", "feed_of_disaster_alerts", "feed_of_natural_events", "feed_of_outages", "feed_of_earthquakes", "feed_of_weather", "feed_of_launches"]
+FEEDS = ["feed_of_aircraft", "feed_of_disaster_alerts", "feed_of_natural_events", "feed_of_outages", "feed_of_earthquakes", "feed_of_weather", "feed_of_launches", "feed_of_kp"]
 
 RUN = """
 import sys
